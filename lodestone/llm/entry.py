@@ -1,0 +1,20 @@
+"""The training-data queries and their SQL, as the repository's entry point adds them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestone.llm.jaccard_join import jaccard_join
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four words a shingle, links at a Jaccard similarity of 0.85."""
+    return jaccard_join(_read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+ORACLES: dict[str, str] = {}
