@@ -179,14 +179,16 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 20)
 
 def _link(docs, rows, classes, multi, members, k, percent):
     far = 100 + percent
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "n int, c long, items binary")
-    sets = table(sets.join(members.select("n", "c", "id").distinct(), ["n", "c"]).select("id", "items").groupBy("id").agg(F.first("items").alias("items")))
+    known = members.select("n", "c", "id").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        """The pairs that link, from the sets of just the documents among them."""
+        pairs = table(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        sets = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "n int, c long, items binary")
+        sets = table(sets.dropDuplicates(["n", "c"]).join(known, ["n", "c"]).select("id", "items"))
         pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
         return table(pairs.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"))
 
