@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.jaccard_join import jaccard_join
+from lodestone.llm.packing import pack
+
+#: The tokenizer of the packing query; its folder is that of the installed public tokenizers.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +26,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return pack(_read(spark, sf_dir, "documents"), tokenizer_path(), 4096, 1)
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op5_best_fit_packing)}
 ORACLES: dict[str, str] = {}
