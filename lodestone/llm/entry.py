@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.html_extract import extract_html
 from lodestone.llm.jaccard_join import jaccard_join
 from lodestone.llm.packing import pack
+from lodestone.llm.quality import quality_rules
 
 #: The tokenizer of the packing query; its folder is that of the installed public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -26,10 +28,21 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and distribution divergence, with references fitted on the good ones of `labels`."""
+    out = quality_rules(_read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), _read(spark, sf_dir, "labels"))
+    return out.drop("lang", "text")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
     return pack(_read(spark, sf_dir, "documents"), tokenizer_path(), 4096, 1)
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op5_best_fit_packing)}
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_html(_read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_html_extraction)}
 ORACLES: dict[str, str] = {}

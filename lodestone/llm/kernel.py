@@ -28,6 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_AS_IS = _VALUE.copy()
 _VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -83,11 +84,11 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return s, e, np.searchsorted(s, off)
 
 
-def hash_words(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word."""
+def hash_words(raw: np.ndarray, s: np.ndarray, e: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of every word; fold: A-Z count as a-z."""
     up, down = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUE[raw] * up[: len(raw)], out=total[1:])
+    np.cumsum((_VALUE if fold else _AS_IS)[raw] * up[: len(raw)], out=total[1:])
     return mix((total[e] - total[s]) * down[s])
 
 

@@ -3,7 +3,7 @@
 A document's shares of character classes and of the commonest words of a language are compared with that language's
 reference by Jensen-Shannon distance.  References are the summed counts of a bounded sample of documents that labels
 call good; the sample's bound is a parameter, the commonest words are those of the sample.  A document is rejected
-if it is farther than a threshold from every reference, in characters or in words.  Texts of under `min_words` words
+if its characters are far from every reference, or if both its characters and its words are less far.  Texts of under `min_words` words
 are too short for a histogram to tell and are left to the base rules.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import kernel
@@ -52,22 +52,36 @@ def _bare(word: bytes) -> bytes:
     return word.lower().strip(_HISTOGRAM_EDGE)
 
 
-def fit_references(rows: list[tuple[str | None, str | None]], top_words: int) -> dict[str, dict]:
-    """(language, text) rows -> for each language its class counts, commonest words and their shares."""
-    chars: dict[str, np.ndarray] = {}
-    counts: dict[str, Counter] = {}
-    for lang, text in rows:
-        lang, raw = lang or "", np.frombuffer((text or "").encode(), np.uint8)
-        chars[lang] = chars.get(lang, np.zeros(CLASSES)) + np.bincount(_CLASS[raw], minlength=CLASSES)[:CLASSES]
-        counts.setdefault(lang, Counter()).update(map(_bare, raw.tobytes().split()))
-    out = {}
-    for lang, c in counts.items():
-        c.pop(b"", None)
-        words = [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:top_words]]
-        total = sum(c.values())
-        if total:
-            out[lang] = {"chars": chars[lang], "words": words, "shares": np.array([*(c[w] for w in words), total - sum(c[w] for w in words)], float)}
-    return out
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) -> (lang, kind, item, n): words as kind w, classes as kind c."""
+    for batch in batches:
+        n: Counter = Counter()
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
+            raw = (text or "").encode()
+            n.update((lang or "", "w", w.decode(errors="replace")) for w in map(_bare, raw.split()) if w)
+            for c, k in enumerate(np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=CLASSES).tolist()):
+                n[lang or "", "c", str(c)] += k
+        columns = zip(*n) if n else ((), (), ())
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(list(n.values()), pa.int64())], ["lang", "kind", "item", "n"])
+
+
+def fit_references(sample: DataFrame, top_words: int) -> dict[str, dict]:
+    """(lang, text) rows -> for each language its class counts, commonest words and their shares: top_words + 8 rows each."""
+    n = sample.select("lang", "text").mapInArrow(_tally, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy("lang", "kind")
+    top = n.withColumn("total", F.sum("n").over(of)).withColumn("r", F.row_number().over(of.orderBy(F.desc("n"), "item"))).where(F.col("r") <= max(top_words, CLASSES))
+    out: dict[str, dict] = {}
+    for r in top.orderBy("lang", "kind", "r").collect():
+        ref = out.setdefault(r.lang, {"chars": np.zeros(CLASSES), "words": [], "shares": [], "total": 0})
+        if r.kind == "c":
+            ref["chars"][int(r.item)] = r.n
+        elif len(ref["words"]) < top_words:
+            ref["words"].append(r.item.encode())
+            ref["shares"].append(r.n)
+            ref["total"] = r.total
+    for ref in out.values():
+        ref["shares"] = np.array([*ref["shares"], ref["total"] - sum(ref["shares"])], float)
+    return {k: v for k, v in out.items() if v["total"]}
 
 
 def _repeated(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -110,7 +124,7 @@ def _rules(refs: dict[str, dict], limits: dict):
             out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")}
             for _, _, raw, off in kernel.slices(batch["text"]):
                 s, e, first = kernel.words(raw, off)
-                h = kernel.hash_words(raw, s, e)
+                h = kernel.hash_words(raw, s, e, fold=False)
                 n_words = np.diff(first)
                 lead = np.concatenate([[0], np.cumsum(_LEAD[raw] & ~kernel._SPACE[raw])])
                 symbols = np.concatenate([[0], np.cumsum(_SYMBOL[raw])])
@@ -135,7 +149,7 @@ def _rules(refs: dict[str, dict], limits: dict):
                     out["n_dup_lines"].append(_dup_lines(text))
                     out["char_distance"].append(dc)
                     out["word_distance"].append(dw)
-                    out["kept"].append(bool(not failed[i] and (dc is None or dc <= limits["max_char_distance"] and dw <= limits["max_word_distance"])))
+                    out["kept"].append(bool(not failed[i] and (dc is None or dc <= limits["max_char_distance"] and (dc <= limits["joint_char_distance"] or dw <= limits["joint_word_distance"]))))
                 for k, v in (("n_words", n_words), ("word_chars", word_chars), ("n_symbols", n_symbols), ("n_repeat_words", repeats), ("base_failed", failed)):
                     out[k] += v.tolist()
             types = {"base_failed": pa.bool_(), "kept": pa.bool_(), "char_distance": pa.float64(), "word_distance": pa.float64()}
@@ -144,28 +158,28 @@ def _rules(refs: dict[str, dict], limits: dict):
     return run
 
 
-def reference_sample(docs: DataFrame, labels: DataFrame | None, rows: int) -> list[tuple[str | None, str | None]]:
-    """(lang, text) of at most `rows` documents with quality 1 and toxic 0: those with the smallest hashes of their ids."""
+def reference_sample(docs: DataFrame, labels: DataFrame | None, rows: int) -> DataFrame | None:
+    """(lang, text) of the documents with quality 1 and toxic 0 among the `rows` such ids with the smallest hashes."""
     if labels is None:
-        return []
+        return None
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct()
-    chosen = good.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", lang.alias("lang"), F.substring(F.col("text"), 1, 20_000).alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
-    return [(r.lang, r.text) for r in sample.limit(4 * rows).collect()]
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
+    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", lang.alias("lang"), "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
 
 
 def quality_rules(
     docs: DataFrame,
     labels: DataFrame | None = None,
     *,
-    sample_rows: int = 1000,
+    sample_rows: int = 5000,
     top_words: int = 40,
     min_base_words: int = 50,
     max_repeat_percent: int = 50,
     min_words: int = 80,
-    max_char_distance: float = 0.30,
-    max_word_distance: float = 0.60,
+    max_char_distance: float = 0.24,
+    joint_char_distance: float = 0.15,
+    joint_word_distance: float = 0.33,
 ) -> DataFrame:
     """All rows and columns of `docs` (text; lang for the references' languages) with the columns of the rules after them.
 
@@ -173,10 +187,11 @@ def quality_rules(
     are the verdicts; char_distance and word_distance are null where the method doesn't judge.  A null text counts as
     empty, which fails the base rules.  Without labels, or with none that are good, only the base rules judge.
     Columns of `docs` that have a rule column's name are dropped.  Repeated rows are judged alike.
-    `sample_rows` bounds the labelled documents that the references are fitted on (of each the first 20,000 characters).
+    `sample_rows` bounds the labelled documents that the references are fitted on.
     """
-    refs = fit_references(reference_sample(docs, labels, sample_rows), top_words)
-    limits = {"min_base_words": min_base_words, "max_repeat_percent": max_repeat_percent, "min_words": min_words, "max_char_distance": max_char_distance, "max_word_distance": max_word_distance}
+    sample = reference_sample(docs, labels, sample_rows)
+    refs = fit_references(sample, top_words) if sample is not None else {}
+    limits = {"min_base_words": min_base_words, "max_repeat_percent": max_repeat_percent, "min_words": min_words, "max_char_distance": max_char_distance, "joint_char_distance": joint_char_distance, "joint_word_distance": joint_word_distance}
     rule = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
     docs = docs.drop(*(c.split()[0] for c in rule.split(", ")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
