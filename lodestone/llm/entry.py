@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.decontaminate import contaminated
 from lodestone.llm.html_extract import extract_html
 from lodestone.llm.jaccard_join import jaccard_join
 from lodestone.llm.packing import pack
@@ -44,5 +45,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_html(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_html_extraction)}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item of which it holds a copy."""
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_decontamination)}
 ORACLES: dict[str, str] = {}

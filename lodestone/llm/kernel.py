@@ -18,6 +18,10 @@ SLICE_BYTES = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Bytes that are no letter or digit of ASCII, nor part of another character.
+_MARK = np.ones(256, bool)
+_MARK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit values."""
@@ -69,12 +73,15 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         a = b
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start byte, end byte) of every word of the rows, and the index of each row's first word (one more at the end)."""
+def words(raw: np.ndarray, off: np.ndarray, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start byte, end byte) of every word of the rows, and the index of each row's first word (one more at the end).
+
+    marks: words end at every ASCII character that is no letter or digit, not only at white space.
+    """
     n = len(raw)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~(_MARK if marks else _SPACE)[raw]
     cut = np.zeros(n + 1, bool)
     cut[off] = True
     start, end = inside.copy(), inside.copy()
