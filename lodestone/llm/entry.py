@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.decontaminate import contaminated
 from lodestone.llm.html_extract import extract_html
 from lodestone.llm.jaccard_join import jaccard_join
+from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.packing import pack
 from lodestone.llm.quality import quality_rules
 
@@ -50,5 +51,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_decontamination)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines; the kept text itself and what went."""
+    return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_decontamination, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
