@@ -30,8 +30,8 @@ from lodestone.llm import kernel
 from lodestone.llm.components import components
 from lodestone.llm.store import table
 
-#: Class ids are broadcast up to this many (16 MB); beyond it the join is shuffled.
-BROADCAST_IDS = 2_000_000
+#: Ends of candidate pairs are broadcast up to this many (40 MB); beyond it their join with the texts is shuffled.
+BROADCAST_ENDS = 1_000_000
 _BLOCK = 1 << 16
 
 
@@ -115,14 +115,22 @@ def _post(k: int, percent: int, bits: int, ranks):
 
 
 def _sets(k: int):
-    """documents -> (n, c, items), the items being the sorted shingle hashes."""
+    """(doc_id, c, a, b, side, text) -> (a, b, x, y): the sorted shingle hashes as x (side 0) or y (side 1), if c is the text's class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(x), _class_hash(x), x.tobytes()) for _, x, _ in kernel.shingle_sets(batch["text"], k) if len(x)]
-            for i in range(0, len(rows), 500):
-                n, c, items = zip(*rows[i : i + 500])
-                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(c, pa.int64()), pa.array(items, pa.binary())], ["n", "c", "items"])
+            ids = batch["doc_id"].to_numpy()
+            new = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else []  # one document's rows are together
+            which = np.searchsorted(new, np.arange(len(ids)), "right") - 1
+            sets = [x for _, x, _ in kernel.shingle_sets(batch["text"].take(pa.array(new, pa.int64())), k)]
+            fingerprints = np.array([_class_hash(x) if len(x) else 0 for x in sets], np.int64)
+            side = batch["side"].to_numpy()
+            keep = np.flatnonzero(fingerprints[which] == batch["c"].to_numpy()) if len(ids) else np.zeros(0, np.int64)
+            for i in range(0, len(keep), 500):
+                some = keep[i : i + 500]
+                at = pa.array(some, pa.int64())
+                x, y = ([sets[which[r]].tobytes() if side[r] == s else None for r in some] for s in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch["a"].take(at), batch["b"].take(at), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b", "x", "y"])
 
     return run
 
@@ -179,18 +187,18 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 20)
 
 def _link(docs, rows, classes, multi, members, k, percent):
     far = 100 + percent
-    known = members.select("n", "c", "id").distinct()
+    known = members.select(F.col("id").alias("doc_id"), "c").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that link, from the sets of just the documents among them."""
+        """The pairs that link.  Sets are made of just the documents among the pairs, and shuffled once, by pair."""
         pairs = table(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        sets = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "n int, c long, items binary")
-        sets = table(sets.dropDuplicates(["n", "c"]).join(known, ["n", "c"]).select("id", "items"))
-        pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-        return table(pairs.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"))
+        ends = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side")))).alias("e"))
+        ends = table(ends.select("a", "b", "e.doc_id", "e.side").join(known, "doc_id"))
+        if ends.count() <= BROADCAST_ENDS:
+            ends = F.broadcast(ends)
+        sets = docs.join(ends, "doc_id").select("doc_id", "c", "a", "b", "side", "text").mapInArrow(_sets(k), "a long, b long, x binary, y binary")
+        both = sets.groupBy("a", "b").agg(F.max("x").alias("x"), F.max("y").alias("y")).where("x is not null and y is not null")
+        return table(both.mapInArrow(_verify(percent), "a long, b long"))
 
     passes = f"{far} * least(n1 - pos1, n2 - pos2) >= {percent} * (n1 + n2)"
     first = members.groupBy("g").agg(F.min("id").alias("first"))
