@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.decontaminate import contaminated
 from lodestone.llm.html_extract import extract_html
 from lodestone.llm.jaccard_join import jaccard_join
+from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.packing import pack
 from lodestone.llm.quality import quality_rules
+from lodestone.llm.secrets import scan_secrets
 
 #: The tokenizer of the packing query; its folder is that of the installed public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -51,10 +53,20 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template matches of every document."""
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, by fixed patterns and by the randomness battery."""
+    return scan_secrets(_read(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated lines; the kept text itself and what went."""
     return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_decontamination, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_decontamination, op8_license_scan, op9_secret_scan, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
