@@ -10,6 +10,7 @@ from lodestone.llm.jaccard_join import jaccard_join
 from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.packing import pack
+from lodestone.llm.pii import pseudonymise
 from lodestone.llm.quality import quality_rules
 from lodestone.llm.secrets import scan_secrets
 
@@ -27,6 +28,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms for the personal data in its text."""
+    return pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), "a key that a deployment keeps to itself")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four words a shingle, links at a Jaccard similarity of 0.85."""
     return jaccard_join(_read(spark, sf_dir, "documents"), k=4, percent=85)
@@ -68,5 +74,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_decontamination, op8_license_scan, op9_secret_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_decontamination, op8_license_scan, op9_secret_scan, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
