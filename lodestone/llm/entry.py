@@ -13,6 +13,7 @@ from lodestone.llm.packing import pack
 from lodestone.llm.pii import pseudonymise
 from lodestone.llm.quality import quality_rules
 from lodestone.llm.secrets import scan_secrets
+from lodestone.llm.url_filter import filter_urls
 
 #: The tokenizer of the packing query; its folder is that of the installed public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +39,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url; labels are those of the page's number."""
+    return filter_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and distribution divergence, with references fitted on the good ones of `labels`."""
     out = quality_rules(_read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), _read(spark, sf_dir, "labels"))
@@ -74,5 +80,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_ngram_jaccard_join, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_decontamination, op8_license_scan, op9_secret_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_ngram_jaccard_join, op3_url_filter, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_decontamination, op8_license_scan, op9_secret_scan, op10_line_dedup)}
 ORACLES: dict[str, str] = {}

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _serial = itertools.count()
 _run = uuid.uuid4().hex[:12]
@@ -34,6 +35,11 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `rows` rows (of a few numbers each), else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 @atexit.register
 def cleanup() -> None:
     """Delete the tables that this process has written."""
