@@ -10,7 +10,8 @@ Two documents link when 100 * |A & B| >= percent * |A | B| for their sets of dis
 3. Group pairs that share a shingle are filtered by size and position: with pos shingles before the shared one,
    at most min(n1 - pos1, n2 - pos2) can be common, and (100 + percent) * common >= percent * (n1 + n2) is needed.
    A pair passes at its first common shingle if it links, so nothing is lost.
-4. Groups are expanded to classes and verified on the full sets.  First each member meets only the first one under
+4. Groups are expanded to classes; pairs are filtered by parity bitmaps of about a bit a shingle, whose differing
+   bits are at most the unshared shingles, and verified on the full sets.  First each member meets only the first one under
    its shingle; classes found connected are then joined no more, and the last round verifies every remaining
    pair of classes in different components.  A group of thousands of copies thus costs pairs in proportion to its
    size, and no link between components goes unseen.
@@ -40,23 +41,50 @@ def _class_hash(x: np.ndarray) -> int:
     return int(kernel.mix(kernel.mix(x).sum(keepdims=True) ^ (x * kernel._COEF[3]).sum(keepdims=True))[0] >> np.uint64(1))
 
 
+def _parity(x: np.ndarray) -> bytes:
+    """A bit for each of 2**j >= n residues of the hashes: whether an odd number of them has it."""
+    m = max(64, 1 << (len(x) - 1).bit_length())
+    return np.packbits(np.bincount((x & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
+
+
+def _differences(x: bytes, y: bytes) -> int:
+    """At most the number of elements that two sets don't share, from their parities: a shared element cancels out."""
+    a, b = np.unpackbits(np.frombuffer(x, np.uint8)), np.unpackbits(np.frombuffer(y, np.uint8))
+    m = min(len(a), len(b))
+    return int((np.bitwise_xor.reduce(a.reshape(-1, m)) ^ np.bitwise_xor.reduce(b.reshape(-1, m))).sum())
+
+
+def _near_enough(percent: int):
+    """Keeps pairs (a, b, n1, n2, x, y) whose parities allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch["n1"].to_numpy() + batch["n2"].to_numpy()
+            most = total - 2 * -(-percent * total // (100 + percent))
+            keep = pa.array([_differences(x, y) <= d for x, y, d in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), most.tolist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
+
+    return run
+
+
 def _scan(k: int, bits: int):
-    """documents -> a row (doc_id, n, c) each, then this task's shingle counts in blocks."""
+    """documents -> a row (doc_id, n, c, parity) each, then this task's shingle counts in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            ids, n, c = batch["doc_id"], [], []
+            ids, n, c, parity = batch["doc_id"], [], [], []
             for _, x, _ in kernel.shingle_sets(batch["text"], k):
                 n.append(len(x))
                 c.append(_class_hash(x) if len(x) else 0)
+                parity.append(_parity(x) if len(x) else None)
                 np.add.at(counts, (x >> np.uint64(64 - bits)).astype(np.int64), 1)
             void = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(c, pa.int64()), *void], ["doc_id", "n", "c", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(parity, pa.binary()), *void], ["doc_id", "n", "c", "parity", "block", "counts"])
         for b in range(0, len(counts), _BLOCK):
             if counts[b : b + _BLOCK].any():
-                packed = zlib.compress(counts[b : b + _BLOCK].astype("<u8").tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([b // _BLOCK], pa.int32()), pa.array([packed], pa.binary())], ["doc_id", "n", "c", "block", "counts"])
+                packed = zlib.compress(counts[b : b + _BLOCK].astype("<u4").tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.array([b // _BLOCK], pa.int32()), pa.array([packed], pa.binary())], ["doc_id", "n", "c", "parity", "block", "counts"])
 
     return run
 
@@ -65,14 +93,15 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for b, packed in zip(batch["block"].to_pylist(), batch["counts"].to_pylist()):
-            x = np.frombuffer(zlib.decompress(packed), "<u8")
+            raw = zlib.decompress(packed)  # of 4 bytes a count from the scan, of 8 once added up
+            x = np.frombuffer(raw, "<u4" if len(raw) == 4 * _BLOCK else "<u8").astype(np.uint64)
             total[b] = total[b] + x if b in total else x
     for b, x in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
 
 def _ranks(scanned: DataFrame, bits: int) -> np.ndarray:
-    """For each counter how many times above the mean it is, in powers of two: one byte for each of 2**bits counters."""
+    """For each counter how far above the mean it is, in half powers of two: one byte for each of 2**bits counters."""
     blocks = scanned.where("block is not null").select("block", "counts")
     parts = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Two levels, so that no task adds up what all tasks have counted.
@@ -82,7 +111,7 @@ def _ranks(scanned: DataFrame, bits: int) -> np.ndarray:
     for block, packed in blocks.collect():  # 2**bits counters in all, whatever the input
         counts[block * _BLOCK : (block + 1) * _BLOCK] += np.frombuffer(zlib.decompress(packed), "<u8")
     mean = max(1.0, counts.mean())
-    return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / mean) - 1), 0, 62).astype(np.uint8)
+    return np.clip(np.ceil(2 * np.log2(np.maximum(counts, 1) / (1.7 * mean))), 0, 62).astype(np.uint8)
 
 
 def _post(k: int, percent: int, bits: int, ranks):
@@ -150,19 +179,27 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 20) -> DataFrame:
+def _counter_bits(docs: DataFrame) -> int:
+    """Counters for about 32 shingles each, between 2**16 and 2**24: copies of a text stand out from the chance sums."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(24, max(16, int(chars / 6 / 32).bit_length()))
+
+
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, bits: int | None = None) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_copies.
 
     `docs` has doc_id and text; other columns are ignored.  A text of fewer than k words has its whole sequence as
     its one shingle; a null, empty or blank text has none and is linked with nothing.  Repeated rows are returned
     as often as they occur.  A row with a null doc_id links nothing and has a null component.
-    n_copies counts the documents with the same set.  2**bits counters order the shingles (a byte each is broadcast).
+    n_copies counts the documents with the same set.  2**bits counters order the shingles (a byte each is broadcast,
+    at most 16 MB); by default their number follows the corpus's length.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = table(docs.mapInArrow(_scan(k, bits), "doc_id long, n long, c long, block int, counts binary"))
+    bits = bits or _counter_bits(docs)
+    scanned = table(docs.mapInArrow(_scan(k, bits), "doc_id long, n long, c long, parity binary, block int, counts binary"))
     rows = scanned.where("n is not null").select("doc_id", "n", "c")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "c").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"))
+    classes = scanned.where("n > 0 and doc_id is not null").groupBy("n", "c").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.min("parity").alias("parity"))
 
     ranks = spark.sparkContext.broadcast(_ranks(scanned, bits))
     posted = docs.where("doc_id is not null").select("text").mapInArrow(_post(k, percent, bits, ranks), "key long, g long, n int, pos int, c long")
@@ -181,17 +218,20 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 20)
     )
     posts = table(multi.drop("posts", "least_n", "most"))
     multi = posts.select("key", "g", "n", "pos", "pivot").distinct()
-    members = table(posts.select("g", F.col("n").cast("long").alias("n"), "c").distinct().join(classes, ["n", "c"]).select("g", "n", "c", "id"))
+    members = table(posts.select("g", F.col("n").cast("long").alias("n"), "c").distinct().join(classes, ["n", "c"]).select("g", "n", "c", "id", "parity"))
     return _link(docs, rows, classes, multi, members, k, percent)
 
 
 def _link(docs, rows, classes, multi, members, k, percent):
     far = 100 + percent
     known = members.select(F.col("id").alias("doc_id"), "c").distinct()
+    signs = members.groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that link.  Sets are made of just the documents among the pairs, and shuffled once, by pair."""
-        pairs = table(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        """The pairs that link.  Sets are made of just the documents in pairs whose parities pass, and shuffled once, by pair."""
+        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.join(signs.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("parity").alias("x")), "a").join(signs.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("parity").alias("y")), "b")
+        pairs = table(pairs.select("a", "b", "n1", "n2", "x", "y").mapInArrow(_near_enough(percent), "a long, b long"))
         ends = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side")))).alias("e"))
         ends = table(ends.select("a", "b", "e.doc_id", "e.side").join(known, "doc_id"))
         if ends.count() <= BROADCAST_ENDS:
