@@ -16,7 +16,7 @@ def tokens(text: str | Column) -> Column:
 
 def sentences(text: str | Column) -> Column:
     """Trimmed non-empty sentences in order."""
-    return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def bucket(term: str | Column, size: int = 64) -> Column:

@@ -57,7 +57,7 @@ def ask(prompts: DataFrame, factory: Callable[[], Callable], failure: str = "The
 
 def clean_questions(questions: Column) -> Column:
     """Trimmed, without blanks and repeats, in order."""
-    return F.array_distinct(F.filter(F.transform(questions, F.trim), lambda q: q != ""))
+    return F.array_distinct(F.filter(F.transform(questions, lambda q: F.trim(q)), lambda q: q != ""))
 
 
 def expand(questions: DataFrame) -> DataFrame:
