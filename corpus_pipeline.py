@@ -21,9 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those that had words and have none left go."""
+    """Documents without repeated lines; those that have lost lines and have none of three words left go."""
     left = dedup_lines(docs)
-    return left.where(r"n_removed = 0 or text rlike '[^\\x20\\t\\x0B\\f\\r\\n]'").select(*_measured(docs))
+    return left.where(r"n_removed = 0 or text rlike '\\S[ \\t]+\\S+[ \\t]+\\S'").select(*_measured(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
