@@ -19,10 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import table
+from lodestone.llm.store import broadcast_if_small, table
 
-#: Document ids are broadcast up to this many; beyond it the join is shuffled.
-BROADCAST_IDS = 2_000_000
 _ID = ["h1", "h2", "n"]
 _POS = "struct(doc_id, th, line)"
 _WIDE = 0xFFFFFFFFFF
@@ -62,14 +60,12 @@ def line_flags(docs: DataFrame, min_words: int = 3, min_near_words: int = 8) ->
     alive = half.join(shared, "half", "left_semi").select(*_ID).distinct()
     alive = table(alive.join(unique, _ID).select(*_ID, "first"))
     ids = alive.select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    chosen = docs.withColumn("th", F.xxhash64("text")).join(ids, ["doc_id", "th"], "left_semi").select("doc_id", "text").distinct()
+    chosen = docs.withColumn("th", F.xxhash64("text")).join(broadcast_if_small(table(ids)), ["doc_id", "th"], "left_semi").select("doc_id", "text").distinct()
     full = _lines(chosen).select(F.expr(_POS).alias("first"), "words").distinct()
     alive = table(alive.join(full, "first").withColumn("id", F.xxhash64(*_ID, "first")))
 
     # Variants: running sums of hashes of (word, place) and of (word, place - 1), under two seeds.
-    word = alive.select("id", "n", "first", F.posexplode("words").alias("i", "w"))
+    word = alive.select("id", "n", F.posexplode("words").alias("i", "w"))
     for s in (1, 2):
         word = word.withColumn(f"f{s}", F.xxhash64("w", "i", F.lit(s)).bitwiseAND(_WIDE)).withColumn(f"g{s}", F.xxhash64("w", F.col("i") - 1, F.lit(s)).bitwiseAND(_WIDE))
     whole, so_far = Window.partitionBy("id"), Window.partitionBy("id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,7 +76,10 @@ def line_flags(docs: DataFrame, min_words: int = 3, min_near_words: int = 8) ->
         F.struct(F.lit("del").alias("kind"), F.xxhash64(F.lit("indel"), F.col("n") - 1, F.lit(-1), "deleted1", "deleted2").alias("key")),
         F.when(F.col("i") == 0, F.struct(F.lit("own").alias("kind"), F.xxhash64(F.lit("indel"), "n", F.lit(-1), "all1", "all2").alias("key"))),
     ]
-    variant = table(word.select("id", "first", "i", F.explode(F.array_compact(F.array(*kinds))).alias("v")).select("id", "first", "i", "v.kind", "v.key"))
+    variant = table(word.select("id", "i", F.explode(F.array_compact(F.array(*kinds))).alias("v")).select("id", "i", "v.kind", "v.key"))
+    # Most keys are one line's alone; only the others need the lines' places.
+    keys = table(variant.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    variant = table(variant.join(broadcast_if_small(keys), "key", "left_semi").join(alive.select("id", "first"), "id"))
 
     # The earliest line under each key, of each kind; a line looks to the kind that completes its own.
     earliest = variant.groupBy("key", "kind").agg(F.min(F.struct("first", "id", "i")).alias("e"), F.count("*").alias("under"))
