@@ -44,7 +44,7 @@ def _halves(words: str, n: str) -> Column:
 
 
 def line_flags(docs: DataFrame, min_words: int = 3, min_near_words: int = 8) -> DataFrame:
-    """(doc_id, th, line, gone) of every line of docs (doc_id, text): gone if an earlier line is equal or near.
+    """(doc_id, th, line, gone) of every line of docs (doc_id, not null, and text): gone if an earlier line is equal or near.
 
     Lines of under `min_words` words are never gone; those of under `min_near_words` only if an equal one is earlier.
     """
@@ -106,11 +106,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 3, min_near_words: int = 8) ->
     Columns of `docs` named n_lines or n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    flags = line_flags(docs.select("doc_id", "text"), min_words, min_near_words)
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    flags = line_flags(docs.select(number.alias("doc_id"), "text"), min_words, min_near_words)
     gone = flags.groupBy("doc_id", "th").agg(F.expr("array_sort(collect_set(struct(line, gone)))").alias("__lines"), F.max("gone").alias("any")).where("any").drop("any")
     gone = gone.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "__lines")
     keep = "array_join(transform(filter(zip_with(split(text, '\\n', -1), __lines, (t, f) -> struct(t, f.gone as gone)), x -> not x.gone), x -> x.t), '\\n')"
-    out = docs.withColumn("__t", F.xxhash64("text")).join(gone, F.expr("doc_id <=> __doc and __t = __th"), "left")
+    out = docs.withColumns({"__t": F.xxhash64("text"), "__d": number}).join(gone, F.expr("__d = __doc and __t = __th"), "left")
     text = F.expr(f"if(__lines is null, text, {keep})")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     n_removed = F.expr("coalesce(size(filter(__lines, x -> x.gone)), 0)")

@@ -418,3 +418,5 @@ def test_line_dedup(spark, real, rows):
     assert got == want and len(late) > 20
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
     assert line_dedup.dedup_lines(table(spark, [(None, "a b c\na b c\nx")])).first().text == "a b c\nx"
+    near_null = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(spark, [(None, "a b c d e f g h"), (1, "a b c d E F g x"), (2, "q")])).collect()}
+    assert near_null == {None: "a b c d e f g h", 1: "", 2: "q"}
