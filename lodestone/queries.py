@@ -476,3 +476,40 @@ def q_sliding(t):
 )
 def q_session(t):
     return progress.sessions(t("events"), "1 day").select("user_id", _at("session.start").alias("start"), "n")
+
+
+# Streaming jobs; each takes all input there is and ends
+
+
+def _job(name: str):
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(spark, f"{sf_dir}/events.parquet")
+        return f
+
+    return add
+
+
+@_job("st_crawl_status")
+def st_crawl_status(spark: SparkSession, path: str) -> DataFrame:
+    """Status rows by epoch in a shared folder; the latest of each collection."""
+    out = progress.shared_folder(spark, "status")
+    stream = progress.stream_crawl_status(progress.read_events(spark, path, 1000))
+    progress.drain(stream, lambda df, epoch: progress.upsert_status(spark, out, df, epoch))
+    return progress.read_status(spark, out)
+
+
+@_job("st_windows")
+def st_windows(spark: SparkSession, path: str) -> DataFrame:
+    """Closed day windows, as a watermark of a day lets them go."""
+    out = progress.shared_folder(spark, "windows")
+    stream = progress.windowed(progress.read_events(spark, path, 1000).withWatermark("ts", "1 day"), "1 day")
+    progress.drain(stream, lambda df, epoch: progress.upsert_status(spark, out, df, epoch), "append")
+    return spark.read.parquet(out).select("window.start", "event_type", "n", "total")
+
+
+@_job("st_dedup")
+def st_dedup(spark: SparkSession, path: str) -> DataFrame:
+    """Events once each."""
+    out = progress.shared_folder(spark, "events")
+    progress.drain(progress.stream_dedup(progress.read_events(spark, path, 1000), "365 days"), lambda df, epoch: progress.upsert_status(spark, out, df, epoch), "append")
+    return spark.read.parquet(out).drop("epoch")

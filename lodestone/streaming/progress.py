@@ -5,7 +5,9 @@ Functions on DataFrames take batch and streaming input alike; `stream_*` start j
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +54,7 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A stream of event files, with ts as a timestamp that watermarks take."""
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -88,6 +90,18 @@ def start(df: DataFrame, name: str, mode: str = "update", checkpoint: str | None
     return (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset (as in tests), under a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestone-stream-')}"
+    return f"{root.rstrip('/')}/lodestone-stream-{uuid.uuid4().hex[:12]}/{name}"
+
+
+def drain(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "update") -> None:
+    """Run a stream over all input there is into a foreachBatch sink, with its checkpoint in the shared folder."""
+    w = df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", shared_folder(df.sparkSession, "checkpoint"))
+    w.trigger(availableNow=True).start().awaitTermination()
+
+
 def upsert_status(spark: SparkSession, table_path: str, updates: DataFrame, epoch: int) -> None:
     """A foreachBatch sink: each epoch's rows to a folder of its own, so that a repeated epoch writes the same."""
     updates.write.mode("overwrite").parquet(f"{table_path}/epoch={epoch}")
