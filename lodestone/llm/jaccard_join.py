@@ -118,7 +118,7 @@ def _post(k: int, percent: int, bits: int, ranks):
     """documents -> (key, g, n, pos, c) for each prefix shingle of each class new to this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, seen = ranks.value.astype(np.uint64) << np.uint64(57), set()
+        rank, seen = ranks.value, set()
         for batch in batches:
             keys, gs, ns, ps, cs = [], [], [], [], []
             for _, x, _ in kernel.shingle_sets(batch["text"], k):
@@ -128,7 +128,7 @@ def _post(k: int, percent: int, bits: int, ranks):
                 if (n, c) in seen:
                     continue
                 seen.add((n, c))
-                y = rank[(x >> np.uint64(64 - bits)).astype(np.int64)] | (x >> np.uint64(7))
+                y = (rank[(x >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (x >> np.uint64(7))
                 p = n - -(-percent * n // 100) + 1
                 y = np.sort(np.partition(y, p - 1)[:p] if p < n else y)
                 g = int((kernel.hash_run(y) ^ np.uint64(n)) >> np.uint64(1))

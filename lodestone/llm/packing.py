@@ -25,8 +25,8 @@ from lodestone.llm.store import table
 
 #: Pieces of one length that are ranked in one task; a longer run is divided by a hash.
 RANKED_ROWS = 200_000
-#: Words that a task's memo of token ids holds before it starts anew.
-MEMO_WORDS = 800_000
+#: Words that a Python worker's memo of token ids holds (about 200 bytes each) before it starts anew.
+MEMO_WORDS = 300_000
 
 
 class CapacityTree:
