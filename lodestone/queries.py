@@ -50,6 +50,29 @@ _HYBRID = (
 _COS = "round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"
 
 
+_SEMANTIC = (
+    "WITH s0 AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '[。！？.\\n]') AS p FROM documents WHERE regexp_matches(text, '\\S'))), "
+    "s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, trim(s) AS sentence FROM s0 WHERE trim(s) <> ''), "
+    f"w AS (SELECT doc_id, pos, {_BUCKET.format('w')} AS b, count(*)::DOUBLE AS c FROM (SELECT doc_id, pos, unnest(string_split(sentence, ' ')) AS w FROM s) GROUP BY ALL), "
+    "n AS (SELECT doc_id, pos, sqrt(sum(c*c)) AS norm FROM w GROUP BY ALL), dt AS (SELECT a.doc_id, a.pos, sum(a.c*b.c) AS dot FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.b = b.b AND b.pos = a.pos + 1 GROUP BY ALL), "
+    "d AS (SELECT s.doc_id, s.pos, sentence, CASE WHEN m.norm IS NOT NULL THEN round(1 - coalesce(dot, 0) / (n.norm * m.norm), 9) END AS distance FROM s LEFT JOIN n ON n.doc_id = s.doc_id AND n.pos = s.pos LEFT JOIN n m ON m.doc_id = s.doc_id AND m.pos = s.pos + 1 LEFT JOIN dt ON dt.doc_id = s.doc_id AND dt.pos = s.pos), "
+    "l AS (SELECT doc_id, quantile_cont(distance, 0.95) AS lim FROM d GROUP BY doc_id), c AS (SELECT d.doc_id, pos, sentence, coalesce((distance > lim)::INT, 0) AS cut FROM d JOIN l ON l.doc_id = d.doc_id), "
+    "x AS (SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS section FROM c), "
+    "y AS (SELECT doc_id, section, string_agg(sentence, ' ' ORDER BY pos) AS chunk FROM x GROUP BY ALL) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1)::INT AS chunk_index, chunk FROM y"
+)
+_MARKDOWN = (
+    "WITH t AS (SELECT page_id AS doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<h1[^>]*>', chr(10)||'# ', 'g'), '(?i)</h1>|</p>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS p FROM pages), "
+    "l AS (SELECT doc_id, generate_subscripts(p, 1) AS i, trim(unnest(p)) AS line FROM t), h AS (SELECT *, regexp_matches(line, '^#{1,6}\\s+\\S') AS header FROM l), "
+    "x AS (SELECT *, sum(header::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM h), y AS (SELECT doc_id, section, string_agg(line, chr(10) ORDER BY i) AS chunk FROM x WHERE NOT header AND line <> '' GROUP BY ALL) "
+    "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1)::INT AS chunk_index, chunk FROM y"
+)
+_SUB = (
+    "WITH p AS (SELECT item_id, unnest(q) AS s, generate_subscripts(q, 1) AS i FROM (SELECT item_id, regexp_split_to_array(text, '[.?;\\n]|,? and |,? or ') AS q FROM benchmark)), "
+    "u AS (SELECT item_id, trim(s) AS s, min(i) AS i FROM p WHERE trim(s) <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS n FROM u) "
+    "SELECT item_id, string_agg(s, '|' ORDER BY i) AS questions FROM r WHERE n <= 5 GROUP BY item_id"
+)
+
+
 def query(oracle: str | None = None):
     """Register a function (tables by name) -> DataFrame under its name, with its SQL."""
 
@@ -163,12 +186,12 @@ def q_chunk_recursive(t):
     return chunk.recursive(t("documents"))
 
 
-@query()
+@query(_SEMANTIC)
 def q_chunk_semantic(t):
     return chunk.semantic(t("documents"))
 
 
-@query()
+@query(_MARKDOWN)
 def q_chunk_markdown(t):
     marked = F.regexp_replace(F.regexp_replace("html", r"(?i)<h1[^>]*>", "\n# "), r"(?i)</h1>|</p>", "\n")
     return chunk.markdown(t("pages").select(F.col("page_id").alias("doc_id"), F.regexp_replace(marked, r"<[^>]*>", "").alias("text")))
@@ -404,7 +427,7 @@ def q_marker_split(t):
     return t("conversations").select("conv_id", "turn", F.split_part(whole, F.lit("-----Document Chunks(DC)-----"), F.lit(2)).alias("context"))
 
 
-@query()
+@query(_SUB)
 def q_clean_subquestions(t):
     return adaptive.expand(t("benchmark")).select("item_id", F.array_join("subquestions", "|").alias("questions"))
 
@@ -498,6 +521,9 @@ def st_crawl_status(spark: SparkSession, path: str) -> DataFrame:
     return progress.read_status(spark, out)
 
 
+ORACLES["st_crawl_status"] = "SELECT collection_id, count, status, message FROM (" + ORACLES["q_crawl_status"] + ")"
+
+
 @_job("st_windows")
 def st_windows(spark: SparkSession, path: str) -> DataFrame:
     """Closed day windows, as a watermark of a day lets them go."""
