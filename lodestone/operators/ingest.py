@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import html_text
+from lodestone.session import materialise
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -26,8 +27,8 @@ def crawl_frontier(edges: DataFrame, start: str, prefix: str | None = None, dept
     found = edges.sparkSession.createDataFrame([(start, 0)], "url string, depth int")
     for d in range(1, depth + 1):
         frontier = found.where(F.col("depth") == d - 1).select(F.col("url").alias("src_url"))
-        step = inside.join(F.broadcast(frontier.limit(100_000)) if d == 1 else frontier, "src_url", "left_semi").select(F.col("dst_url").alias("url")).distinct()
-        found = found.unionByName(step.join(found.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)))
+        step = inside.join(frontier, "src_url", "left_semi").select(F.col("dst_url").alias("url")).distinct()
+        found = found.unionByName(materialise(step.join(found.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)), "level"))
     return (found.orderBy("url") if depth_first else found.orderBy("depth", "url")).limit(cap)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.operators import chunk, fusion, graph, ingest, lexical, vector
 from lodestone.plans import adaptive
-from lodestone.session import load
+from lodestone.session import load, shared_folder
 from lodestone.streaming import progress
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -515,7 +515,7 @@ def _job(name: str):
 @_job("st_crawl_status")
 def st_crawl_status(spark: SparkSession, path: str) -> DataFrame:
     """Status rows by epoch in a shared folder; the latest of each collection."""
-    out = progress.shared_folder(spark, "status")
+    out = shared_folder(spark, "status")
     stream = progress.stream_crawl_status(progress.read_events(spark, path, 1000))
     progress.drain(stream, lambda df, epoch: progress.upsert_status(spark, out, df, epoch))
     return progress.read_status(spark, out)
@@ -527,7 +527,7 @@ ORACLES["st_crawl_status"] = "SELECT collection_id, count, status, message FROM
 @_job("st_windows")
 def st_windows(spark: SparkSession, path: str) -> DataFrame:
     """Closed day windows, as a watermark of a day lets them go."""
-    out = progress.shared_folder(spark, "windows")
+    out = shared_folder(spark, "windows")
     stream = progress.windowed(progress.read_events(spark, path, 1000).withWatermark("ts", "1 day"), "1 day")
     progress.drain(stream, lambda df, epoch: progress.upsert_status(spark, out, df, epoch), "append")
     return spark.read.parquet(out).select("window.start", "event_type", "n", "total")
@@ -536,6 +536,6 @@ def st_windows(spark: SparkSession, path: str) -> DataFrame:
 @_job("st_dedup")
 def st_dedup(spark: SparkSession, path: str) -> DataFrame:
     """Events once each."""
-    out = progress.shared_folder(spark, "events")
+    out = shared_folder(spark, "events")
     progress.drain(progress.stream_dedup(progress.read_events(spark, path, 1000), "365 days"), lambda df, epoch: progress.upsert_status(spark, out, df, epoch), "append")
     return spark.read.parquet(out).drop("epoch")

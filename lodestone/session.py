@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,3 +31,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset (as in tests), under a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestone-work-')}"
+    return f"{root.rstrip('/')}/lodestone-work-{uuid.uuid4().hex[:12]}/{name}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to a shared folder and read it from there, which cuts its lineage and survives lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,8 +5,6 @@ Functions on DataFrames take batch and streaming input alike; `stream_*` start j
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestone.session import shared_folder
+
 EVENT = "type string, session_id long, seq long"
 
 
@@ -90,12 +90,6 @@ def start(df: DataFrame, name: str, mode: str = "update", checkpoint: str | None
     return (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (as in tests), under a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestone-stream-')}"
-    return f"{root.rstrip('/')}/lodestone-stream-{uuid.uuid4().hex[:12]}/{name}"
-
-
 def drain(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "update") -> None:
     """Run a stream over all input there is into a foreachBatch sink, with its checkpoint in the shared folder."""
     w = df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", shared_folder(df.sparkSession, "checkpoint"))
