@@ -83,7 +83,7 @@ def _scan(k: int, bits: int):
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(parity, pa.binary()), *void], ["doc_id", "n", "c", "parity", "block", "counts"])
         for b in range(0, len(counts), _BLOCK):
             if counts[b : b + _BLOCK].any():
-                packed = zlib.compress(counts[b : b + _BLOCK].astype("<u4").tobytes(), 1)
+                packed = zlib.compress(np.minimum(counts[b : b + _BLOCK], 255).astype(np.uint8).tobytes(), 1)  # a magnitude is enough
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.array([b // _BLOCK], pa.int32()), pa.array([packed], pa.binary())], ["doc_id", "n", "c", "parity", "block", "counts"])
 
     return run
@@ -93,8 +93,8 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for b, packed in zip(batch["block"].to_pylist(), batch["counts"].to_pylist()):
-            raw = zlib.decompress(packed)  # of 4 bytes a count from the scan, of 8 once added up
-            x = np.frombuffer(raw, "<u4" if len(raw) == 4 * _BLOCK else "<u8").astype(np.uint64)
+            raw = zlib.decompress(packed)  # of a byte a count from the scan, of 8 once added up
+            x = np.frombuffer(raw, np.uint8 if len(raw) == _BLOCK else "<u8").astype(np.uint64)
             total[b] = total[b] + x if b in total else x
     for b, x in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "counts"])
@@ -180,9 +180,9 @@ def _verify(percent: int):
 
 
 def _counter_bits(docs: DataFrame) -> int:
-    """Counters for about 32 shingles each, between 2**16 and 2**24: copies of a text stand out from the chance sums."""
+    """Counters for 4 to 8 shingles each, between 2**16 and 2**24: a few copies of a text stand out from the chance sums."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return min(24, max(16, int(chars / 6 / 32).bit_length()))
+    return min(24, max(16, int(chars / 6 / 8).bit_length()))
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, bits: int | None = None) -> DataFrame:
