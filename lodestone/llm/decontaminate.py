@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment over words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment over words.
 
-Words are runs of letters and digits in lower case.  Every n-word window of a benchmark item is a seed.  A first pass counts
-the documents that hold each seed; a seed that is far commoner than its item's others is a turn of phrase and is
-dropped (the measure is relative, so an item that has leaked everywhere keeps its seeds).  A second pass looks up
-the rare seeds in every window of every document and aligns the item with the passages around its seeds, with gaps
-and substitutions, which scores edited and paraphrased copies.
+Words are runs of letters and digits in lower case.  Every n-word window of a benchmark item is a seed, however many
+documents hold it: a copy that is edited alike in many documents has no other.  One pass looks up the seeds in every
+window of every document and aligns the item with the passages around its seeds, with gaps and substitutions, which
+scores edited and paraphrased copies.  A passage that holds too few of the item's words to reach the threshold, as
+around a turn of phrase, isn't aligned; an alignment scores at most all shared words, so no match is lost.
 """
 
 from __future__ import annotations
@@ -44,15 +44,13 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 class Seeds:
     """Sorted seed hashes with a bit table in front, and where each seed stands in which items."""
 
-    def __init__(self, items: list[tuple[int | None, np.ndarray]], n: int, keep: np.ndarray | None = None) -> None:
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], n: int) -> None:
         self.items, self.n = items, n
         at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        kept = None if keep is None else set(keep.tolist())
         for k, (_, h) in enumerate(items):
             g, _ = kernel.hash_grams(h, np.array([0, len(h)]), n)
             for q, x in enumerate(g.tolist()):
-                if kept is None or x in kept:
-                    at[x].append((k, q))
+                at[x].append((k, q))
         self.at = dict(at)
         self.sorted = np.sort(np.array(list(at), np.uint64))
         self.table = np.zeros(1 << _BITS, bool)
@@ -81,19 +79,6 @@ def _windows(texts: pa.Array, seeds: Seeds):
                 yield a + int(i), h[first[i] : first[i + 1]], g[mine], mine - begin[i]
 
 
-def _count(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds: Seeds = shared.value
-        n = np.zeros(len(seeds.sorted), np.int64)
-        for batch in batches:
-            for _, _, g, _ in _windows(batch["text"], seeds):
-                n[np.searchsorted(seeds.sorted, np.unique(g))] += 1
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(seeds.sorted[some].astype(np.int64)), pa.array(n[some])], ["seed", "n"])
-
-    return run
-
-
 def _match(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: Seeds = shared.value
@@ -112,8 +97,10 @@ def _match(shared, threshold: float):
                         while j + 1 < len(ps) and ps[j + 1] - ps[j] <= reach:
                             j += 1
                         lo = max(0, ps[i] - reach)
-                        score, end = align(item, h[lo : ps[j] + reach])
-                        best = max(best, (score / (MATCH * len(item)), lo + end, j - i + 1))
+                        passage = h[lo : ps[j] + reach]
+                        if np.isin(item, passage).sum() / len(item) >= threshold:
+                            score, end = align(item, passage)
+                            best = max(best, (score / (MATCH * len(item)), lo + end, j - i + 1))
                         i = j + 1
                     if best[0] >= threshold:
                         out.append((docs[row], item_id, *best))
@@ -123,12 +110,12 @@ def _match(shared, threshold: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5, common: int = 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, end_word, n_seeds) for each row of `docs` and distinct benchmark item that align.
 
-    score is the alignment's share of the item's full score (0 to 1, at least `threshold`).  A seed is common when more
-    than `common` times as many documents (and over 100) hold it as the item's median seed.  Null and empty texts, and items of under
-    n words, match nothing; repeated documents are repeated in the result, repeated items are not; ids may be null.
+    score is the alignment's share of the item's full score (0 to 1, at least `threshold`); n_seeds counts the seeds of its
+    passage.  Null and empty texts, and items of under n words, match nothing; repeated documents are repeated in the
+    result, repeated items are not; ids may be null.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -144,15 +131,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
             s, e, _ = kernel.words(raw, np.array([0, len(raw)]), marks=True)
             if len(s) >= n:
                 hashed.append((item_id, kernel.hash_words(raw, s, e)))
-        seeds = Seeds(hashed, n)
-        shared = spark.sparkContext.broadcast(seeds)
-        counts = {r.seed: r.n for r in docs.select("text").mapInArrow(_count(shared), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()} if hashed else {}
-        rare: set[int] = set()
-        for _, h in hashed:
-            g, _ = kernel.hash_grams(h, np.array([0, len(h)]), n)
-            c = np.array([counts.get(x, 0) for x in g.astype(np.int64).tolist()])
-            rare.update(g[(c <= 100) | (c <= common * np.median(c))].tolist())
-        chosen = spark.sparkContext.broadcast(Seeds(hashed, n, np.array(sorted(rare), np.uint64)))
-        found = docs.mapInArrow(_match(chosen, threshold), "doc_id long, item_id long, score double, end_word long, n_seeds long")
+        shared = spark.sparkContext.broadcast(Seeds(hashed, n))
+        found = docs.mapInArrow(_match(shared, threshold), "doc_id long, item_id long, score double, end_word long, n_seeds long")
         out = found if out is None else out.unionByName(found)
     return out

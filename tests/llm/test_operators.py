@@ -316,6 +316,17 @@ def test_decontamination(spark, real):
     assert decontaminate.contaminated(table(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("copies", [200, 2000])
+def test_decontamination_of_one_edited_passage_in_many_documents(spark, copies):
+    item = [f"w{i}" for i in range(20)]
+    edited = ["edited" if i in (4, 9, 14) else w for i, w in enumerate(item)]
+    docs = [(i, f"before {i} {' '.join(edited)} after") for i in range(copies)]
+    docs += [(5000, " ".join(item)), (5001, "w0 w1 w2 w3 as a turn of phrase")]  # a whole copy has rarer seeds than the edited ones
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.contaminated(table(spark, docs), bench).collect()}
+    assert got == {i: 0.775 for i in range(copies)} | {5000: 1.0}
+
+
 def test_alignment_is_smith_watermans():
     rnd = random.Random(6)
     for _ in range(60):
