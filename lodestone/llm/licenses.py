@@ -1,10 +1,12 @@
 """License scanning: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of text as a set of words; it matches a template if it holds at least `containment` of the template's
-words.  Template words are ordered by how often they occur in the corpus, rarest first.  A block that matches must
-hold one of the first |T| - ceil(containment * |T|) + 1 of them (prefix filter), have at least ceil(containment * |T|)
-words (length filter), and from its first shared word on enough words of the template must be left (positional
-filter).  Survivors are verified on the whole sets, so every match is found.
+A block is a line of text, or a window over adjacent lines a little longer than the template, as a set of words; it
+matches a template if it holds at least `containment` of the template's words, and those among them that tell the
+template from another label's notice.  Template words are ordered by how often they occur in the corpus, rarest first.
+A block that matches must hold one of the first |T| - ceil(containment * |T|) + 1 of them (prefix filter), have at
+least ceil(containment * |T|) words (length filter), and from its first shared word on enough words of the template
+must be left (positional filter).  Survivors are verified on the whole sets, so every match is found.  Blocks are made
+of those texts only whose own set of words would match.
 """
 
 from __future__ import annotations
@@ -36,9 +38,31 @@ _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _template_rows(spark: SparkSession, templates) -> DataFrame:
-    """(t, label, words) with distinct lower-case words."""
+    """(t, label, words, length) with distinct lower-case words and the number of all."""
     rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "t int, label string, text string")
-    return rows.select("t", "label", F.array_distinct(F.array_remove(F.split(F.lower("text"), _NOT_WORD), "")).alias("words")).where("size(words) > 0")
+    words = F.array_remove(F.split(F.lower("text"), _NOT_WORD), "")
+    return rows.select("t", "label", F.array_distinct(words).alias("words"), F.size(words).alias("length")).where("size(words) > 0")
+
+
+def _telling(row, rows) -> list[str]:
+    """The words of a template that another label's template, which holds enough of the others, is without."""
+    return sorted({w for r in rows if r.label != row.label and len(set(row.words) & set(r.words)) >= row.need for w in set(row.words) - set(r.words)})
+
+
+def _blocks(texts: DataFrame, containment: float) -> DataFrame:
+    """`texts` (low, of, need, length, others) with `words`, one row for each line and window of at least `need` words.
+
+    Windows begin at words of the template and are its length / `containment` words long, across line breaks.
+    """
+    texts = texts.withColumn("width", F.ceil(F.col("length") / F.lit(containment)).cast("int"))
+    words = lambda text: F.array_remove(F.split(text, _NOT_WORD), "")
+    lines = F.transform(F.split("low", "\n", -1), lambda line: F.array_distinct(words(line)))
+    windows = F.transform(
+        F.array(words(F.col("low"))),
+        lambda s: F.transform(F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: F.array_contains(F.col("of"), F.element_at(s, i))), lambda i: F.array_distinct(F.slice(s, i, F.col("width")))),
+    )[0]
+    enough = F.filter(F.concat(lines, windows), lambda b: F.size(b) >= F.col("need"))
+    return texts.select(*texts.drop("low", "width", "length").columns, F.explode(enough).alias("words"))
 
 
 def license_labels(docs: DataFrame, templates=TEMPLATES, containment: float = 0.9) -> DataFrame:
@@ -47,26 +71,34 @@ def license_labels(docs: DataFrame, templates=TEMPLATES, containment: float = 0.
     Templates are a bounded list and are broadcast; blocks are never paired with each other.
     """
     spark = docs.sparkSession
-    t = _template_rows(spark, templates)
+    need = F.ceil(F.col("size") * F.lit(containment)).cast("int")
+    t = _template_rows(spark, templates).withColumn("size", F.size("words")).withColumn("need", need)
+    known = t.collect()
+    must = [(r.t, _telling(r, known)) for r in known]
+    t = t.join(F.broadcast(spark.createDataFrame(must, "t int, must array<string>")), "t")
     vocabulary = t.select(F.explode("words").alias("word")).distinct()
     counted = docs.select(F.explode(F.split(F.lower("text"), _NOT_WORD)).alias("word")).join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("times"))
-    placed = t.select("t", "label", F.size("words").alias("size"), F.explode("words").alias("word")).join(F.broadcast(counted), "word", "left")
+    placed = t.select("t", "size", "need", F.explode("words").alias("word")).join(F.broadcast(counted), "word", "left")
     order = Window.partitionBy("t").orderBy(F.coalesce("times", F.lit(0)), "word")
-    need = F.ceil(F.col("size") * F.lit(containment)).cast("int")
-    placed = placed.withColumn("pos", F.row_number().over(order) - 1).withColumn("need", need)
+    placed = placed.withColumn("pos", F.row_number().over(order) - 1)
     index = placed.where("pos <= size - need").select("word", "t", "pos", "need", "size")
 
     terms = sorted({r.word for r in index.select("word").distinct().collect()})  # of the templates alone
     some = F.lit(False)
     for w in terms:
         some = some | F.contains(F.col("low"), F.lit(w))
-    blocks = docs.select("doc_id", F.xxhash64("text").alias("th"), F.lower("text").alias("low")).where(some).distinct()
-    blocks = blocks.select("doc_id", "th", F.posexplode(F.split("low", "\n", -1)).alias("block", "low")).where(some)
-    blocks = blocks.select("doc_id", "th", "block", F.array_distinct(F.array_remove(F.split("low", _NOT_WORD), "")).alias("words"))
-    shared = blocks.select("doc_id", "th", "block", "words", F.explode("words").alias("word")).join(F.broadcast(index), "word")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.lower("text").alias("low")).where(some)
+    literal = lambda words: F.array(*(F.lit(w) for w in words))
+    wanted = F.array(*(F.struct(F.lit(r.t).alias("t"), literal(r.words).alias("words"), F.lit(r.need).alias("need")) for r in known))
+    own = F.array_intersect(F.split("low", _NOT_WORD), literal(sorted({w for r in known for w in r.words})))
+    held = F.transform(F.array(own), lambda v: F.filter(wanted, lambda x: F.size(F.array_intersect(v, x["words"])) >= x["need"]))[0]
+    texts = texts.select("doc_id", "th", "low", F.explode(held).alias("x")).select("doc_id", "th", "low", F.col("x.t").alias("t"))
+    of = t.select("t", "label", "must", "need", "length", F.col("words").alias("of"))
+    blocks = _blocks(texts.join(F.broadcast(of), "t"), containment).drop("need")
+    shared = blocks.select("*", F.explode("words").alias("word")).join(F.broadcast(index), ["word", "t"])
     shared = shared.where("size(words) >= need and size - pos >= need")
     # The first shared word in the templates' order is met among others; the filters only drop, the sets decide.
-    pairs = shared.select("doc_id", "th", "block", "words", "t").distinct().join(F.broadcast(t.withColumnRenamed("words", "of")), "t")
+    pairs = shared.select("doc_id", "th", "words", "label", "must", "of").distinct().where("size(array_except(must, words)) = 0")
     common = F.size(F.array_intersect("words", "of"))
     scored = pairs.withColumn("score", common / F.size("of")).where(common >= F.ceil(F.size("of") * F.lit(containment)))
     return scored.groupBy("doc_id", "th").agg(F.collect_set("label").alias("labels"), F.max("score").alias("score"))

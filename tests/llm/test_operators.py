@@ -361,6 +361,20 @@ def test_licenses(spark, real, rows):
     assert licenses.scan_licenses(table(spark, [])).count() == 0
 
 
+def test_license_notices_that_wrap_and_those_of_kin(spark):
+    head = "Copyright (c) 2020 Someone\n\n"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"
+    lgpl = gpl.replace("program", "library").replace("General", "Lesser General")
+    scattered = "\n".join(f"{w} and then eight more words come in here" for w in "this source code form is subject to the terms of mozilla public license".split())
+    texts = [head + mit, head + bsd, isc, mpl, gpl, lgpl, gpl.replace(" the terms", "\nthe terms"), lgpl.replace(" the terms", "\nthe terms"), scattered]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(table(spark, enumerate(texts))).collect()}
+    assert got == {0: "mit", 1: "bsd", 2: "isc", 3: "mpl", 4: "gpl", 5: "gpl,lgpl", 6: "gpl", 7: "gpl,lgpl", 8: ""}
+
+
 # 9: secrets
 
 
