@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.decontaminate import contaminated
 from lodestone.llm.entry import tokenizer_path
 from lodestone.llm.jaccard_join import jaccard_join
-from lodestone.llm.line_dedup import dedup_lines
+from lodestone.llm.line_dedup import WHOLE, dedup_lines
 from lodestone.llm.packing import pack
 from lodestone.llm.quality import quality_rules
 from lodestone.llm.store import broadcast_if_small, table
@@ -21,9 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those that have lost lines and have none of three words left go."""
-    left = dedup_lines(docs)
-    return left.where(r"n_removed = 0 or text rlike '\\S[ \\t]+\\S+[ \\t]+\\S'").select(*_measured(docs))
+    """Documents without repeated lines; those that have lost lines and have only blank ones left go."""
+    left = dedup_lines(docs, **WHOLE)
+    return left.where(r"n_removed = 0 or text rlike '\\S'").select(*_measured(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from lodestone.llm.decontaminate import contaminated
 from lodestone.llm.html_extract import extract_html
 from lodestone.llm.jaccard_join import jaccard_join
 from lodestone.llm.licenses import scan_licenses
-from lodestone.llm.line_dedup import dedup_lines
+from lodestone.llm.line_dedup import WHOLE, dedup_lines
 from lodestone.llm.packing import pack
 from lodestone.llm.pii import pseudonymise
 from lodestone.llm.quality import quality_rules
@@ -77,7 +77,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated lines; the kept text itself and what went."""
-    return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), **WHOLE)
 
 
 QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_ngram_jaccard_join, op3_url_filter, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_decontamination, op8_license_scan, op9_secret_scan, op10_line_dedup)}

@@ -24,6 +24,8 @@ from lodestone.llm.store import broadcast_if_small, table
 _ID = ["h1", "h2", "n"]
 _POS = "struct(doc_id, th, line)"
 _WIDE = 0xFFFFFFFFFF
+#: Bounds of the query and the pipeline: every equal line that isn't blank goes, and one edit in five words or more is near.
+WHOLE = {"min_words": 1, "min_near_words": 5}
 
 
 def _lines(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, html_extract, jaccard_join, kernel, licenses, line_dedup, packing, pii, quality, secrets, url_filter
+import corpus_pipeline
+from lodestone.llm import decontaminate, entry, html_extract, jaccard_join, kernel, licenses, line_dedup, packing, pii, quality, secrets, url_filter
 from lodestone.llm.components import components
 from lodestone.llm.entry import tokenizer_path
 
@@ -445,3 +446,12 @@ def test_line_dedup(spark, real, rows):
     assert line_dedup.dedup_lines(table(spark, [(None, "a b c\na b c\nx")])).first().text == "a b c\nx"
     near_null = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(spark, [(None, "a b c d e f g h"), (1, "a b c d E F g x"), (2, "q")])).collect()}
     assert near_null == {None: "a b c d e f g h", 1: "", 2: "q"}
+
+
+def test_line_dedup_query_takes_short_lines(spark, tmp_path):
+    texts = ["Les.\nAnd ornd.\n\n今日は良い天気ですね\na b c d e\nw x y z", "les.\n \nand  ornd.\n今日は良い天気ですね\na b q d e\nw x q z\n\nnew", "Les.\n今日は雨です"]
+    table(spark, enumerate(texts)).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {0: texts[0], 1: " \nw x q z\n\nnew", 2: "今日は雨です"}
+    assert {r.doc_id: r.text for r in entry.op10_line_dedup(spark, str(tmp_path)).collect()} == want
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").unionByName(table(spark, [(3, "les.\n")]))
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()} == want
