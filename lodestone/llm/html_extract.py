@@ -3,8 +3,9 @@
 Markup is stripped to a list of text blocks in page order; blocks inside elements that are never an article (scripts,
 navigation, forms, comments and the like, by element or by the words of their class, id or role) are boilerplate.
 Text lengths are summed over sliding windows of blocks; the surge is where the window sum first rises over a
-threshold, the dive where it falls back, and the text between them is kept.  An <article> or <main> element that
-holds text marks the region outright, as its blocks are the author's own statement of where the surge begins and ends.
+threshold, the dive where it falls back, and the text between the first surge and the last dive is kept.  An <article>
+or <main> element is evidence: its blocks at the edges, too short for a surge of their own, are kept too, and text outside
+it stays if it surges.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
 
 
 def line_blocks(lengths: list[int], width: int, surge: int, dive: int) -> tuple[int, int]:
-    """[first, end) of the lines between the surge and the dive that hold the most text; (0, 0) if no window surges.
+    """[first, end) of the lines between the first surge and the last dive; (0, 0) if no window surges.
 
     window[i] is the sum of `width` lines from i on.  A region opens at a line of some length whose window reaches
     `surge` and ends before the first window that falls to `dive` or less.
@@ -127,7 +128,7 @@ def line_blocks(lengths: list[int], width: int, surge: int, dive: int) -> tuple[
     for x in lengths:
         total.append(total[-1] + x)
     window = [total[min(n, i + width)] - total[i] for i in range(n)]
-    best, at = (0, 0, 0), 0
+    first, end, at = n, 0, 0
     while at < n:
         if window[at] < surge or not lengths[at]:
             at += 1
@@ -135,22 +136,21 @@ def line_blocks(lengths: list[int], width: int, surge: int, dive: int) -> tuple[
         stop = at
         while stop < n and window[stop] > dive:
             stop += 1
-        if total[stop] - total[at] > best[0]:
-            best = total[stop] - total[at], at, stop
+        first, end = min(first, at), stop
         at = max(stop, at + 1)
-    return best[1], best[2]
+    return min(first, end), end
 
 
 def main_text(page: str, width: int = 3, surge: int = 80, dive: int = 0) -> str:
     """The page's article: its blocks, each with single spaces, joined by two newlines."""
     found = blocks(page)
-    if any(a and not b for _, a, b in found):
-        found = [(t, a, b) for t, a, b in found if a]
-        return "\n\n".join(t for t, _, b in found if not b)
     lengths = [0 if b else len(t) for t, _, b in found]
     first, end = line_blocks(lengths, width, surge, dive)
     if first == end:  # too little text for a surge: all that isn't boilerplate
         first, end = 0, len(found)
+    tagged = [i for i, (_, a, b) in enumerate(found) if a and not b]
+    if tagged:
+        first, end = min(first, tagged[0]), max(end, tagged[-1] + 1)
     return "\n\n".join(t for t, _, b in found[first:end] if not b)
 
 

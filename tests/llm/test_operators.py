@@ -286,6 +286,15 @@ def test_html():
     assert html_extract.line_blocks([0, 5, 0, 90, 80, 0, 0, 0, 3], 3, 80, 0)[1] == 5
 
 
+def test_html_keeps_stories_beside_an_article_and_after_adverts():
+    story = [f"part {i} " + "long text " * 20 + "end" for i in range(4)]
+    p = lambda parts: "".join(f"<p>{x}</p>" for x in parts)
+    advert = "<div class=ad><p>buy</p><p>this</p><p>now</p><p>here</p></div>"
+    assert html_extract.main_text(f"<body><div>{p(story)}</div><article><p>a teaser</p></article></body>") == "\n\n".join([*story, "a teaser"])
+    assert html_extract.main_text(f"<body>{p(story[:1])}{advert}{p(['short'])}{advert}{p(story[1:])}</body>") == "\n\n".join([story[0], "short", *story[1:]])
+    assert html_extract.main_text(f"<body><article><h1>T</h1>{advert}{p(story)}</article></body>") == "\n\n".join(["T", *story])
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<p>x</p>"), (2, "v", "")], "page_id long, url string, html string")
     got = sorted((str(r.page_id), r.text, r.n_chars) for r in html_extract.extract_html(clashing(pages, "text", "n_chars")).collect())
