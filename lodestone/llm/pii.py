@@ -26,7 +26,7 @@ PHONE = r"(?<![0-9+(])(?:(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-
 #: One scan for all kinds; at a place the first that fits takes it.  The look-ahead spares most places the alternatives.
 ANY = f"(?:{EMAIL})|(?=[0-9A-Z+(])(?:" + "|".join(f"(?:{p})" for p in (ISO_DATE, SSN, IP, DAY_DATE, IBAN, CARD, PHONE)).replace("([./])", "[./]") + ")"
 #: Cheap to test, and true of every text with a match.
-HINT = "@|[0-9]{2}"
+HINT = "@|[0-9]{2}|[0-9][.][0-9]"
 ROUNDS = 8
 #: The dates' domain: 270 * 270 days from 1900-01-01 on.
 DATE_SIDE = 270

@@ -152,6 +152,15 @@ def test_pii(spark):
     assert pii.pseudonymise(df, "other").where("doc_id = 2").first().text != two
 
 
+def test_pii_of_texts_with_one_short_value(spark):
+    # The shortest of each kind: all others have an at sign or two digits in a row.
+    texts = ["8.8.8.8", "dns 1.1.1.1 and 8.8.8.8.", "version 1.1.1", "1.2.1999", "a@b.cd", "8.8.8.8 on 2020-02-29"]
+    got = {r.doc_id: r for r in pii.pseudonymise(table(spark, enumerate(texts)), "key").collect()}
+    assert [got[i].n_ip for i in range(6)] == [1, 2, 0, 0, 0, 1] and got[3].n_date == got[4].n_email == 1
+    assert got[0].text != "8.8.8.8" and got[2].text == texts[2]
+    assert got[5].text.split()[0] == got[0].text and got[0].text in got[1].text
+
+
 def luhn(s):
     d = [int(c) for c in s][::-1]
     return sum(x if i % 2 == 0 else (2 * x - 9 if 2 * x > 9 else 2 * x) for i, x in enumerate(d)) % 10 == 0
