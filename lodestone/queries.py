@@ -141,7 +141,7 @@ def q_vector_batch(t):
 
 @query()
 def q_vector_lsh(t):
-    return vector.search_lsh(t("embeddings"), t("embeddings").where("vec_id < 20"), 10)
+    return vector.search_lsh(t("embeddings"), t("embeddings").where("vec_id % 20 = 0"), 10)
 
 
 @query(f"WITH {_hashed('documents', 'doc_id')} SELECT doc_id, bucket::INT AS bucket, w FROM e_documents")

@@ -5,8 +5,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunk, fusion, graph, ingest
+from lodestone.operators import chunk, fusion, graph, ingest, vector
 from lodestone.plans import adaptive
+from lodestone.queries import QUERIES
 from lodestone.sources import files
 from lodestone.streaming import progress
 
@@ -156,3 +157,11 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("once").count() == events.select("event_id").distinct().count()
+
+
+def test_lsh_search_asks_a_twentieth_of_all_vectors_and_recalls_them(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = {(r.query_id, r.vec_id) for r in vector.search(e, e.where("vec_id % 20 = 0"), 10).collect()}
+    got = {(r.query_id, r.vec_id) for r in QUERIES["q_vector_lsh"](spark, "/root/testdata/sf0.01").collect()}
+    assert {q for q, _ in got} == {r.vec_id for r in e.collect() if r.vec_id % 20 == 0}
+    assert len(got & want) >= 0.9 * len(want)
