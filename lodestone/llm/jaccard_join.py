@@ -11,8 +11,9 @@ Two documents link when 100 * |A & B| >= percent * |A | B| for their sets of dis
    at most min(n1 - pos1, n2 - pos2) can be common, and (100 + percent) * common >= percent * (n1 + n2) is needed.
    A pair passes at its first common shingle if it links, so nothing is lost.
 4. Groups are expanded to classes; pairs are filtered by parity bitmaps of about a bit a shingle, whose differing
-   bits are at most the unshared shingles, and verified on the full sets.  First each member meets only the first one under
-   its shingle; classes found connected are then joined no more, and the last round verifies every remaining
+   bits are at most the unshared shingles, and verified on the full sets.  In a round of stars each member meets only one
+   pivot under its shingle; classes found connected are then joined no more.  Rounds with other pivots follow while
+   some shingle has many pairs across components, and the last round verifies every remaining
    pair of classes in different components.  A group of thousands of copies thus costs pairs in proportion to its
    size, and no link between components goes unseen.
 """
@@ -33,6 +34,13 @@ from lodestone.llm.store import table
 
 #: Ends of candidate pairs are broadcast up to this many (40 MB); beyond it their join with the texts is shuffled.
 BROADCAST_ENDS = 1_000_000
+#: 2**COUNTER_BITS counters give the order of shingles (a byte each in the driver and the broadcast).
+COUNTER_BITS = 22
+#: Classes that a task remembers having posted, before it starts anew.
+SEEN_CLASSES = 200_000
+#: Groups of one size under a key have PIVOTS pivots if there are more than PAIRS_FOR_EACH pairs across components each.  Rounds
+#: of stars, STAR_ROUNDS at most, end when there are PAIRS_LEFT each or fewer.
+STAR_ROUNDS, PAIRS_FOR_EACH, PAIRS_LEFT, PIVOTS = 4, 16, 64, 16
 _BLOCK = 1 << 16
 
 
@@ -83,35 +91,53 @@ def _scan(k: int, bits: int):
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(parity, pa.binary()), *void], ["doc_id", "n", "c", "parity", "block", "counts"])
         for b in range(0, len(counts), _BLOCK):
             if counts[b : b + _BLOCK].any():
-                packed = zlib.compress(np.minimum(counts[b : b + _BLOCK], 255).astype(np.uint8).tobytes(), 1)  # a magnitude is enough
+                packed = zlib.compress(np.minimum(counts[b : b + _BLOCK], 65535).astype("<u2").tobytes(), 1)  # a magnitude is enough
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.array([b // _BLOCK], pa.int32()), pa.array([packed], pa.binary())], ["doc_id", "n", "c", "parity", "block", "counts"])
 
     return run
 
 
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for b, packed in zip(batch["block"].to_pylist(), batch["counts"].to_pylist()):
-            raw = zlib.decompress(packed)  # of a byte a count from the scan, of 8 once added up
-            x = np.frombuffer(raw, np.uint8 if len(raw) == _BLOCK else "<u8").astype(np.uint64)
-            total[b] = total[b] + x if b in total else x
-    for b, x in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "counts"])
+def _add_blocks(mean: float | None = None):
+    """Sums of blocks of counters as float32; with `mean`, a byte for each counter instead: how far above the mean it is, in half powers
+    of two of 1.5 standard deviations of chance sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, packed in zip(batch["block"].to_pylist(), batch["counts"].to_pylist()):
+                raw = zlib.decompress(packed)
+                x = np.frombuffer(raw, "<u2" if len(raw) == 2 * _BLOCK else "<f4")
+                if b in total:
+                    total[b] += x
+                else:
+                    total[b] = x.astype(np.float32)
+        for b, x in total.items():
+            if mean is not None:
+                x -= mean
+                x /= 1.5 * max(1.0, mean) ** 0.5
+                np.maximum(x, 0.5, out=x)
+                np.log2(x, out=x)
+                x *= 2
+                np.ceil(x, out=x)
+                x = np.clip(x, 0, 62, out=x).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "counts"])
+
+    return run
 
 
 def _ranks(scanned: DataFrame, bits: int) -> np.ndarray:
-    """For each counter how far above the mean it is, in half powers of two: one byte for each of 2**bits counters."""
+    """One byte for each of 2**bits counters; summed and ranked by executors, so that the driver gets bytes alone."""
+    total = scanned.where("n is not null").agg(F.sum("n")).first()[0] or 0
+    mean = total / (1 << bits)
     blocks = scanned.where("block is not null").select("block", "counts")
     parts = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Two levels, so that no task adds up what all tasks have counted.
-    blocks = blocks.repartition(parts, F.xxhash64("block", "counts")).mapInArrow(_add_blocks, "block int, counts binary")
-    blocks = blocks.repartition(4, "block").mapInArrow(_add_blocks, "block int, counts binary")
-    counts = np.zeros(1 << bits, np.float64)
-    for block, packed in blocks.collect():  # 2**bits counters in all, whatever the input
-        counts[block * _BLOCK : (block + 1) * _BLOCK] += np.frombuffer(zlib.decompress(packed), "<u8")
-    mean = max(1.0, counts.mean())
-    return np.clip(np.ceil(2 * np.log2(np.maximum(counts, 1) / (1.7 * mean))), 0, 62).astype(np.uint8)
+    blocks = blocks.repartition(parts, F.xxhash64("block", "counts")).mapInArrow(_add_blocks(), "block int, counts binary")
+    blocks = blocks.repartition(max(1, (1 << bits) // _BLOCK), "block").mapInArrow(_add_blocks(mean), "block int, counts binary")
+    ranks = np.zeros(1 << bits, np.uint8)
+    for block, packed in blocks.collect():  # 2**bits bytes in all, whatever the input
+        ranks[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return ranks
 
 
 def _post(k: int, percent: int, bits: int, ranks):
@@ -121,6 +147,8 @@ def _post(k: int, percent: int, bits: int, ranks):
         rank, seen = ranks.value, set()
         for batch in batches:
             keys, gs, ns, ps, cs = [], [], [], [], []
+            if len(seen) > SEEN_CLASSES:
+                seen.clear()  # repeats go later on anyway
             for _, x, _ in kernel.shingle_sets(batch["text"], k):
                 if not len(x):
                     continue
@@ -179,24 +207,17 @@ def _verify(percent: int):
     return run
 
 
-def _counter_bits(docs: DataFrame) -> int:
-    """Counters for 4 to 8 shingles each, between 2**16 and 2**24: a few copies of a text stand out from the chance sums."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return min(24, max(16, int(chars / 6 / 8).bit_length()))
-
-
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, bits: int | None = None) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = COUNTER_BITS) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_copies.
 
     `docs` has doc_id and text; other columns are ignored.  A text of fewer than k words has its whole sequence as
     its one shingle; a null, empty or blank text has none and is linked with nothing.  Repeated rows are returned
     as often as they occur.  A row with a null doc_id links nothing and has a null component.
-    n_copies counts the documents with the same set.  2**bits counters order the shingles (a byte each is broadcast,
-    at most 16 MB); by default their number follows the corpus's length.
+    n_copies counts the documents with the same set.  2**bits counters order the shingles, a byte each of which is
+    broadcast.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bits = bits or _counter_bits(docs)
     scanned = table(docs.mapInArrow(_scan(k, bits), "doc_id long, n long, c long, parity binary, block int, counts binary"))
     rows = scanned.where("n is not null").select("doc_id", "n", "c")
     classes = scanned.where("n > 0 and doc_id is not null").groupBy("n", "c").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.min("parity").alias("parity"))
@@ -212,12 +233,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, bits: int | Non
         posted.withColumn("posts", F.count("*").over(under))
         .withColumn("least_n", F.min("n").over(under))
         .withColumn("most", F.max(F.expr(f"100 * n - {far} * pos")).over(under))
-        .withColumn("pivot", F.min(F.struct("g", "n", "pos")).over(under))
         # What can't pass the filter with any other group under the key isn't carried on.
         .where(f"posts > 1 and {far} * (n - pos) - {percent} * n >= {percent} * least_n and most >= {percent} * n")
     )
     posts = table(multi.drop("posts", "least_n", "most"))
-    multi = posts.select("key", "g", "n", "pos", "pivot").distinct()
+    multi = posts.select("key", "g", "n", "pos").distinct()
     members = table(posts.select("g", F.col("n").cast("long").alias("n"), "c").distinct().join(classes, ["n", "c"]).select("g", "n", "c", "id", "parity"))
     return _link(docs, rows, classes, multi, members, k, percent)
 
@@ -226,6 +246,7 @@ def _link(docs, rows, classes, multi, members, k, percent):
     far = 100 + percent
     known = members.select(F.col("id").alias("doc_id"), "c").distinct()
     signs = members.groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    passes = f"{far} * least(n1 - pos1, n2 - pos2) >= {percent} * (n1 + n2)"
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link.  Sets are made of just the documents in pairs whose parities pass, and shuffled once, by pair."""
@@ -240,27 +261,54 @@ def _link(docs, rows, classes, multi, members, k, percent):
         both = sets.groupBy("a", "b").agg(F.max("x").alias("x"), F.max("y").alias("y")).where("x is not null and y is not null")
         return table(both.mapInArrow(_verify(percent), "a long, b long"))
 
-    passes = f"{far} * least(n1 - pos1, n2 - pos2) >= {percent} * (n1 + n2)"
-    first = members.groupBy("g").agg(F.min("id").alias("first"))
-    stars = multi.select(F.col("pivot.g").alias("g1"), F.col("pivot.n").alias("n1"), F.col("pivot.pos").alias("pos1"), F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-    stars = stars.where(f"g1 <> g2 and {passes}").select("g1", "g2").distinct()
-    to = first.select(F.col("g").alias("g1"), F.col("first").alias("a")), members.select(F.col("g").alias("g2"), F.col("id").alias("b"))
-    back = first.select(F.col("g").alias("g2"), F.col("first").alias("a")), members.select(F.col("g").alias("g1"), F.col("id").alias("b"))
-    pairs = stars.join(to[0], "g1").join(to[1], "g2").select("a", "b").unionByName(stars.join(back[0], "g2").join(back[1], "g1").select("a", "b"))
-    pairs = pairs.unionByName(members.join(first, "g").select(F.col("first").alias("a"), F.col("id").alias("b")))
-    edges = verified(pairs)
-
-    so_far = components(edges)
-    placed = table(members.join(so_far.withColumnRenamed("node", "id"), "id", "left").select("g", "n", "id", F.coalesce("component", "id").alias("component")))
-    spread = placed.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    m = multi.select("key", "g", "n", "pos").join(spread, "g")
-    keys = m.groupBy("key").agg(F.min("lo").alias("k_lo"), F.max("hi").alias("k_hi")).where("k_lo <> k_hi").select("key")
-    m = table(m.join(keys, "key", "left_semi"))
+    def one_for_each(groups: str, others: str, pairs: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
+        """For pairs of groups, one member of the first with every member of the other that lies in another component."""
+        one = placed.groupBy(F.col("g").alias(groups)).agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("p"))
+        every = placed.select(F.col("g").alias(others), F.col("id").alias("b"), F.col("component").alias("cb"))
+        return pairs.join(one, groups).join(every, others).where("p.component <> cb").select(F.col("p.id").alias("a"), "b")
+
+    def apart(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The groups whose members lie in several components, and the postings of keys under which groups of several do."""
+        spread = placed.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        m = multi.join(spread, "g").withColumn("size", F.expr(f"cast(floor(ln(n) / ln(100 / {percent}D)) as int)") if percent < 100 else F.col("n"))
+        keys = m.groupBy("key").agg(F.min("lo").alias("k_lo"), F.max("hi").alias("k_hi")).where("k_lo <> k_hi").select("key")
+        return spread.where("lo <> hi").select(F.col("g").alias("g1"), F.col("g").alias("g2")), table(m.join(keys, "key", "left_semi"))
+
+    def stars(m: DataFrame, turn: int) -> DataFrame:
+        """Pairs of groups: each with a pivot under its key, and in crowds with each of several pivots of its size."""
+        what = F.struct("g", "n", "pos", "lo", "hi")
+        picked = m.join(crowds(m, PAIRS_FOR_EACH), ["key", "size"], "left_semi")
+        order = Window.partitionBy("key", "size").orderBy(F.xxhash64("g", F.lit(turn)), "g")
+        pivots = picked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).select("key", "size", what.alias("p"))
+        met = picked.join(pivots, ["key", "size"]).select("p", "g", "n", "pos", "lo", "hi")
+        if not turn:
+            met = met.unionByName(m.join(m.groupBy("key").agg(F.min_by(what, F.xxhash64("g")).alias("p")), "key").select("p", "g", "n", "pos", "lo", "hi"))
+        met = met.where("g <> p.g and not (lo = hi and p.lo = p.hi and lo = p.lo)")
+        return met.where(f"{far} * least(n - pos, p.n - p.pos) >= {percent} * (n + p.n)").select(F.col("p.g").alias("g1"), F.col("g").alias("g2")).distinct()
+
+    def crowds(m: DataFrame, least: int) -> DataFrame:
+        """(key, size) under which groups of about one size have more than `least` pairs across components each."""
+        near = m.where(f"{far} * (n - pos) >= {2 * percent} * n")  # others pass with no group of their size
+        inside = near.groupBy("key", "size", F.expr("if(lo = hi, lo, -g)").alias("in")).agg(F.count("*").alias("c"))
+        pairs = inside.groupBy("key", "size").agg(F.expr("(sum(c) * sum(c) - sum(c * c)) / 2").alias("pairs"), F.sum("c").alias("posts"))
+        return pairs.where(f"pairs > {least} * posts").select("key", "size")
+
+    edges, placed = None, members.select("g", "n", "id", F.col("id").alias("component"))
+    for turn in range(STAR_ROUNDS + 1):
+        wide, m = apart(placed)
+        if turn == STAR_ROUNDS or turn and crowds(m, PAIRS_LEFT).isEmpty():
+            break
+        star = stars(m, turn).unionByName(wide)
+        found = verified(one_for_each("g1", "g2", star, placed, turn).unionByName(one_for_each("g2", "g1", star, placed, turn)))
+        edges = found if edges is None else edges.unionByName(found)
+        so_far = components(edges)
+        placed = table(members.join(so_far.withColumnRenamed("node", "id"), "id", "left").select("g", "n", "id", F.coalesce("component", "id").alias("component")))
+
     one = m.select("key", F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
     two = m.select("key", F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     g_pairs = one.join(two, "key").where(f"g1 < g2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2) and {passes}").select("g1", "g2").distinct()
     # Within a group whose classes lie in several components, its classes meet as under a key of their own.
-    g_pairs = g_pairs.unionByName(spread.where("lo <> hi").select(F.col("g").alias("g1"), F.col("g").alias("g2")))
+    g_pairs = g_pairs.unionByName(wide)
     left = placed.select(F.col("g").alias("g1"), F.col("id").alias("a"), F.col("component").alias("ca"))
     right = placed.select(F.col("g").alias("g2"), F.col("id").alias("b"), F.col("component").alias("cb"))
     rest = g_pairs.join(left, "g1").join(right, "g2").where("ca <> cb and (g1 <> g2 or a < b)").select("a", "b")
