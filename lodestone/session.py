@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -11,6 +14,7 @@ from pyspark.sql import types as T
 
 #: Rows of a side that is still broadcast by hint; larger ones are left to the optimizer.
 BROADCAST_ROWS = 200_000
+_made: dict[str, SparkSession] = {}
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -34,9 +38,28 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (as in tests), under a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestone-work-')}"
-    return f"{root.rstrip('/')}/lodestone-work-{uuid.uuid4().hex[:12]}/{name}"
+    """A new folder under spark.checkpoint.dir; where that is unset (as in tests), under a temporary one, and on a cluster an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{(root or f'file://{_own_folder()}').rstrip('/')}/lodestone-work-{uuid.uuid4().hex[:12]}"
+    _made[path] = spark
+    return f"{path}/{name}"
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="lodestone-work-")
+
+
+@atexit.register
+def cleanup() -> None:
+    """Delete the folders that this process has made, if their session is still there."""
+    for path, spark in list(_made.items()):
+        with contextlib.suppress(Exception):
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _made.clear()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
