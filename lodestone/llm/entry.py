@@ -18,6 +18,9 @@ from lodestone.llm.url_filter import filter_urls
 #: The tokenizer of the packing query; its folder is that of the installed public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
 
+#: The session setting with the key of pseudonyms; Spark hides settings of such names in its pages and logs.
+PII_KEY = "spark.lodestone.pii.secret"
+
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
@@ -30,8 +33,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with pseudonyms for the personal data in its text."""
-    return pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), "a key that a deployment keeps to itself")
+    """Every document with pseudonyms for the personal data in its text; the key is the session's, where it has one."""
+    return pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(PII_KEY, "a key for tests alone"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

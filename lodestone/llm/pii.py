@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Possessive groups and single classes alone, which Java matches without recursion.  A label and its stop are taken if a label follows.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.(?=[A-Za-z]{2}|[A-Za-z0-9-]+\.[A-Za-z0-9]))++[A-Za-z]{2,}"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
@@ -36,9 +37,13 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: The column that holds the key; it comes from a one-row table, so that no plan shows its value.
+KEY = "secret"
+
+
 def _numbers(key: str, tweak: str, x: str, a: int, b: int) -> str:
     """A permutation of 0 .. a * b - 1: x as (x div b, x mod b), each half in turn moved by a keyed hash of the other."""
-    moved = f"cast(conv(substr(sha2(concat({_sql(key)}, '|', {tweak}, '|', r, '|', {{}}), 256), 1, 14), 16, 10) as bigint)"
+    moved = f"cast(conv(substr(sha2(concat({key}, '|', {tweak}, '|', r, '|', {{}}), 256), 1, 14), 16, 10) as bigint)"
     step = f"if(r % 2 = 1, struct((h.l + {moved.format('h.r')}) % {a}L as l, h.r as r), struct(h.l as l, (h.r + {moved.format('h.l')}) % {b}L as r))"
     return f"aggregate(sequence(1, {ROUNDS}), struct(cast(({x}) div {b} as bigint) as l, cast(({x}) % {b} as bigint) as r), (h, r) -> {step}, h -> h.l * {b}L + h.r)"
 
@@ -48,7 +53,7 @@ def _letters(key: str, tweak: str, s: str) -> str:
 
     Each round moves every character of one half within its class by a keyed hash of the other half.
     """
-    stream = f"sha2(concat({_sql(key)}, '|', {tweak}, '|', r, '|', length({{other}}), '|', {{other}}, '|', i div 20), 256)"
+    stream = f"sha2(concat({key}, '|', {tweak}, '|', r, '|', length({{other}}), '|', {{other}}, '|', i div 20), 256)"
     by = f"cast(conv(substr({stream}, 3 * (i % 20) + 1, 3), 16, 10) as int)"
     one = "substr({half}, i + 1, 1)"
     shift = f"case when {one} between '0' and '9' then substr('0123456789', (ascii({one}) - 48 + {by}) % 10 + 1, 1) when {one} between 'a' and 'z' then chr((ascii({one}) - 97 + {by}) % 26 + 97) when {one} between 'A' and 'Z' then chr((ascii({one}) - 65 + {by}) % 26 + 65) else {one} end"
@@ -90,7 +95,7 @@ def _date(key: str, y: str, m: str, d: str) -> tuple[str, str]:
 def _kinds(key: str) -> list[tuple[str, str, str]]:
     """(kind, condition on the match m, pseudonym of m) in the order in which they are tried."""
     full = lambda p: f"m rlike {_sql('^(?:' + p + ')$')}"
-    at = "instr(m, '@')"
+    at, marks = "instr(m, '@')", "regexp_extract(m, '^[._%+-]*', 0)"
     octet = lambda i: f"cast(split(m, '[.]')[{i}] as bigint)"
     ip = _numbers(key, "'ip'", f"(({octet(0)} * 256 + {octet(1)}) * 256 + {octet(2)}) * 256 + {octet(3)}", 65536, 65536)
     part = lambda a, n: f"cast(substr(m, {a}, {n}) as int)"
@@ -112,7 +117,7 @@ def _kinds(key: str) -> list[tuple[str, str, str]]:
     phone_keep = f"if(length({d}) > 10, length({d}) - 10, if(m like '+%', 1, 0))"
     phone = f"concat(substr({d}, 1, {phone_keep}), {_letters(key, _sql('phone'), f'substr({d}, {phone_keep} + 1)')})"
     return [
-        ("email", f"m like '%@%' and {full(EMAIL)}", f"concat({_letters(key, _sql('email'), f'substr(m, 1, {at} - 1)')}, substr(m, {at}))"),
+        ("email", f"m like '%@%' and {full(EMAIL)}", f"concat({marks}, {_letters(key, _sql('email'), f'substr(m, length({marks}) + 1, {at} - 1 - length({marks}))')}, substr(m, {at}))"),
         ("date", f"{full(ISO_DATE)} and {iso}", f"date_format({iso_new}, 'yyyy-MM-dd')"),
         ("ssn", f"{full(SSN)} and {area} between 1 and 899 and {area} <> 666 and {part(5, 2)} > 0 and {part(8, 4)} > 0", ssn_text),
         ("ip", f"{full(IP)} and {' and '.join(octet(i) + ' < 256' for i in range(4))}", f"transform(array({ip}), v -> concat_ws('.', cast(v div 16777216 as string), cast(v div 65536 % 256 as string), cast(v div 256 % 256 as string), cast(v % 256 as string)))[0]"),
@@ -130,15 +135,18 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """Every row of `docs` (text, any others) with the found values in text replaced, and n_email, n_date, n_ssn, n_ip,
     n_iban, n_card and n_phone after the columns, the numbers of values replaced.
 
-    A null text stays null, with zeros; columns of these names are replaced.  Rows are independent: no shuffle.
+    A null text stays null, with zeros; columns of these names are replaced, all others stay, whatever their names.  Rows
+    are independent: no shuffle.  `key` is kept in a one-row table that is broadcast, out of the plan's text.
     """
     docs = docs.drop(*(f"n_{k}" for k in NAMES))
-    what = "case " + " ".join(f"when {test} then '{kind}'" for kind, test, _ in _kinds(key)) + " else '' end"
-    new = "case " + " ".join(f"when k = '{kind}' and {test} then {value}" if kind == "date" else f"when k = '{kind}' then {value}" for kind, test, value in _kinds(key)) + " else m end"
-    some = docs.withColumn("__m", F.when(F.col("text").rlike(HINT) & F.col("text").rlike(ANY), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-    some = some.withColumn("__k", F.expr(f"transform(__m, m -> {what})"))
-    some = some.withColumn("__v", F.expr(f"zip_with(__m, __k, (m, k) -> if(k = '', m, {new}))"))
-    joined = F.expr(f"if(__m is null, text, array_join(zip_with(split(text, {_sql(ANY)}, -1), __v, (g, v) -> concat(g, coalesce(v, ''))), ''))")
-    counts = {f"n_{k}": F.expr(f"cast(coalesce(size(filter(__k, k -> k = '{k}')), 0) as bigint)") for k in NAMES}
-    counts = {n: F.greatest(c, F.lit(0).cast("long")) for n, c in counts.items()}
-    return some.withColumn("text", joined).withColumns(counts).select(*docs.columns, *counts)
+    secret = docs.sparkSession.sql("SELECT * FROM VALUES (:key) AS t(secret)", args={"key": key})
+    what = "case " + " ".join(f"when {test} then '{kind}'" for kind, test, _ in _kinds(KEY)) + " else '' end"
+    new = "case " + " ".join(f"when k = '{kind}' and {test} then {value}" if kind == "date" else f"when k = '{kind}' then {value}" for kind, test, value in _kinds(KEY)) + " else m end"
+    some = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("whole")).crossJoin(F.broadcast(secret))
+    some = some.withColumn("found", F.when(F.col("whole").rlike(HINT) & F.col("whole").rlike(ANY), F.regexp_extract_all("whole", F.lit(ANY), F.lit(0))))
+    some = some.withColumn("kinds", F.expr(f"transform(found, m -> {what})"))
+    some = some.withColumn("put", F.expr(f"zip_with(found, kinds, (m, k) -> if(k = '', m, {new}))"))
+    joined = F.expr(f"if(found is null, whole, array_join(zip_with(split(whole, {_sql(ANY)}, -1), put, (g, v) -> concat(g, coalesce(v, ''))), ''))")
+    counts = [F.expr(f"greatest(cast(coalesce(size(filter(kinds, k -> k = '{k}')), 0) as bigint), 0L)").alias(f"n_{k}") for k in NAMES]
+    columns = [joined.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    return some.select(*columns, *counts)

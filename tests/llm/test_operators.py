@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -161,6 +163,21 @@ def test_pii_of_texts_with_one_short_value(spark):
     assert got[5].text.split()[0] == got[0].text and got[0].text in got[1].text
 
 
+def test_pii_of_long_runs_and_odd_addresses(spark):
+    texts = ["a@" + "x." * 100_000 + "org", "a." * 200_000 + " b@c.org", "_x.y@mail.1and1.co.uk.", "x.y@mail.1and1.co.uk", "q@foo.com-Support q@foo.com.", "q@b..com q@1.2.3.4", "@" * 50_000 + "1" * 50_000]
+    df = table(spark, enumerate(texts))
+    out = pii.pseudonymise(df, "a key of ours")
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[i].n_email for i in range(6)] == [1, 1, 1, 1, 2, 0]
+    assert got[2].text == "_" + got[3].text + "." and got[3].text != texts[3]
+    one, two = got[4].text.split()
+    assert one.removesuffix("-Support") == two.removesuffix(".") and one[0] != "q" and got[6].text == texts[6]
+    assert "a key of ours" not in out._jdf.queryExecution().toString()
+    assert pii.pseudonymise(table(spark, []), "k").count() == 0
+    same = clashing(table(spark, [(1, "b@c.org"), (1, "b@c.org")]), "row", "whole", "found", "kinds", "put", "secret")
+    assert pii.pseudonymise(same, "k").columns[:8] == same.columns and pii.pseudonymise(same, "k").distinct().count() == 1
+
+
 def luhn(s):
     d = [int(c) for c in s][::-1]
     return sum(x if i % 2 == 0 else (2 * x - 9 if 2 * x > 9 else 2 * x) for i, x in enumerate(d)) % 10 == 0
@@ -168,8 +185,8 @@ def luhn(s):
 
 def test_permutations_are_bijections(spark):
     small = spark.range(1000).select(F.expr("lpad(cast(id as string), 3, '0')").alias("s"), "id")
-    assert small.select(F.expr(pii._letters("k", "'t'", "s")).alias("v")).distinct().count() == 1000
-    got = small.select(F.expr(pii._numbers("k", "'t'", "id", 40, 25)).alias("v")).agg(F.countDistinct("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    assert small.select(F.expr(pii._letters("'k'", "'t'", "s")).alias("v")).distinct().count() == 1000
+    got = small.select(F.expr(pii._numbers("'k'", "'t'", "id", 40, 25)).alias("v")).agg(F.countDistinct("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     assert (got.n, got.lo, got.hi) == (1000, 0, 999)
 
 
@@ -196,6 +213,40 @@ def test_url_associations(spark):
     assert url_filter.filter_urls(p.where("false"), labels).count() == 0
 
 
+def test_url_rules_are_those_of_an_enumeration(spark):
+    rnd = random.Random(5)
+    urls = [f"http://{rnd.choice('abc')}.{rnd.choice(['com', 'xyz'])}/{rnd.choice('pqr')}/{rnd.choice('st')}?k{rnd.randint(0, 2)}=1" for _ in range(400)]
+    bad = ["xyz/p" in u or "//a" in u and "/s?" in u for u in urls]
+    items = [{*(f"h:{x}" for x in u.split("/")[2].split(".")), *(f"p:{x}" for x in u.split("?")[0].split("/")[3:]), "q:" + u.split("?")[1][:2]} for u in urls]
+    rules = set()
+    for k in range(1, 6):
+        for c in {frozenset(x) for i in items for x in itertools.combinations(sorted(i), k)}:
+            n = [b for i, b in zip(items, bad) if c <= i]
+            if sum(n) >= 10 and sum(n) >= 0.9 * len(n):
+                rules.add(c)
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([*enumerate(urls), (500, urls[0]), (501, None), (501, None), (None, urls[1])], "page_id long, url string")
+    got = {(r.page_id, r.verdict) for r in url_filter.filter_urls(clashing(pages, "items", "mined"), labels, rules=()).collect()}
+    want = {(i, "block" if any(c <= x for c in rules) else "allow") for i, x in enumerate(items)}
+    says = dict(want)
+    assert got == want | {(500, says[0]), (501, "allow"), (None, says[1])} and 0 < sum(v == "block" for _, v in want) < 400
+
+
+def test_url_mining_of_long_paths_ends(spark):
+    rnd = random.Random(1)
+    same = "/".join(f"s{j}" for j in range(200))
+    pages = [(i, f"http://a.com/{same}") for i in range(40)] + [(100 + i, "http://b.com/" + "/".join(f"t{j}" for j in range(200) if rnd.random() < 0.9)) for i in range(40)]
+    labels = spark.createDataFrame([(i, 0 if i < 100 else i % 2, 0) for i, _ in pages], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()}
+    assert len(got) == 80 and all(got[i] == "block" for i in range(40))
+
+
+def test_fixed_rules_teach_the_miner(spark):
+    pages = [(i, f"http://x{i}.net/{i % 3}/shop") for i in range(30)] + [(100 + i, f"http://y{i}.org/fr/talk") for i in range(30)] + [(200, "http://z.info/shop"), (201, "http://z.info/talk")]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert got[200] == "block" and got[201] == "allow" and got[0] == "block" and got[100] == "allow"
+
+
 # 4: quality
 
 
@@ -249,6 +300,17 @@ def test_packing(spark, real, rows):
     assert packing.pack(table(spark, []), tokenizer_path()).count() == 0
 
 
+def test_packing_divides_the_ranks_of_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED_ROWS", 1)
+    docs = table(spark, [(i, "the " * (i % 700)) for i in range(2100)])
+    got = packing.pack(docs, tokenizer_path(), 1024).collect()
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert sorted(r.doc_id for r in got) == list(range(2100)) and len(bins) == plain_best_fit([r.length for r in got], 1024)
+    assert all(sorted(o for o, _ in b) == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] for b in bins.values())
+
+
 def plain_best_fit(lengths, capacity):
     left = []
     for n in sorted(lengths, reverse=True):
@@ -295,6 +357,33 @@ def test_html():
     assert html_extract.line_blocks([0, 5, 0, 90, 80, 0, 0, 0, 3], 3, 80, 0)[1] == 5
 
 
+def test_line_blocks_are_those_of_a_plain_loop():
+    rnd = random.Random(3)
+    for _ in range(300):
+        lengths = [rnd.choice([0, 0, 3, 20, 60, 200]) for _ in range(rnd.randrange(25))]
+        window = [sum(lengths[i : i + 3]) for i in range(len(lengths))]
+        kept, inside = [], False
+        for i, n in enumerate(lengths):
+            inside = inside and window[i] > 0 or not inside and n > 0 and window[i] >= 80
+            kept += [i] if inside else []
+        want = (kept[0], kept[-1] + 1) if kept else (0, 0)
+        assert html_extract.line_blocks(lengths, 3, 80, 0) == want
+
+
+def test_html_of_broken_and_long_pages():
+    began = time.monotonic()
+    assert html_extract.main_text("<a " * 1_700_000).count("<a") == 1_700_000
+    for page in ("<p " * 100_000, "<![CDATA[" * 500_000, '<a "' * 500_001, "<div>" * 300_000 + "</x>" * 300_000, "<script>" + "</script " * 300_000, "<!--" + "x" * 1_000_000, "&" * 1_000_000):
+        html_extract.main_text(page)
+    assert time.monotonic() - began < 20
+    assert html_extract.main_text("<p>&#" + "9" * 5000 + "; &#00000065;</p>") == "\ufffd A"
+    assert html_extract.main_text("""<p title="a > b" lang='x'>one</p><p class=">">two""") == "one\n\ntwo"
+    assert html_extract.main_text('<p title="open>one</p><p>two</p>') == "one\n\ntwo"
+    bare = "".join(f"<div>{'long text ' * 20}{i}</div>" for i in range(3))
+    # Without any mark, what is farther from the story than a window goes.
+    assert html_extract.main_text(f"<div>a</div><div>b</div><div>c</div><div>d</div>{bare}<div>e</div>").startswith("c\n\nd\n\nlong")
+
+
 def test_html_keeps_stories_beside_an_article_and_after_adverts():
     story = [f"part {i} " + "long text " * 20 + "end" for i in range(4)]
     p = lambda parts: "".join(f"<p>{x}</p>" for x in parts)
@@ -417,9 +506,27 @@ def test_battery_tells_keys_from_text(spark):
     syllables = "the of and ing tion er re st nd ha th ou ble ea on in an".split()
     rows = [("".join(rnd.choice("0123456789abcdef") for _ in range(40)), True) for _ in range(150)] + [("".join(rnd.choice(letters) for _ in range(32)), True) for _ in range(150)]
     rows += [("".join(rnd.choice(syllables) for _ in range(9)) + str(rnd.randint(1, 2030)), False) for _ in range(150)]
-    kept = secrets.not_rejected(secrets.battery(spark.createDataFrame(rows, "part string, key boolean")), 0.1)
+    texts = table(spark, [(i, " ".join(rnd.choice(syllables) + rnd.choice(syllables) for _ in range(400))) for i in range(40)])
+    null = secrets.text_runs(texts)
+    kept = secrets.discoveries(secrets.battery(spark.createDataFrame(rows, "part string, key boolean")), null, 0.1)
     n = {r.key: r.n for r in kept.groupBy("key").agg(F.count("*").alias("n")).collect()}
     assert n[True] >= 295 and n.get(False, 0) <= 5
+    # Texts alone give no discoveries, whatever their length, and the control's cut is that of a plain loop.
+    alone = [("".join(rnd.choice(syllables) for _ in range(k)) + "-" * (k % 2), False) for k in range(8, 60) for _ in range(5)]
+    tested = secrets.battery(spark.createDataFrame([*alone, ("7" * 30, False), *rows], "part string, key boolean"))
+    got = secrets.discoveries(tested, null, 0.1).collect()
+    assert secrets.discoveries(secrets.battery(spark.createDataFrame(alone, "part string, key boolean")), null, 0.1).count() <= 2
+    texts_at, tests_at = collections.defaultdict(list), collections.defaultdict(list)
+    for r in null.collect():
+        texts_at[r.family, r.band] += [r.bin] * r.n
+    for r in tested.collect():
+        tests_at[int(r.encoding != "letters"), r.band].append((min(int(r.f * secrets.FINE // 1), secrets.LIMIT * secrets.FINE), r.part))
+    want = []
+    for at, found in tests_at.items():
+        p = lambda b: (1 + sum(x <= b for x in texts_at[at])) / (1 + len(texts_at[at]))  # noqa: B023, E731
+        cut = max((b for b, _ in found if p(b) <= 0.1 * sum(x <= b for x, _ in found) / len(found)), default=-1)
+        want += [part for b, part in found if b <= cut]
+    assert sorted(r.part for r in got) == sorted(want)
 
 
 # 10: lines
