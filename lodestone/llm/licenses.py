@@ -2,16 +2,16 @@
 
 A block is a line of text, or a window over adjacent lines a little longer than the template, as a set of words; it
 matches a template if it holds at least `containment` of the template's words, and those among them that tell the
-template from another label's notice.  Template words are ordered by how often they occur in the corpus, rarest first.
-A block that matches must hold one of the first |T| - ceil(containment * |T|) + 1 of them (prefix filter), have at
-least ceil(containment * |T|) words (length filter), and from its first shared word on enough words of the template
-must be left (positional filter).  Survivors are verified on the whole sets, so every match is found.  Blocks are made
+template from another label's notice.  The templates' words are ordered by how often they occur in the corpus, rarest first.
+A block that matches must hold one of the first |T| - ceil(containment * |T|) + 1 of a template's (prefix filter), have at
+least ceil(containment * |T|) words (length filter), and from their first shared word on enough words of both the template
+and the block must be left (positional filter).  Survivors are verified on the whole sets, so every match is found.  Blocks are made
 of those texts only whose own set of words would match.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Phrases whose places are counted, with their labels.
@@ -39,7 +39,8 @@ _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def _template_rows(spark: SparkSession, templates) -> DataFrame:
     """(t, label, words, length) with distinct lower-case words and the number of all."""
-    rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "t int, label string, text string")
+    listed = F.array(*(F.struct(F.lit(i).alias("t"), F.lit(label).alias("label"), F.lit(text).alias("text")) for i, (label, text) in enumerate(templates)))
+    rows = spark.range(1).select(F.explode(listed).alias("x")).select("x.*")
     words = F.array_remove(F.split(F.lower("text"), _NOT_WORD), "")
     return rows.select("t", "label", F.array_distinct(words).alias("words"), F.size(words).alias("length")).where("size(words) > 0")
 
@@ -74,30 +75,35 @@ def license_labels(docs: DataFrame, templates=TEMPLATES, containment: float = 0.
     need = F.ceil(F.col("size") * F.lit(containment)).cast("int")
     t = _template_rows(spark, templates).withColumn("size", F.size("words")).withColumn("need", need)
     known = t.collect()
-    must = [(r.t, _telling(r, known)) for r in known]
-    t = t.join(F.broadcast(spark.createDataFrame(must, "t int, must array<string>")), "t")
-    vocabulary = t.select(F.explode("words").alias("word")).distinct()
-    counted = docs.select(F.explode(F.split(F.lower("text"), _NOT_WORD)).alias("word")).join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("times"))
-    placed = t.select("t", "size", "need", F.explode("words").alias("word")).join(F.broadcast(counted), "word", "left")
-    order = Window.partitionBy("t").orderBy(F.coalesce("times", F.lit(0)), "word")
-    placed = placed.withColumn("pos", F.row_number().over(order) - 1)
-    index = placed.where("pos <= size - need").select("word", "t", "pos", "need", "size")
-
-    terms = sorted({r.word for r in index.select("word").distinct().collect()})  # of the templates alone
+    literal = lambda words: F.array(*(F.lit(w) for w in words)).cast("array<string>")
+    vocabulary = sorted({w for r in known for w in r.words})
+    listed = spark.range(1).select(F.explode(literal(vocabulary)).alias("word"))
+    counted = docs.select(F.explode(F.split(F.lower("text"), _NOT_WORD)).alias("word")).join(F.broadcast(listed), "word").groupBy("word").agg(F.count("*").alias("times"))
+    times = {r.word: r.times for r in counted.collect()}  # of the templates' words alone
+    ordered = sorted(vocabulary, key=lambda w: (times.get(w, 0), w))
+    place = {w: i + 1 for i, w in enumerate(ordered)}
+    entries = [(r.t, place[w], pos, r.size, r.need) for r in known for pos, w in enumerate(sorted(r.words, key=place.get)) if pos <= r.size - r.need]
+    index = spark.range(1).select(F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("t", "rank", "pos", "size", "need"), e))) for e in entries))).alias("x")).select("x.*")
+    terms = sorted({ordered[e[1] - 1] for e in entries})
+
     some = F.lit(False)
     for w in terms:
         some = some | F.contains(F.col("low"), F.lit(w))
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.lower("text").alias("low")).where(some)
-    literal = lambda words: F.array(*(F.lit(w) for w in words))
     wanted = F.array(*(F.struct(F.lit(r.t).alias("t"), literal(r.words).alias("words"), F.lit(r.need).alias("need")) for r in known))
-    own = F.array_intersect(F.split("low", _NOT_WORD), literal(sorted({w for r in known for w in r.words})))
+    own = F.array_intersect(F.split("low", _NOT_WORD), literal(ordered))
     held = F.transform(F.array(own), lambda v: F.filter(wanted, lambda x: F.size(F.array_intersect(v, x["words"])) >= x["need"]))[0]
     texts = texts.select("doc_id", "th", "low", F.explode(held).alias("x")).select("doc_id", "th", "low", F.col("x.t").alias("t"))
+    must = F.array(*(F.struct(F.lit(r.t).alias("t"), literal(_telling(r, known)).alias("must")) for r in known))
+    t = t.withColumn("must", F.filter(must, lambda x: x["t"] == F.col("t"))[0]["must"])
     of = t.select("t", "label", "must", "need", "length", F.col("words").alias("of"))
     blocks = _blocks(texts.join(F.broadcast(of), "t"), containment).drop("need")
-    shared = blocks.select("*", F.explode("words").alias("word")).join(F.broadcast(index), ["word", "t"])
-    shared = shared.where("size(words) >= need and size - pos >= need")
-    # The first shared word in the templates' order is met among others; the filters only drop, the sets decide.
+    # A block as the ranks of its words that any template has, in the same order as the templates' own.
+    ranks = F.array_sort(F.filter(F.transform("words", lambda w: F.array_position(literal(ordered), w)), lambda k: k > 0))
+    ranked = blocks.withColumn("ranks", ranks)
+    shared = ranked.select("*", F.posexplode("ranks").alias("at", "rank")).join(F.broadcast(index), ["rank", "t"])
+    # From a shared word on, the rest of the block and that of the template bound what else they share; the first one lets all matches pass.
+    shared = shared.where("size(words) >= need and 1 + least(size(ranks) - at - 1, size - pos - 1) >= need")
     pairs = shared.select("doc_id", "th", "words", "label", "must", "of").distinct().where("size(array_except(must, words)) = 0")
     common = F.size(F.array_intersect("words", "of"))
     scored = pairs.withColumn("score", common / F.size("of")).where(common >= F.ceil(F.size("of") * F.lit(containment)))
