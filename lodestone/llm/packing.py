@@ -205,13 +205,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     packed = {"key": (capacity - a[:, 0]) * (1 << 45) + a[:, 1], "rank": a[:, 1], "each": a[:, 2], "bin": a[:, 3], "offset": a[:, 4]}
 
     # Ranks within a length: in buckets of bounded size, each starting after the buckets before it.
-    split = F.lit(1)
-    for n, c in counts.items():
-        if c > RANKED_ROWS:
-            split = F.when(F.col("length") == n, c // RANKED_ROWS + 1).otherwise(split)
-    hashed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id()), split))
-    if max(counts.values(), default=0) > RANKED_ROWS:
-        hashed = table(hashed)
+    crowded = [(n, c // RANKED_ROWS + 1) for n, c in sorted(counts.items()) if c > RANKED_ROWS]
+    if crowded:  # a row for each such length, at most `capacity`
+        split = F.broadcast(spark.createDataFrame(crowded, "length long, buckets long"))
+        spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id()), F.coalesce("buckets", F.lit(1)))
+        hashed = table(pieces.join(split, "length", "left").withColumn("bucket", spread).drop("buckets"))
+    else:
+        hashed = pieces.withColumn("bucket", F.lit(0).cast("long"))
     sizes = hashed.groupBy("length", "bucket").agg(F.count("*").alias("rows"))
     begin = sizes.select("length", "bucket", (F.sum("rows").over(Window.partitionBy("length").orderBy("bucket")) - F.col("rows")).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
