@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +31,10 @@ MARKED = frozenset(
     "header masthead footer contentinfo comment comments disqus reply replies cookie cookies consent gdpr notice notices popup modal overlay dialog newsletter subscribe subscription signup login search form "
     "share sharing social related recommended toolbar widget copyright skip pagination pager".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: What is left of a tag: quoted values may hold its end.  Possessive, so that a failure is one pass.
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_LONG_NUMBER = re.compile(r"&#0*+[0-9]{8,};?")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
@@ -54,63 +58,116 @@ def _marked(tag: str, attrs: str) -> bool:
     return False
 
 
+def _unescape(text: str) -> str:
+    """Character references decoded; a number beyond all characters is the replacement character."""
+    return html.unescape(_LONG_NUMBER.sub("\ufffd", text)) if "&" in text else text
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str, str]]:
+    """(start, end, kind, slash, name, attributes) of the markup in page order; kind is tag, data (CDATA) or skip.
+
+    One pass: what isn't found to the end of the page once is not looked for again.  Once quotes don't balance up to the end,
+    a tag ends at its first >.  After a yield the caller may send the place to go on from.
+    """
+    at, missing, loose = 0, set(), False
+
+    def find(what: str, begin: int) -> int:
+        if what in missing:
+            return -1
+        if (k := page.find(what, begin)) < 0:
+            missing.add(what)
+        return k
+
+    while (at := find("<", at)) >= 0:
+        kind, slash, name, attrs, end = "skip", "", "", "", -1
+        if page.startswith("<!--", at):
+            end = find("-->", at + 4)
+            end = end + 3 if end >= 0 else len(page)
+        elif page.startswith("<![CDATA[", at) and (end := find("]]>", at + 9)) >= 0:
+            kind, end = "data", end + 3
+        elif page.startswith(("<!", "<?"), at):
+            end = find(">", at) + 1 or -1
+        elif m := _NAME.match(page, at):
+            kind, slash, name = "tag", m[1], m[2]
+            end = find(">", m.end())
+            attrs = page[m.end() : end] if end >= 0 else ""
+            if end >= 0 and not loose and (attrs.count('"') % 2 or attrs.count("'") % 2):
+                if rest := _REST.match(page, m.end()):
+                    end = rest.end() - 1
+                    attrs = page[m.end() : end]
+                else:
+                    loose = True
+            end = end + 1 or -1
+        if end < 0:
+            at += 1
+            continue
+        sent = yield at, end, kind, slash, name, attrs
+        at = sent or end
+
+
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, inside an article or main element, boilerplate by markup) of every block in page order."""
+    """(text, inside an article or main element, boilerplate by markup) of every block in page order, in one pass."""
     out: list[tuple[str, bool, bool]] = []
     stack: list[tuple[str, bool]] = []  # open elements that matter: (tag, boilerplate)
     text: list[str] = []
     dropped = inside = 0
+    open_tags: Counter[str] = Counter()
 
     def end() -> None:
         if text:
-            if line := _SPACES.sub(" ", html.unescape("".join(text))).strip():
+            if line := _SPACES.sub(" ", _unescape("".join(text))).strip():
                 out.append((line, inside > 0, dropped > 0))
             text.clear()
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
+    def close(k: int) -> None:
+        nonlocal dropped, inside
+        for t, b in stack[k:]:
+            dropped -= b
+            inside -= t in ("article", "main")
+            open_tags[t] -= 1
+        del stack[k:]
+
+    at, tokens, go_on = 0, _tokens(page), None
+    while True:
+        try:
+            start, stop, kind, slash, name, attrs = tokens.send(go_on)
+        except StopIteration:
             text.append(page[at:])
             break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            text.append(html.escape(m[1], quote=False))
-        if not m[3]:
+        go_on = None
+        text.append(page[at:start])
+        at = stop
+        if kind == "data":
+            text.append(html.escape(page[start + 9 : stop - 3], quote=False))
+        if kind != "tag":
             continue
-        tag = m[3].lower()
-        if tag in INLINE and not (stack and stack[-1][0] == tag) and (m[2] or not _marked(tag, m[4])):
-            if tag in ("br", "wbr", "img"):
-                text.append(" " if tag == "br" else "")
+        tag = name.lower()
+        if tag in INLINE and not (stack and stack[-1][0] == tag) and (slash or not _marked(tag, attrs)):
+            if tag == "br":
+                text.append(" ")
             continue
         end()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    for t, b in stack[i:]:
-                        dropped -= b
-                        inside -= t in ("article", "main")
-                    del stack[i:]
-                    break
+        if slash:
+            if open_tags[tag] > 0:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
             continue
-        if tag in VOID or m[4].endswith("/") and tag not in ("p", "div", "article", "main", "section"):
+        if tag in VOID or attrs.endswith("/") and tag not in ("p", "div", "article", "main", "section"):
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
+            m = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+            at = page.find(">", m.end()) + 1 if m else 0
+            go_on = at = at or len(page)
             continue
-        if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
-            t, b = stack.pop()
-            dropped -= b
-        if tag == "p":
-            if stack and stack[-1][0] == "p":
-                dropped -= stack.pop()[1]
-        elif tag in ("body", "html"):
+        if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag] or tag == "p" and stack and stack[-1][0] == "p":
+            close(len(stack) - 1)
+        if tag in ("body", "html"):
             continue
-        b = _marked(tag, m[4])
+        b = _marked(tag, attrs)
         stack.append((tag, b))
+        open_tags[tag] += 1
         dropped += b
         inside += tag in ("article", "main")
     end()
