@@ -35,7 +35,7 @@ from lodestone.llm.store import table
 #: Ends of candidate pairs are broadcast up to this many (40 MB); beyond it their join with the texts is shuffled.
 BROADCAST_ENDS = 1_000_000
 #: 2**COUNTER_BITS counters give the order of shingles (a byte each in the driver and the broadcast).
-COUNTER_BITS = 22
+COUNTER_BITS = 21
 #: Classes that a task remembers having posted, before it starts anew.
 SEEN_CLASSES = 200_000
 #: Groups of one size under a key have PIVOTS pivots if there are more than PAIRS_FOR_EACH pairs across components each.  Rounds
