@@ -18,9 +18,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset (as in tests) a folder of our own."""
+    """spark.checkpoint.dir, or where it is unset (as in tests) a folder of our own; on a cluster that is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="lodestone-"))
     return f"file://{_own[0]}"
