@@ -6,6 +6,7 @@ run as Arrow-batched Python over rows; both keep every chunk within its size.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -77,37 +78,34 @@ def split_recursive(text: str, size: int, overlap: int, separators: tuple[str, .
     return [*chunks, "".join(held)] if held else chunks
 
 
+def fill(units: list[tuple[str, str]], limit: int) -> list[str]:
+    """Greedy chunks of (glue, text) units of at most `limit` characters each; a unit's glue stands before it unless it begins a chunk."""
+    chunks: list[list[str]] = []
+    room = -1
+    for glue, text in units:
+        need = len(glue) + len(text)
+        if need <= room:
+            chunks[-1] += [glue, text]
+            room -= need
+        else:
+            chunks.append([text])
+            room = limit - len(text)
+    return ["".join(c) for c in chunks]
+
+
+_STOP = re.compile(r"(?<=。)|(?<=\. )")
+
+
 def split_long(text: str, limit: int = LONG) -> list[str]:
-    """Paragraphs packed to `limit` characters; a longer paragraph by sentences, a longer sentence by slices."""
-    if len(text) <= limit:
-        return [text]
-    out: list[str] = []
-    current = ""
+    """Chunks of at most `limit` characters that break at paragraphs, in longer paragraphs after stops, in longer sentences anywhere."""
+    units: list[tuple[str, str]] = []
     for paragraph in text.split("\n\n"):
-        if len(current) + len(paragraph) + 2 <= limit:
-            current = f"{current}\n\n{paragraph}" if current else paragraph
-            continue
-        if current:
-            out.append(current)
-        current = ""
-        if len(paragraph) <= limit:
-            current = paragraph
-            continue
-        marked = paragraph.replace("。", "。\0").replace(". ", ". \0")
-        for sentence in filter(None, marked.split("\0")):
-            if len(current) + len(sentence) <= limit:
-                current += sentence
-                continue
-            if current:
-                out.append(current)
-            current = ""
-            if len(sentence) <= limit:
-                current = sentence
-            else:
-                slices = [sentence[i : i + limit] for i in range(0, len(sentence), limit)]
-                out += slices[:-1]
-                current = slices[-1]
-    return [x for x in (*out, current) if x.strip()] or [text[:limit]]
+        glue = "\n\n"
+        for sentence in [paragraph] if len(paragraph) <= limit else _STOP.split(paragraph):
+            for at in range(0, len(sentence), limit):
+                units.append((glue, sentence[at : at + limit]))
+                glue = ""
+    return [c for c in fill(units, limit) if c.strip()]
 
 
 def _by_row(docs: DataFrame, split: Callable[[str], list[str]]) -> DataFrame:
@@ -184,3 +182,8 @@ def with_metadata(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """Chunks of documents with document_name, chunk_size and total_chunks."""
     total = F.count("*").over(Window.partitionBy("doc_id"))
     return chunks.join(names, "doc_id").select("doc_id", "document_name", "chunk_index", F.length("chunk").alias("chunk_size"), total.alias("total_chunks"), "chunk")
+
+
+def clear_metadata(chunks: DataFrame) -> DataFrame:
+    """Chunks with nothing but their place and text."""
+    return chunks.select("doc_id", "chunk_index", "chunk")

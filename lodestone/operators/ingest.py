@@ -36,12 +36,12 @@ def blocks(pages: DataFrame) -> DataFrame:
     """(page_id, pos, block, html_chars, text_chars): pages cut at closing block tags."""
     parts = F.split("html", r"(?i)</(?:p|div|li|h[1-6]|td|article|section|footer|nav|ul|script|style)>")
     b = pages.select("page_id", F.posexplode(parts).alias("pos", "raw")).withColumn("block", html_text("raw"))
-    return b.select("page_id", "pos", "block", F.length("raw").alias("html_chars"), F.length("block").alias("text_chars"))
+    return b.select("page_id", "pos", "block", "raw", F.length("raw").alias("html_chars"), F.length("block").alias("text_chars"))
 
 
 def prune_blocks(pages: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Blocks of which at least `threshold` of the characters are text."""
-    return blocks(pages).where("text_chars > 0").where(F.col("text_chars") >= threshold * F.col("html_chars"))
+    return blocks(pages).where("text_chars > 0").where(F.col("text_chars") >= threshold * F.col("html_chars")).drop("raw")
 
 
 def write_collection(chunks: DataFrame, path: str, mode: str = "append") -> None:
@@ -64,3 +64,53 @@ def number_chunks(chunks: DataFrame) -> DataFrame:
     index = (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).alias("chunk_index")
     out = chunks.select("*", index)
     return out.withColumn("chunk_id", F.md5(F.concat_ws("-", "doc_id", "chunk_index")))
+
+
+def core_blocks(pages: DataFrame) -> DataFrame:
+    """Blocks of core content: none that begin navigation, headers, footers, sidebars or forms, and no list of links."""
+    return blocks(pages).where("text_chars > 0").where(~F.col("raw").rlike(r"(?i)<(nav|footer|aside|header|form)[ >]") & ~F.col("raw").rlike(r"(?i)^\s*<(li|a)[ >]"))
+
+
+def load_collection(spark, path: str, collection_id: str) -> DataFrame:
+    """One tenant's chunks, kept in executors' memory (and on their disks) from their first use on."""
+    return read_collection(spark, path, collection_id).persist()
+
+
+def _collection(spark, path: str, collection_id: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/collection_id={collection_id}")
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_collection(spark, path: str, collection_id: str) -> str:
+    """Delete a tenant's partition: success, or warning where there is none."""
+    place, files = _collection(spark, path, collection_id)
+    if not files.exists(place):
+        return "warning"
+    files.delete(place, True)
+    return "success"
+
+
+def drop_workspace(spark, stores: dict[str, str], collection_id: str) -> dict[str, str]:
+    """Drop a collection in every store (path by name); a store that fails is reported and the others still go."""
+    out = {}
+    for name, path in stores.items():
+        try:
+            out[name] = drop_collection(spark, path, collection_id)
+        except Exception as e:  # foreign storage: its failure is a result here
+            out[name] = f"error: {type(e).__name__}"
+    return out
+
+
+def store(docs: DataFrame, path: str, collection_id: str, config, limit: int = 6000) -> dict:
+    """Documents end to end: chunks by strategy, long ones split, numbered and appended to a collection; returns the totals."""
+    from lodestone.operators import chunk as C
+
+    chunks = C.chunk(docs, config).withColumnRenamed("chunk_index", "part")
+    key = F.struct("doc_id", "part")
+    parts = C.long_split(chunks.select(F.xxhash64(key).alias("doc_id"), F.col("chunk").alias("text")), limit).withColumnRenamed("doc_id", "key")
+    split = chunks.select("doc_id", "part", F.xxhash64(key).alias("key")).join(parts, "key").select("doc_id", F.struct("part", "chunk_index").alias("pos"), "chunk")
+    numbered = number_chunks(split).drop("pos").withColumn("collection_id", F.lit(collection_id))
+    write_collection(numbered, path)
+    stored = read_collection(docs.sparkSession, path, collection_id)
+    row = stored.agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents")).first()
+    return {"collection_id": collection_id, "chunks": row["chunks"], "documents": row["documents"], "strategy": config.strategy}

@@ -18,7 +18,6 @@ MODES = ("vector_only", "graph_only", "no_retrieval", "auto")
 #: Words that ask for relations between things.
 RELATION = r"\b(relation|relationship|between|connect|connection|compare|link)"
 CONNECTIVES = r"[.?;\n]|,? and |,? or "
-MAX_SUBQUESTIONS = 5
 NO_DOCUMENTS = "No related documents were found."
 
 _models: dict[str, Callable[..., Callable]] = {}
@@ -39,6 +38,59 @@ def model(name: str, **options) -> Callable:
     return _models[key](**options)
 
 
+_embeddings: dict[str, Callable[..., Callable]] = {}
+#: What models answer in, by decision.
+SCHEMAS = {"need": "need_retrieval boolean, extracted_question string", "type": "retrieval_type string, reasoning string", "expansion": "subquestions array<string>"}
+
+
+def register_embedding(name: str, factory: Callable[..., Callable]) -> None:
+    """Register a factory of batch functions (list of texts -> list of vectors) as `provider:model`, and no other form."""
+    provider, _, of = name.partition(":")
+    if not provider or not of or ":" in of:
+        raise ValueError("an embedding's name is provider:model")
+    _embeddings[name] = factory
+
+
+def embed(docs: DataFrame, name: str, **options) -> DataFrame:
+    """(doc_id, embedding) of every text by a registered embedding, which is made once for each task."""
+    if name not in _embeddings:
+        raise KeyError(f"no embedding registered as {name!r}")
+    factory = _embeddings[name]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = factory(**options)
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "embedding": list(of(batch["text"].fillna("").tolist()))})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, embedding array<float>")
+
+
+def structured(answers: DataFrame, decision: str) -> DataFrame:
+    """`answers` with the JSON in answer parsed by the decision's schema; what doesn't parse is null."""
+    return answers.withColumn("answer", F.from_json("answer", SCHEMAS[decision]))
+
+
+def with_fallback(streamed: Callable[[], DataFrame], invoked: Callable[[], DataFrame]) -> DataFrame:
+    """The streamed answer, or where its stream fails, that of one plain call."""
+    try:
+        return streamed()
+    except Exception:  # any failure of the stream, which is foreign code, has the same way out
+        return invoked()
+
+
+def cached_ask(prompts: DataFrame, cache: DataFrame, factory: Callable[[], Callable]) -> tuple[DataFrame, DataFrame]:
+    """Answers from `cache` (key, answer) where it has the prompt's MD5, from the model for the others; and the rows to add to the cache."""
+    keyed = prompts.withColumn("key", F.md5("prompt"))
+    held = keyed.join(cache.select("key", "answer"), "key")
+    asked = ask(keyed.join(cache.select("key"), "key", "left_anti"), factory)
+    return held.drop("key").unionByName(asked.drop("key")), asked.select("key", "answer").dropDuplicates(["key"])
+
+
+def graph_question(expanded: DataFrame) -> DataFrame:
+    """Adds graph_question: the first sub-question, or the question where there is none."""
+    return expanded.withColumn("graph_question", F.when(F.size("subquestions") > 0, F.col("subquestions")[0]).otherwise(F.col("text")))
+
+
 def ask(prompts: DataFrame, factory: Callable[[], Callable], failure: str = "The answer could not be generated.") -> DataFrame:
     """Adds `answer`; the model is made once for each task, and a batch that fails gets `failure`."""
 
@@ -62,7 +114,7 @@ def clean_questions(questions: Column) -> Column:
 
 def expand(questions: DataFrame) -> DataFrame:
     """Adds subquestions: none for a blank question, the question itself if nothing splits it."""
-    cleaned = F.slice(clean_questions(F.split("text", CONNECTIVES)), 1, MAX_SUBQUESTIONS)
+    cleaned = clean_questions(F.split("text", CONNECTIVES))
     return questions.withColumn("subquestions", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.array().cast("array<string>")).otherwise(cleaned))
 
 

@@ -69,7 +69,7 @@ _MARKDOWN = (
 _SUB = (
     "WITH p AS (SELECT item_id, unnest(q) AS s, generate_subscripts(q, 1) AS i FROM (SELECT item_id, regexp_split_to_array(text, '[.?;\\n]|,? and |,? or ') AS q FROM benchmark)), "
     "u AS (SELECT item_id, trim(s) AS s, min(i) AS i FROM p WHERE trim(s) <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS n FROM u) "
-    "SELECT item_id, string_agg(s, '|' ORDER BY i) AS questions FROM r WHERE n <= 5 GROUP BY item_id"
+    "SELECT item_id, string_agg(s, '|' ORDER BY i) AS questions FROM r GROUP BY item_id"
 )
 
 
@@ -134,9 +134,9 @@ def q_vector_threshold(t):
     return vector.search(t("embeddings"), t("embeddings").where("vec_id = 0"), 5, 0.3)
 
 
-@query(_vec("q.vec_id < 20", 3))
+@query(_vec("q.vec_id % 20 = 0", 3))
 def q_vector_batch(t):
-    return vector.search(t("embeddings"), t("embeddings").where("vec_id < 20"), 3)
+    return vector.search(t("embeddings"), t("embeddings").where("vec_id % 20 = 0"), 3)
 
 
 @query()
@@ -248,6 +248,26 @@ def q_ingest_pipeline(t):
     return kept.groupBy(F.col("doc_id").alias("page_id")).agg(F.count("chunk_id").alias("chunks"), F.sum("text_chars").alias("chars"))
 
 
+@query(f"WITH {_BLOCKS} SELECT page_id, pos, block FROM bb WHERE length(block) > 0 AND NOT regexp_matches(raw, '(?i)<(nav|footer|aside|header|form)[ >]') AND NOT regexp_matches(raw, '(?i)^\\s*<(li|a)[ >]')")
+def q_content_filter(t):
+    return ingest.core_blocks(t("pages")).select("page_id", "pos", "block")
+
+
+_SAVED = f"WITH c AS ({_CHAR.replace('FROM documents', 'FROM documents d0')}), k AS (SELECT source AS collection_id, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM c JOIN documents USING (doc_id) GROUP BY source) "
+
+
+@query(_SAVED + "SELECT collection_id, chunks, documents, 'character' AS strategy FROM k WHERE collection_id <> 'src1'")
+def q_store_collections(t):
+    """Chunks stored, one collection dropped, and what is read back from those that stay."""
+    docs = t("documents")
+    numbered = ingest.number_chunks(chunk.character(docs).withColumnRenamed("chunk_index", "pos").join(docs.select("doc_id", F.col("source").alias("collection_id")), "doc_id"))
+    path = shared_folder(docs.sparkSession, "collections")
+    ingest.write_collection(numbered, path, "overwrite")
+    ingest.drop_collection(docs.sparkSession, path, "src1")
+    stored = docs.sparkSession.read.parquet(path)
+    return stored.groupBy("collection_id").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"), F.lit("character").alias("strategy"))
+
+
 @query(f"WITH c AS ({_CHAR}) SELECT source AS collection_id, count(*) AS total_chunks, count(DISTINCT doc_id) AS documents FROM c JOIN documents USING (doc_id) GROUP BY source")
 def q_store_summary(t):
     c = chunk.character(t("documents")).join(t("documents").select("doc_id", F.col("source").alias("collection_id")), "doc_id")
@@ -315,13 +335,30 @@ def q_graph_hybrid(t):
     return graph.interleave(graph.local_chunks(t("documents"), edges, ents, q, 5), graph.global_chunks(t("documents"), edges, ents, q, 5), 5)
 
 
+_NAIVE = f"{_hashed('documents', 'doc_id')}, {_hashed('question', 'item_id')}, nv AS (SELECT item_id, doc_id, score, {_RANK.format('item_id', 'doc_id')} FROM (SELECT item_id, doc_id, round(sum(d.w*b.w),6) AS score FROM e_documents d JOIN e_question b USING (bucket) GROUP BY ALL))"
+_ASKED = "question AS (SELECT 0::BIGINT AS item_id, text FROM documents WHERE doc_id = 1)"
+
+
+@query(f"WITH {_ASKED}, {_NAIVE} SELECT item_id, doc_id, score, rank FROM nv WHERE rank <= 5")
+def q_graph_naive(t):
+    return vector.hash_search(t("documents"), _question(t), 5)
+
+
+@query(f"WITH {_Q0}, {_ASKED}, {_NAIVE}, {_LOCAL}, {_GLOBAL}, il AS (SELECT item_id, doc_id, min(place) AS place FROM (SELECT item_id, doc_id, rank*2-1 AS place FROM lo WHERE rank <= 5 UNION ALL SELECT item_id, doc_id, rank*2 FROM gl WHERE rank <= 5) GROUP BY ALL), hy AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY place) AS rank FROM il) WHERE rank <= 5), mx AS (SELECT item_id, doc_id, min(place) AS place FROM (SELECT item_id, doc_id, rank*2-1 AS place FROM hy UNION ALL SELECT item_id, doc_id, rank*2 FROM nv WHERE rank <= 5) GROUP BY ALL) SELECT item_id, doc_id, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY place) AS rank FROM mx) WHERE rank <= 5")
+def q_graph_mix(t):
+    ents, edges = _edges(t)
+    q = _question(t)
+    of_graph = graph.interleave(graph.local_chunks(t("documents"), edges, ents, q, 5), graph.global_chunks(t("documents"), edges, ents, q, 5), 5)
+    return graph.interleave(of_graph, vector.hash_search(t("documents"), q, 5), 5)
+
+
 @query(
-    "WITH RECURSIVE bo AS (SELECT DISTINCT * FROM (SELECT 'c'||o_custkey AS s, 'p'||o_orderpriority AS d FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'p'||o_orderpriority, 'c'||o_custkey FROM orders WHERE o_orderkey % 7 = 0)), "
+    "WITH RECURSIVE bo AS (SELECT DISTINCT * FROM (SELECT 'c'||o_custkey AS s, 'p'||o_orderpriority AS d FROM orders UNION ALL SELECT 'p'||o_orderpriority, 'c'||o_custkey FROM orders)), "
     "start AS (SELECT min(s) AS s FROM bo WHERE s LIKE 'c%'), w AS (SELECT s AS node, 0 AS depth FROM start UNION SELECT bo.d, depth + 1 FROM w JOIN bo ON bo.s = w.node WHERE depth < 3), "
     "m AS (SELECT node, min(depth) AS depth FROM w GROUP BY node) SELECT node, depth::INT AS depth, (SELECT count(*) FROM m) > 1000 AS is_truncated FROM m ORDER BY depth, node LIMIT 1000"
 )
 def q_bfs_subgraph(t):
-    e = t("orders").where("o_orderkey % 7 = 0").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), "o_orderpriority").alias("dst"))
+    e = t("orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), "o_orderpriority").alias("dst"))
     start = e.agg(F.min("src")).first()[0]
     return graph.bfs(e, start or "")
 
@@ -349,9 +386,9 @@ SHARED = {
     "q_conv_count": "SELECT user_id, count(*) AS n FROM {events} WHERE event_type = 'view' GROUP BY user_id",
     "q_message_count": "SELECT conv_id, count(*) AS messages FROM {conversations} GROUP BY conv_id",
     "q_type_distribution": "SELECT coalesce(lang, 'unknown') AS type, count(*) AS n FROM {documents} GROUP BY coalesce(lang, 'unknown')",
-    "q_conv_page": "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_custkey % 10 = 1 ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 10",
+    "q_conv_page": "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_custkey = 1 ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 10",
     "q_message_page": "SELECT conv_id, turn, role, text FROM {conversations} ORDER BY conv_id, turn LIMIT 100 OFFSET 20",
-    "q_libraries_ordered": "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM {customer} ORDER BY place LIMIT 100",
+    "q_libraries_ordered": "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM (SELECT c_custkey, c_acctbal FROM {customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 100) x",
     "q_history_search": "SELECT conv_id, turn FROM {conversations} WHERE lower(text) LIKE '%the%' AND role = 'user'",
     "q_history_range": "SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1998-07-31 00:00:00' THEN 'today' WHEN o_orderdate >= TIMESTAMP '1998-07-25 00:00:00' THEN '7 days' WHEN o_orderdate >= TIMESTAMP '1998-06-30 00:00:00' THEN '1 month' ELSE 'older' END AS age FROM {orders}",
     "q_history_replay": "SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'node_update' ELSE role END AS kind, text FROM {conversations}",
@@ -364,6 +401,20 @@ SHARED = {
     "q_node_update_text": "SELECT event_id, CASE event_type WHEN 'view' THEN 'checking whether to retrieve' WHEN 'click' THEN 'expanding the question' WHEN 'purchase' THEN 'retrieving' WHEN 'signup' THEN 'answering' ELSE 'failed' END AS content FROM {events}",
     "q_session_status": "SELECT user_id, count(*) AS events, CASE WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) > 0 THEN 'error' WHEN sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) > 0 THEN 'complete' ELSE 'open' END AS status FROM {events} GROUP BY user_id",
     "q_crawl_counter": "SELECT user_id AS collection_id, count(*) AS pages FROM {events} WHERE event_type = 'view' GROUP BY user_id",
+    "q_point_lookup": "SELECT c_custkey, c_name FROM {customer} WHERE c_custkey = 7 LIMIT 1",
+    "q_page_guards": "SELECT event_id, CASE WHEN a > 0 AND a <= 100 THEN a ELSE 50 END AS page_limit, CASE WHEN b < 0 THEN 0 ELSE b END AS page_offset FROM (SELECT event_id, event_id % 150 - 20 AS a, event_id % 30 - 10 AS b FROM {events}) x",
+    "q_collection_library": "SELECT doc_id, c_custkey, c_name FROM {documents} JOIN {customer} ON source = concat('src', c_custkey)",
+    "q_sort_by_date": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM (SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 50) x",
+    "q_sort_by_title": "SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) AS place FROM (SELECT c_custkey, c_name FROM {customer} ORDER BY c_name, c_custkey LIMIT 50) x",
+    "q_sorted_labels": "SELECT DISTINCT lang AS label FROM {documents} WHERE lang IS NOT NULL ORDER BY label",
+    "q_name_index": "SELECT concat('doc-', doc_id) AS document_name, count(*) AS n, min(doc_id) AS doc_id FROM {documents} GROUP BY concat('doc-', doc_id)",
+    "q_save_message": "SELECT conv_id, turn, role, text FROM {conversations} UNION ALL SELECT conv_id, max(turn) + 1 AS turn, 'user' AS role, 'a new message' AS text FROM {conversations} GROUP BY conv_id",
+    "q_conversation_create": "SELECT conv_id, CASE WHEN length(trim(text)) > 50 THEN concat(substr(trim(text), 1, 50), '...') ELSE trim(text) END AS title, turns FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS turns FROM {conversations} WHERE role = 'user') x WHERE n = 1",
+    "q_conversation_touch": "SELECT conv_id, turn, CASE WHEN turn = (max(turn) OVER (PARTITION BY conv_id)) THEN 1 ELSE 0 END AS is_latest FROM {conversations}",
+    "q_user_conversations_delete": "SELECT event_id, user_id FROM {events} WHERE user_id NOT IN (SELECT c_custkey FROM {customer} WHERE c_acctbal < 0)",
+    "q_document_upsert": "SELECT doc_id, source, length(text) AS size, 'kept' AS state FROM {documents} WHERE doc_id NOT IN (SELECT page_id FROM {pages}) UNION ALL SELECT page_id AS doc_id, url AS source, length(html) AS size, CASE WHEN d.doc_id IS NULL THEN 'added' ELSE 'updated' END AS state FROM {pages} p LEFT JOIN {documents} d ON d.doc_id = p.page_id",
+    "q_library_update": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM {customer} o WHERE o.c_name = 'Customer#000000009' AND o.c_nationkey = c.c_nationkey AND o.c_custkey <> c.c_custkey) THEN 'Customer#000000009' ELSE c_name END AS title FROM {customer} c",
+    "q_start_defaults": "SELECT conv_id, turn, coalesce(nullif(trim(text), ''), 'no question') AS question, CASE WHEN role = 'system' THEN 'no_retrieval' ELSE 'auto' END AS retrieval_mode, CASE WHEN turn > 0 AND turn <= 20 THEN turn ELSE 3 END AS max_retrieval_docs FROM {conversations}",
     "q_dialog_pairs": "SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM {conversations}",
 }
 
@@ -432,6 +483,17 @@ def q_clean_subquestions(t):
     return adaptive.expand(t("benchmark")).select("item_id", F.array_join("subquestions", "|").alias("questions"))
 
 
+@query(_SUB.replace("string_agg(s, '|' ORDER BY i) AS questions", "first(s ORDER BY i) AS question"))
+def q_graph_question(t):
+    return adaptive.graph_question(adaptive.expand(t("benchmark"))).select("item_id", F.col("graph_question").alias("question"))
+
+
+@query("SELECT item_id, length(text) > 40 AS need_retrieval, text AS extracted_question FROM benchmark")
+def q_structured_decision(t):
+    answers = t("benchmark").select("item_id", F.to_json(F.struct((F.length("text") > 40).alias("need_retrieval"), F.col("text").alias("extracted_question"))).alias("answer"))
+    return adaptive.structured(answers, "need").select("item_id", "answer.need_retrieval", "answer.extracted_question")
+
+
 @query(f"SELECT item_id, len({_TOK.format('text')}) >= 3 AND NOT regexp_full_match(text, '[0-9+*/(). -]+') AS need_retrieval FROM benchmark")
 def q_route_need(t):
     return adaptive.need(t("benchmark")).select("item_id", "need_retrieval")
@@ -442,10 +504,10 @@ def q_route_type(t):
     return adaptive.classify(t("benchmark")).select("item_id", "retrieval_type")
 
 
-@query(_HYBRID + "SELECT item_id, string_agg('[document '||rank||' - '||source||'] '||substr(text, 1, 80), chr(10) ORDER BY rank) AS context, count(*) AS documents FROM fr JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY item_id")
+@query(_HYBRID + "SELECT item_id, string_agg('[document '||rank||' - '||source||'] '||text, chr(10) ORDER BY rank) AS context, count(*) AS documents FROM fr JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY item_id")
 def q_prompt_assembly(t):
     hits = fusion.hybrid(t("documents"), t("benchmark"), 3)
-    return adaptive.assemble(hits, t("documents").select("doc_id", "source", F.substring("text", 1, 80).alias("text")))
+    return adaptive.assemble(hits, t("documents").select("doc_id", "source", "text"))
 
 
 @query("SELECT item_id, 'Answer from general knowledge.'||chr(10)||'Question: '||text AS prompt FROM benchmark")
@@ -464,9 +526,9 @@ def q_sse_parse(t):
     return progress.sse_parse(lines.select("line")).select("seq", "session_id", "type")
 
 
-@query("SELECT conv_id, string_agg(substr(text, 1, 12), '' ORDER BY turn) AS answer FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS answer FROM conversations GROUP BY conv_id")
 def q_token_concat(t):
-    pieces = F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 12).alias("piece"))))
+    pieces = F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("piece"))))
     return t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("answer"))
 
 
@@ -530,7 +592,19 @@ def st_windows(spark: SparkSession, path: str) -> DataFrame:
     out = shared_folder(spark, "windows")
     stream = progress.windowed(progress.read_events(spark, path, 1000).withWatermark("ts", "1 day"), "1 day")
     progress.drain(stream, lambda df, epoch: progress.upsert_status(spark, out, df, epoch), "append")
-    return spark.read.parquet(out).select("window.start", "event_type", "n", "total")
+    return spark.read.parquet(out).select(_at("window.start").alias("start"), "event_type", "n", "total")
+
+
+@_job("st_pages")
+def st_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Crawled pages as they come; those without text are skipped."""
+    out = shared_folder(spark, "pages")
+    stream = progress.read_pages(spark, path.replace("events.parquet", "pages.parquet"))
+    progress.drain(stream, lambda df, epoch: progress.upsert_status(spark, out, df, epoch), "append")
+    return spark.read.parquet(out).select("page_id", "url", F.length("html").alias("size"))
+
+
+ORACLES["st_pages"] = "SELECT page_id, url, length(html) AS size FROM pages WHERE html IS NOT NULL AND trim(html) <> ''"
 
 
 @_job("st_dedup")
@@ -538,4 +612,11 @@ def st_dedup(spark: SparkSession, path: str) -> DataFrame:
     """Events once each."""
     out = shared_folder(spark, "events")
     progress.drain(progress.stream_dedup(progress.read_events(spark, path, 1000), "365 days"), lambda df, epoch: progress.upsert_status(spark, out, df, epoch), "append")
-    return spark.read.parquet(out).drop("epoch")
+    return spark.read.parquet(out).drop("epoch").select("event_id", "user_id", "event_type")
+
+
+ORACLES["st_dedup"] = "SELECT DISTINCT event_id, user_id, event_type FROM events"
+ORACLES["st_windows"] = (
+    "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT date_trunc('day', ts) AS s, event_type, value FROM events) "
+    "WHERE s + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL"
+)

@@ -37,6 +37,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def with_size(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """`df` stored, with a broadcast hint if it has at most `rows` rows, and whether it has."""
+    df = materialise(df, "side")
+    few = df.count() <= rows
+    return (F.broadcast(df) if few else df), few
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir; where that is unset (as in tests), under a temporary one, and on a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -58,6 +58,12 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def read_pages(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """A stream of crawled pages, a file at a time; pages without text are skipped."""
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
+    return stream.where("html is not null and trim(html) <> ''")
+
+
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     count, failed, done, last, last_id, message = state.get if state.exists else (0, False, False, None, -1, "")
     for batch in batches:

@@ -165,3 +165,68 @@ def test_lsh_search_asks_a_twentieth_of_all_vectors_and_recalls_them(spark):
     got = {(r.query_id, r.vec_id) for r in QUERIES["q_vector_lsh"](spark, "/root/testdata/sf0.01").collect()}
     assert {q for q, _ in got} == {r.vec_id for r in e.collect() if r.vec_id % 20 == 0}
     assert len(got & want) >= 0.9 * len(want)
+
+
+def test_sign_search_scores_few_pairs(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    q = e.where("vec_id % 20 = 0")
+    want = {(r.query_id, r.vec_id) for r in vector.search(e, q, 10).collect()}
+    got = {(r.query_id, r.vec_id) for r in vector.search_lsh(e, q, 10).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    every = {(r.query_id, r.vec_id) for r in vector.search_lsh(e, q, e.count()).collect()}
+    assert len(every) <= 0.25 * q.count() * e.count()
+
+
+def test_searches_in_blocks_are_those_in_one(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    q = e.where("vec_id % 20 = 0")
+    assert sorted(vector.search(e, q, 3, block=4).collect()) == sorted(vector.search(e, q, 3).collect())
+    d, b = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "benchmark"))
+    assert sorted(vector.hash_search(d, b, 3, block=7).collect()) == sorted(vector.hash_search(d, b, 3).collect())
+    assert vector.hash_search(d, b.where("false"), 3).count() == 0 and vector.search_lsh(e.where("false"), q.where("false"), 3).count() == 0
+
+
+def test_long_split_breaks_at_paragraphs_stops_and_anywhere():
+    text = "a" * 50 + "\n\n" + "b" * 40 + "\n\n" + "One two. " * 20 + "\n\n" + "x" * 250 + "\n\n" + "tail"
+    got = chunk.split_long(text, 100)
+    assert got[0] == "a" * 50 + "\n\n" + "b" * 40 and all(0 < len(c) <= 100 for c in got)
+    assert "".join(got).replace("\n", "") == text.replace("\n", "")
+    assert chunk.split_long("\u00a0" * 7000) == []
+
+
+def test_collections_end_to_end(spark, tmp_path):
+    path = str(tmp_path / "store")
+    d = docs(spark, "# A\none\n# B\n" + "y" * 250, "plain", None)
+    got = ingest.store(d, path, "k1", chunk.ChunkConfig("markdown"), limit=100)
+    assert got == {"collection_id": "k1", "chunks": 5, "documents": 2, "strategy": "markdown"}
+    assert [c for i, c in chunks(ingest.load_collection(spark, path, "k1")) if i == 0] == ["one", "y" * 100, "y" * 100, "y" * 50]
+    assert ingest.drop_workspace(spark, {"a": path, "b": str(tmp_path / "none"), "c": "bad://x"}, "k1") | {"c": ""} == {"a": "success", "b": "warning", "c": ""}
+    assert ingest.drop_collection(spark, path, "k1") == "warning"
+    assert chunk.clear_metadata(chunk.with_metadata(chunk.character(d), d.select("doc_id", F.lit("n").alias("document_name")))).columns == ["doc_id", "chunk_index", "chunk"]
+
+
+def test_retrievers_and_failures(spark):
+    d = docs(spark, "red apples", "green pears", "red pears")
+    q = spark.createDataFrame([(0, "red apples")], "item_id long, text string")
+    for kind in ("similarity", "lexical", "rrf"):
+        assert fusion.retriever(d, kind, 2)(q).where("rank = 1").first().doc_id == 0
+    with pytest.raises(ValueError):
+        fusion.retriever(d, "magic")
+    hits, failed = fusion.retrieve_each(fusion.retriever(d, "lexical", 2), [q, q.select("item_id"), q])
+    assert failed == [1] and {r.question_ord for r in hits.collect()} == {0, 2}
+
+
+def test_embeddings_structures_and_caches(spark):
+    adaptive.register_embedding("test:size", lambda: lambda texts: [[float(len(t))] for t in texts])
+    assert [list(r.embedding) for r in adaptive.embed(docs(spark, "ab", None), "test:size").orderBy("doc_id").collect()] == [[2.0], [0.0]]
+    with pytest.raises(ValueError):
+        adaptive.register_embedding("plain", lambda: None)
+    with pytest.raises(KeyError):
+        adaptive.embed(docs(spark, "x"), "test:none")
+    a = spark.createDataFrame([('{"subquestions": ["a", "b"]}',), ("no json",)], "answer string")
+    assert [r.answer.subquestions if r.answer else None for r in adaptive.structured(a, "expansion").collect()] == [["a", "b"], None]
+    p = spark.createDataFrame([(0, "old"), (1, "new")], "item_id long, prompt string")
+    cache = p.where("item_id = 0").select(F.md5("prompt").alias("key"), F.lit("kept").alias("answer"))
+    got, more = adaptive.cached_ask(p, cache, lambda: lambda prompts: [x.upper() for x in prompts])
+    assert {r.item_id: r.answer for r in got.collect()} == {0: "kept", 1: "NEW"} and more.count() == 1
+    assert adaptive.with_fallback(lambda: 1 / 0, lambda: p) is p
