@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm import oracles
 from lodestone.llm.decontaminate import contaminated
 from lodestone.llm.html_extract import extract_html
 from lodestone.llm.jaccard_join import jaccard_join
@@ -84,4 +85,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_ngram_jaccard_join, op3_url_filter, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_decontamination, op8_license_scan, op9_secret_scan, op10_line_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES |= {name: (lambda spark, sf_dir, f=QUERIES[of], columns=columns.split(): f(spark, sf_dir).select(*columns)) for name, (of, columns) in oracles.BASE.items()}
+ORACLES: dict[str, str] = dict(oracles.SQL)
