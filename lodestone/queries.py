@@ -386,7 +386,7 @@ SHARED = {
     "q_conv_count": "SELECT user_id, count(*) AS n FROM {events} WHERE event_type = 'view' GROUP BY user_id",
     "q_message_count": "SELECT conv_id, count(*) AS messages FROM {conversations} GROUP BY conv_id",
     "q_type_distribution": "SELECT coalesce(lang, 'unknown') AS type, count(*) AS n FROM {documents} GROUP BY coalesce(lang, 'unknown')",
-    "q_conv_page": "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_custkey = 1 ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 10",
+    "q_conv_page": "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_custkey = (SELECT min(o_custkey) FROM {orders}) ORDER BY o_orderdate DESC, o_orderkey LIMIT 5 OFFSET 1",
     "q_message_page": "SELECT conv_id, turn, role, text FROM {conversations} ORDER BY conv_id, turn LIMIT 100 OFFSET 20",
     "q_libraries_ordered": "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM (SELECT c_custkey, c_acctbal FROM {customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 100) x",
     "q_history_search": "SELECT conv_id, turn FROM {conversations} WHERE lower(text) LIKE '%the%' AND role = 'user'",
