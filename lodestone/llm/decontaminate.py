@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import kernel
+from lodestone.llm.store import narrow_batches
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of benchmark items that are broadcast at once (16 bytes each); more items are handled in further passes.
@@ -117,6 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
     result, repeated items are not; ids may be null.
     """
     spark = docs.sparkSession
+    narrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     words = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
@@ -131,6 +133,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
             if len(s) >= n:
                 hashed.append((item_id, kernel.hash_words(raw, s, e)))
         shared = spark.sparkContext.broadcast(Seeds(hashed, n))
-        found = docs.mapInArrow(_match(shared, threshold), "doc_id long, item_id long, score double, end_word long, n_seeds long")
+        found = docs.mapInArrow(kernel.tidy(_match(shared, threshold)), "doc_id long, item_id long, score double, end_word long, n_seeds long")
         out = found if out is None else out.unionByName(found)
     return out

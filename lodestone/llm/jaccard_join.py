@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import kernel
 from lodestone.llm.components import components
-from lodestone.llm.store import table
+from lodestone.llm.store import narrow_batches, table
 
 #: Ends of candidate pairs are broadcast up to this many (40 MB); beyond it their join with the texts is shuffled.
 BROADCAST_ENDS = 1_000_000
@@ -132,8 +132,8 @@ def _ranks(scanned: DataFrame, bits: int) -> np.ndarray:
     blocks = scanned.where("block is not null").select("block", "counts")
     parts = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Two levels, so that no task adds up what all tasks have counted.
-    blocks = blocks.repartition(parts, F.xxhash64("block", "counts")).mapInArrow(_add_blocks(), "block int, counts binary")
-    blocks = blocks.repartition(max(1, (1 << bits) // _BLOCK), "block").mapInArrow(_add_blocks(mean), "block int, counts binary")
+    blocks = blocks.repartition(parts, F.xxhash64("block", "counts")).mapInArrow(kernel.tidy(_add_blocks()), "block int, counts binary")
+    blocks = blocks.repartition(max(1, (1 << bits) // _BLOCK), "block").mapInArrow(kernel.tidy(_add_blocks(mean)), "block int, counts binary")
     ranks = np.zeros(1 << bits, np.uint8)
     for block, packed in blocks.collect():  # 2**bits bytes in all, whatever the input
         ranks[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(zlib.decompress(packed), np.uint8)
@@ -217,13 +217,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = COU
     broadcast.
     """
     spark = docs.sparkSession
+    narrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = table(docs.mapInArrow(_scan(k, bits), "doc_id long, n long, c long, parity binary, block int, counts binary"))
+    scanned = table(docs.mapInArrow(kernel.tidy(_scan(k, bits)), "doc_id long, n long, c long, parity binary, block int, counts binary"))
     rows = scanned.where("n is not null").select("doc_id", "n", "c")
     classes = scanned.where("n > 0 and doc_id is not null").groupBy("n", "c").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.min("parity").alias("parity"))
 
     ranks = spark.sparkContext.broadcast(_ranks(scanned, bits))
-    posted = docs.where("doc_id is not null").select("text").mapInArrow(_post(k, percent, bits, ranks), "key long, g long, n int, pos int, c long")
+    posted = docs.where("doc_id is not null").select("text").mapInArrow(kernel.tidy(_post(k, percent, bits, ranks)), "key long, g long, n int, pos int, c long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     # One exchange by key serves the removal of repeats and the windows alike.
     posted = posted.repartition(parts, "key").distinct()
@@ -257,7 +258,7 @@ def _link(docs, rows, classes, multi, members, k, percent):
         ends = table(ends.select("a", "b", "e.doc_id", "e.side").join(known, "doc_id"))
         if ends.count() <= BROADCAST_ENDS:
             ends = F.broadcast(ends)
-        sets = docs.join(ends, "doc_id").select("doc_id", "c", "a", "b", "side", "text").mapInArrow(_sets(k), "a long, b long, x binary, y binary")
+        sets = docs.join(ends, "doc_id").select("doc_id", "c", "a", "b", "side", "text").mapInArrow(kernel.tidy(_sets(k)), "a long, b long, x binary, y binary")
         both = sets.groupBy("a", "b").agg(F.max("x").alias("x"), F.max("y").alias("y")).where("x is not null and y is not null")
         return table(both.mapInArrow(_verify(percent), "a long, b long"))
 

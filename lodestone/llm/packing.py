@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import table
+from lodestone.llm import kernel
+from lodestone.llm.store import narrow_batches, table
 
 #: Pieces of one length that are ranked in one task; a longer run is divided by a hash.
 RANKED_ROWS = 200_000
@@ -197,8 +198,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     is kept as such.  No rows give no pieces.
     """
     spark = docs.sparkSession
+    narrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = table(docs.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    pieces = table(docs.mapInArrow(kernel.tidy(_pieces(tokenizer_path, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     counts = {int(n): int(c) for n, c in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     steps, _ = plan(counts, capacity)
     a = np.array(steps or [(capacity, 0, 1, 0, 0)], np.int64)

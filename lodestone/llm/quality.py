@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import kernel
+from lodestone.llm.store import narrow_batches
 
 #: Character classes: lower-case, upper-case, digit, white space, stops, other ASCII, other characters' lead and following bytes.
 CLASSES = 7
@@ -67,9 +68,13 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_references(sample: DataFrame, top_words: int) -> dict[str, dict]:
     """(lang, text) rows -> for each language its class counts, commonest words and their shares: top_words + 8 rows each."""
-    n = sample.select("lang", "text").mapInArrow(_tally, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    of = Window.partitionBy("lang", "kind")
-    top = n.withColumn("total", F.sum("n").over(of)).withColumn("r", F.row_number().over(of.orderBy(F.desc("n"), "item"))).where(F.col("r") <= max(top_words, CLASSES))
+    n = sample.select("lang", "text").mapInArrow(kernel.tidy(_tally), "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    total = n.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
+    # The best of each of 16 parts first, so that no task gets all words of a language.
+    most, best = max(top_words, CLASSES), (F.desc("n"), "item")
+    part = n.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(16)))
+    part = part.withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind", "part").orderBy(*best))).where(F.col("r") <= most).drop("part", "r")
+    top = part.withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(*best))).where(F.col("r") <= most).join(F.broadcast(total), ["lang", "kind"])
     out: dict[str, dict] = {}
     for r in top.orderBy("lang", "kind", "r").collect():
         ref = out.setdefault(r.lang, {"chars": np.zeros(CLASSES), "words": [], "shares": [], "total": 0})
@@ -189,10 +194,11 @@ def quality_rules(
     Columns of `docs` that have a rule column's name are dropped.  Repeated rows are judged alike.
     `sample_rows` bounds the labelled documents that the references are fitted on.
     """
+    narrow_batches(docs.sparkSession)
     sample = reference_sample(docs, labels, sample_rows)
     refs = fit_references(sample, top_words) if sample is not None else {}
     limits = {"min_base_words": min_base_words, "max_repeat_percent": max_repeat_percent, "min_words": min_words, "max_char_distance": max_char_distance, "joint_char_distance": joint_char_distance, "joint_word_distance": joint_word_distance}
     rule = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
     docs = docs.drop(*(c.split()[0] for c in rule.split(", ")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_rules(refs, limits), f"{schema}, {rule}")
+    return docs.mapInArrow(kernel.tidy(_rules(refs, limits)), f"{schema}, {rule}")

@@ -37,6 +37,14 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most `rows` rows in this session, unless it has a bound of its own: rows are whole texts, and Spark's
+    10,000 of them are tens of megabytes in the executor and its Python worker each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows (of a few numbers each), else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
