@@ -181,7 +181,7 @@ def quality_rules(
     top_words: int = 40,
     min_base_words: int = 50,
     max_repeat_percent: int = 50,
-    min_words: int = 80,
+    min_words: int = 50,
     max_char_distance: float = 0.24,
     joint_char_distance: float = 0.15,
     joint_word_distance: float = 0.33,
