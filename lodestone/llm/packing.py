@@ -108,6 +108,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: others.get(b) or chr(b) for b in range(256)}
 
 
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def _spans(text: bytes, limit: int = kernel.SLICE_BYTES) -> Iterator[bytes]:
+    """`text` in spans of at least `limit` bytes (the last may be shorter), each of which ends before ASCII white space."""
+    a = 0
+    while found := _SPACE.search(text, a + limit):
+        yield text[a : found.start()]
+        a = found.start()
+    yield text[a:]
+
+
 _encoders: dict[str, object] = {}
 
 
@@ -164,8 +176,8 @@ def _pieces(path: str, capacity: int, end_id: int):
         encode, end = tokenizer(path), np.array([end_id], "<u4")
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).fill_null(b"").to_pylist()):
-                ids = np.concatenate([encode(text), end])
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary())):
+                ids = np.concatenate([*map(encode, _spans(text.as_py() or b"")), end])
                 for k, a in enumerate(range(0, len(ids), capacity)):
                     x = ids[a : a + capacity]
                     for column, v in zip(out, (doc, k, a, len(x), zlib.crc32(x.tobytes()))):

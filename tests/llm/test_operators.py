@@ -332,6 +332,17 @@ def test_plan_is_best_fit_decreasing():
         assert bins == plain_best_fit(lengths, capacity)
 
 
+def test_spans_hold_all_tokens():
+    rnd = random.Random(6)
+    encode = packing.tokenizer(tokenizer_path())
+    for text in ("", " ", "  a", "a" * 40, "".join(rnd.choice(["word", "É", " ", "\n", "\u00a0", "!?", "\u0301"]) for _ in range(900))):
+        raw = text.encode()
+        for limit in (1, 7, 64, 10_000):
+            spans = list(packing._spans(raw, limit))
+            assert b"".join(spans) == raw and all(len(s) >= limit for s in spans[:-1])
+            assert np.concatenate([*map(encode, spans)]).tolist() == encode(raw).tolist()
+
+
 def test_memo_tokens_are_the_tokenizers():
     from tokenizers import Tokenizer
 
