@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import oracles
+from lodestone.llm import fim, oracles, periodic
 from lodestone.llm.decontaminate import contaminated
 from lodestone.llm.html_extract import extract_html
 from lodestone.llm.jaccard_join import jaccard_join
 from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.line_dedup import WHOLE, dedup_lines
+from lodestone.llm.minhash import minhash_near_duplicates
 from lodestone.llm.packing import pack
 from lodestone.llm.pii import pseudonymise
 from lodestone.llm.quality import quality_rules
@@ -84,6 +85,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), **WHOLE)
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_ngram_jaccard_join, op3_url_filter, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_decontamination, op8_license_scan, op9_secret_scan, op10_line_dedup)}
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five words a shingle, links at a Jaccard similarity of 0.85, found by their signatures."""
+    return minhash_near_duplicates(_read(spark, sf_dir, "documents"), k=5, percent=85).drop("n_copies")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged, and restored from that."""
+    return fim.digests(fim.arrange(_read(spark, sf_dir, "documents")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which repeat some of their words by the query's own doing."""
+    return periodic.digests(periodic.periodic_runs(periodic.with_planted_runs(_read(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_ngram_jaccard_join, op3_url_filter, op4_quality_rules, op5_best_fit_packing, op6_html_extraction, op7_decontamination, op8_license_scan, op9_secret_scan, op10_line_dedup, op11_minhash_near_dedup, op12_fill_in_middle, op13_periodic_runs)}
 QUERIES |= {name: (lambda spark, sf_dir, f=QUERIES[of], columns=columns.split(): f(spark, sf_dir).select(*columns)) for name, (of, columns) in oracles.BASE.items()}
 ORACLES: dict[str, str] = dict(oracles.SQL)

@@ -44,7 +44,7 @@ STAR_ROUNDS, PAIRS_FOR_EACH, PAIRS_LEFT, PIVOTS = 4, 16, 64, 16
 _BLOCK = 1 << 16
 
 
-def _class_hash(x: np.ndarray) -> int:
+def class_hash(x: np.ndarray) -> int:
     """A set's 63-bit fingerprint."""
     return int(kernel.mix(kernel.mix(x).sum(keepdims=True) ^ (x * kernel._COEF[3]).sum(keepdims=True))[0] >> np.uint64(1))
 
@@ -84,7 +84,7 @@ def _scan(k: int, bits: int):
             ids, n, c, parity = batch["doc_id"], [], [], []
             for _, x, _ in kernel.shingle_sets(batch["text"], k):
                 n.append(len(x))
-                c.append(_class_hash(x) if len(x) else 0)
+                c.append(class_hash(x) if len(x) else 0)
                 parity.append(_parity(x) if len(x) else None)
                 np.add.at(counts, (x >> np.uint64(64 - bits)).astype(np.int64), 1)
             void = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
@@ -152,7 +152,7 @@ def _post(k: int, percent: int, bits: int, ranks):
             for _, x, _ in kernel.shingle_sets(batch["text"], k):
                 if not len(x):
                     continue
-                n, c = len(x), _class_hash(x)
+                n, c = len(x), class_hash(x)
                 if (n, c) in seen:
                     continue
                 seen.add((n, c))
@@ -180,7 +180,7 @@ def _sets(k: int):
             new = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else []  # one document's rows are together
             which = np.searchsorted(new, np.arange(len(ids)), "right") - 1
             sets = [x for _, x, _ in kernel.shingle_sets(batch["text"].take(pa.array(new, pa.int64())), k)]
-            fingerprints = np.array([_class_hash(x) if len(x) else 0 for x in sets], np.int64)
+            fingerprints = np.array([class_hash(x) if len(x) else 0 for x in sets], np.int64)
             side = batch["side"].to_numpy()
             keep = np.flatnonzero(fingerprints[which] == batch["c"].to_numpy()) if len(ids) else np.zeros(0, np.int64)
             for i in range(0, len(keep), 500):
@@ -240,10 +240,15 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = COU
     posts = table(multi.drop("posts", "least_n", "most"))
     multi = posts.select("key", "g", "n", "pos").distinct()
     members = table(posts.select("g", F.col("n").cast("long").alias("n"), "c").distinct().join(classes, ["n", "c"]).select("g", "n", "c", "id", "parity"))
-    return _link(docs, rows, classes, multi, members, k, percent)
+    return link(docs, rows, classes, multi, members, k, percent, near=_near_enough(percent))
 
 
-def _link(docs, rows, classes, multi, members, k, percent):
+def link(docs, rows, classes, multi, members, k, percent, near, refine=None):
+    """Steps 4 and on for postings (key, g, n, pos) of groups and their members (g, n, c, id, parity).
+
+    `near` is a function of Arrow batches that keeps the pairs worth confirming by their parities; `refine`, if there is one,
+    replaces the postings that are left for the last round by others under which every pair to be found still meets.
+    """
     far = 100 + percent
     known = members.select(F.col("id").alias("doc_id"), "c").distinct()
     signs = members.groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
@@ -253,7 +258,7 @@ def _link(docs, rows, classes, multi, members, k, percent):
         """The pairs that link.  Sets are made of just the documents in pairs whose parities pass, and shuffled once, by pair."""
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs.join(signs.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("parity").alias("x")), "a").join(signs.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("parity").alias("y")), "b")
-        pairs = table(pairs.select("a", "b", "n1", "n2", "x", "y").mapInArrow(_near_enough(percent), "a long, b long"))
+        pairs = table(pairs.select("a", "b", "n1", "n2", "x", "y").mapInArrow(near, "a long, b long"))
         ends = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side")))).alias("e"))
         ends = table(ends.select("a", "b", "e.doc_id", "e.side").join(known, "doc_id"))
         if ends.count() <= BROADCAST_ENDS:
@@ -305,6 +310,7 @@ def _link(docs, rows, classes, multi, members, k, percent):
         so_far = components(edges)
         placed = table(members.join(so_far.withColumnRenamed("node", "id"), "id", "left").select("g", "n", "id", F.coalesce("component", "id").alias("component")))
 
+    m = table(refine(m)) if refine else m
     one = m.select("key", F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
     two = m.select("key", F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     g_pairs = one.join(two, "key").where(f"g1 < g2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2) and {passes}").select("g1", "g2").distinct()

@@ -11,19 +11,24 @@ def _low(c: str) -> str:
     return f"translate({c}, '{_UPPER}', '{_LOWER}')"
 
 
-JACCARD = f"""
+def _jaccard(k: int, percent: int, columns: str) -> str:
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_low("coalesce(text, '')"))} AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+s AS (SELECT doc_id, CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i+{k - 1}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
 n AS (SELECT doc_id, len(g) AS n, md5(array_to_string(list_sort(g), '|')) AS h FROM s),
 u AS (SELECT doc_id, hash(unnest(g)) AS x FROM s),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= {percent} * (p.n + q.n - common)),
 both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, o.b FROM r JOIN both_ways o ON o.a = r.b),
 k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
-SELECT doc_id, n::BIGINT AS n_shingles, component_id, CASE WHEN n = 0 THEN 1 ELSE count(*) OVER (PARTITION BY n, h) END AS n_copies FROM n JOIN k USING (doc_id)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, {columns} FROM n JOIN k USING (doc_id)
 """
 
+
+JACCARD = _jaccard(4, 85, "CASE WHEN n = 0 THEN 1 ELSE count(*) OVER (PARTITION BY n, h) END AS n_copies")
+MINHASH = _jaccard(5, 85, "doc_id = component_id AS kept")
+
 LINES = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS line, unnest(p) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
 w AS (SELECT doc_id, line, t, list_filter(regexp_split_to_array(lower(t), '[ \t\x0B\f\r]+'), lambda x: x <> '') AS w, (doc_id, line) AS pos FROM l),
@@ -68,8 +73,37 @@ SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?:(?i:password|passwd|sec
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
+FIM = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS x FROM documents),
+h AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT doc_id, text, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS lo, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS hi,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, text, n, form, array_to_string(u[1:lo], '') AS a, array_to_string(u[lo+1:hi], '') AS m, array_to_string(u[hi+1:n], '') AS z FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END AS output FROM p),
+k AS (SELECT *, regexp_split_to_array(output, '<[PSM]>') AS s FROM o)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars, sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN s[2] || s[4] || s[3] ELSE s[3] || s[4] || s[2] END) AS restored_sha256 FROM k
+"""
+
+RUNS = rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)) AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 AS g FROM d),
+p AS (SELECT *, CASE WHEN planted THEN g % n END AS a, CASE WHEN planted THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM g),
+v AS (SELECT doc_id, n, unnest(CASE WHEN planted THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i+1] ELSE w[a + (i - a) % p + 1] END) ELSE w END) AS w, generate_subscripts(w, 1) - 1 AS i FROM p),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM v x JOIN v y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+e AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m SEMI JOIN (SELECT doc_id, q FROM m GROUP BY doc_id, q HAVING count(*) >= greatest(6 - q, 3 * q)) USING (doc_id, q)),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM e GROUP BY doc_id, q, island HAVING count(*) >= greatest(6 - q, 3 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+b AS (SELECT doc_id, count(*) AS n_runs, arg_min({{'start': start, 'length': length, 'period': period}}, (-length, start, period)) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM v ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 #: By query.
-SQL = {"op2_ngram_jaccard_join": JACCARD, "op10_line_dedup": LINES, "base_url_rules": URLS, "base_quality_counts": QUALITY, "base_license_phrases": LICENSES, "base_secret_counts": SECRETS}
+SQL = {"op2_ngram_jaccard_join": JACCARD, "op10_line_dedup": LINES, "op11_minhash_near_dedup": MINHASH, "op12_fill_in_middle": FIM, "op13_periodic_runs": RUNS, "base_url_rules": URLS, "base_quality_counts": QUALITY, "base_license_phrases": LICENSES, "base_secret_counts": SECRETS}
 #: The base columns of a query, by the name of the query beside it.
 BASE = {
     "base_url_rules": ("op3_url_filter", "page_id host path rule"),
