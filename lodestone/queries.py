@@ -620,3 +620,6 @@ ORACLES["st_windows"] = (
     "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT date_trunc('day', ts) AS s, event_type, value FROM events) "
     "WHERE s + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL"
 )
+
+# Queries over kept indexes, written tables and run state register themselves here
+from lodestone import kept_queries  # noqa: E402, F401

@@ -7,6 +7,7 @@ import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 #: Rows of a side that is still broadcast by hint; larger ones are left to the optimizer.
 BROADCAST_ROWS = 200_000
 _made: dict[str, SparkSession] = {}
+_kept: dict[tuple, str] = {}
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -67,6 +69,17 @@ def cleanup() -> None:
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
     _made.clear()
+    _kept.clear()
+
+
+def kept_folder(spark: SparkSession, key: tuple, build: Callable[[str], object]) -> str:
+    """The folder that `build` has filled; it is called once for each key and application, so that later queries reuse its work."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _kept:
+        path = shared_folder(spark, "kept")
+        build(path)
+        _kept[key] = path
+    return _kept[key]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
