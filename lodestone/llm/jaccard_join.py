@@ -49,33 +49,33 @@ def class_hash(x: np.ndarray) -> int:
     return int(kernel.mix(kernel.mix(x).sum(keepdims=True) ^ (x * kernel._COEF[3]).sum(keepdims=True))[0] >> np.uint64(1))
 
 
-def _parity(x: np.ndarray) -> bytes:
+def parity_bits(x: np.ndarray) -> bytes:
     """A bit for each of 2**j >= n residues of the hashes: whether an odd number of them has it."""
     m = max(64, 1 << (len(x) - 1).bit_length())
     return np.packbits(np.bincount((x & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
 
 
-def _differences(x: bytes, y: bytes) -> int:
+def differences(x: bytes, y: bytes) -> int:
     """At most the number of elements that two sets don't share, from their parities: a shared element cancels out."""
     a, b = np.unpackbits(np.frombuffer(x, np.uint8)), np.unpackbits(np.frombuffer(y, np.uint8))
     m = min(len(a), len(b))
     return int((np.bitwise_xor.reduce(a.reshape(-1, m)) ^ np.bitwise_xor.reduce(b.reshape(-1, m))).sum())
 
 
-def _near_enough(percent: int):
+def near_enough(percent: int):
     """Keeps pairs (a, b, n1, n2, x, y) whose parities allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch["n1"].to_numpy() + batch["n2"].to_numpy()
             most = total - 2 * -(-percent * total // (100 + percent))
-            keep = pa.array([_differences(x, y) <= d for x, y, d in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), most.tolist())], pa.bool_())
+            keep = pa.array([differences(x, y) <= d for x, y, d in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), most.tolist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
 
     return run
 
 
-def _scan(k: int, bits: int):
+def scan(k: int, bits: int):
     """documents -> a row (doc_id, n, c, parity) each, then this task's shingle counts in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,7 @@ def _scan(k: int, bits: int):
             for _, x, _ in kernel.shingle_sets(batch["text"], k):
                 n.append(len(x))
                 c.append(class_hash(x) if len(x) else 0)
-                parity.append(_parity(x) if len(x) else None)
+                parity.append(parity_bits(x) if len(x) else None)
                 np.add.at(counts, (x >> np.uint64(64 - bits)).astype(np.int64), 1)
             void = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(parity, pa.binary()), *void], ["doc_id", "n", "c", "parity", "block", "counts"])
@@ -219,10 +219,17 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = COU
     spark = docs.sparkSession
     narrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = table(docs.mapInArrow(kernel.tidy(_scan(k, bits)), "doc_id long, n long, c long, parity binary, block int, counts binary"))
+    scanned = table(docs.mapInArrow(kernel.tidy(scan(k, bits)), "doc_id long, n long, c long, parity binary, block int, counts binary"))
     rows = scanned.where("n is not null").select("doc_id", "n", "c")
     classes = scanned.where("n > 0 and doc_id is not null").groupBy("n", "c").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.min("parity").alias("parity"))
 
+    multi, members = prefix_postings(docs, scanned, classes, k, percent, bits)
+    return link(docs, rows, classes, multi, members, k, percent, near=near_enough(percent))
+
+
+def prefix_postings(docs, scanned, classes, k, percent, bits) -> tuple[DataFrame, DataFrame]:
+    """Postings (key, g, n, pos) of the groups that may link with others, and their members (g, n, c, id, parity): steps 2 and 3."""
+    spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(_ranks(scanned, bits))
     posted = docs.where("doc_id is not null").select("text").mapInArrow(kernel.tidy(_post(k, percent, bits, ranks)), "key long, g long, n int, pos int, c long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
@@ -240,14 +247,13 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = COU
     posts = table(multi.drop("posts", "least_n", "most"))
     multi = posts.select("key", "g", "n", "pos").distinct()
     members = table(posts.select("g", F.col("n").cast("long").alias("n"), "c").distinct().join(classes, ["n", "c"]).select("g", "n", "c", "id", "parity"))
-    return link(docs, rows, classes, multi, members, k, percent, near=_near_enough(percent))
+    return multi, members
 
 
-def link(docs, rows, classes, multi, members, k, percent, near, refine=None):
+def link(docs, rows, classes, multi, members, k, percent, near):
     """Steps 4 and on for postings (key, g, n, pos) of groups and their members (g, n, c, id, parity).
 
-    `near` is a function of Arrow batches that keeps the pairs worth confirming by their parities; `refine`, if there is one,
-    replaces the postings that are left for the last round by others under which every pair to be found still meets.
+    `near` is a function of Arrow batches that keeps the pairs worth confirming by their parities.
     """
     far = 100 + percent
     known = members.select(F.col("id").alias("doc_id"), "c").distinct()
@@ -310,7 +316,6 @@ def link(docs, rows, classes, multi, members, k, percent, near, refine=None):
         so_far = components(edges)
         placed = table(members.join(so_far.withColumnRenamed("node", "id"), "id", "left").select("g", "n", "id", F.coalesce("component", "id").alias("component")))
 
-    m = table(refine(m)) if refine else m
     one = m.select("key", F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
     two = m.select("key", F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     g_pairs = one.join(two, "key").where(f"g1 < g2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2) and {passes}").select("g1", "g2").distinct()

@@ -3,17 +3,18 @@
 1. A document's signature has CHUNKS * WIDTH symbols: for each of as many hash functions, 16 bits of the least hash over the set of its
    distinct shingles.  Two signatures differ in a symbol with a probability of one less the Jaccard similarity (and 2**-16).
    Documents with the same set are one class.
-2. Signatures at most DISTANCE = 21 symbols apart are found without exception.  With 12 chunks and at most 21 errors, two chunks
-   at least have one error or none (with only one such chunk there would be 11 * 2 = 22).  A chunk's allowed errors are
-   enumerated by leaving each of its symbols out in turn: one key for each chunk and symbol, 60 in all, and any
-   two signatures within the distance share at least two keys of different chunks.
+2. Signatures at most DISTANCE = 19 symbols apart are found without exception: of 10 chunks one at least has one error or none.  A
+   chunk's allowed errors are enumerated by leaving each of its symbols out in turn, which gives one key for each
+   chunk and symbol, 50 in all.
 3. Under each key, members first meet pivots; what is found connected isn't paired again, and all pairs across components are then
-   compared (see jaccard_join).  A key with more than CROWD members of several components left is refined: its members meet only
-   where they share a second such key in another chunk, which every pair within the distance does, or any key that isn't crowded.
-4. Pairs within the distance are confirmed on their full sets.
-
-At a similarity of 0.85, 9 of 60 symbols differ on average; a pair right at that bound is over 21 with a probability of 5e-5, one
-at 0.9 with 2e-8.
+   compared (see jaccard_join).  Pairs whose signatures are within the distance, and whose parity bitmaps allow the similarity,
+   are confirmed on their full sets.
+4. Documents that share a passage, or much of an original, crowd keys without being near.  Those that stand under a key with more
+   than CROWD classes meet under the rarest shingles among them instead (the prefixes of the Jaccard join): two
+   documents that link share such a shingle too, and a pair with any key that isn't crowded is found under that one.
+
+At a similarity of 0.85, 7.5 of 50 symbols differ on average; a pair right at that bound is over 19 with a probability of 2e-5, one
+at 0.9 with 1e-8.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import kernel
-from lodestone.llm.jaccard_join import class_hash, link
+from lodestone.llm.jaccard_join import COUNTER_BITS, class_hash, differences, link, parity_bits, prefix_postings, scan
 from lodestone.llm.store import narrow_batches, table
 
-CHUNKS, WIDTH, DISTANCE = 12, 5, 21
-#: Members in several components under one key, beyond which the key is refined by a second one.
+CHUNKS, WIDTH, DISTANCE = 10, 5, 19
+#: Classes under one key, beyond which they meet under rare shingles.
 CROWD = 64
 _SYMBOLS = CHUNKS * WIDTH
 _XOR = kernel.mix(np.arange(1, _SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))[:, None]
@@ -48,7 +49,7 @@ def signature(x: np.ndarray) -> bytes:
 
 
 def _scan(k: int):
-    """documents -> (doc_id, n, c, sign): the size, fingerprint and signature of the shingle set."""
+    """documents -> (doc_id, n, c, sign): the size and fingerprint of the shingle set, and its signature followed by its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,68 +57,66 @@ def _scan(k: int):
             for _, x, _ in kernel.shingle_sets(batch["text"], k):
                 n.append(len(x))
                 c.append(class_hash(x) if len(x) else 0)
-                sign.append(signature(x) if len(x) else None)
+                sign.append(signature(x) + parity_bits(x) if len(x) else None)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sign, pa.binary())], ["doc_id", "n", "c", "sign"])
 
     return run
 
 
 def _within(distance: int, percent: int):
-    """Keeps pairs (a, b, n1, n2, x, y) whose signatures are within the distance and whose sizes allow the similarity."""
+    """Keeps pairs (a, b, n1, n2, x, y) whose signatures are within the distance and whose parities allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").reshape(-1, _SYMBOLS) for c in "xy")
-            n1, n2 = batch["n1"].to_numpy(), batch["n2"].to_numpy()
-            keep = pa.array(((x != y).sum(axis=1) <= distance) & ((100 + percent) * np.minimum(n1, n2) >= percent * (n1 + n2)))
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
+            x, y = batch["x"].to_pylist(), batch["y"].to_pylist()
+            signs = (np.frombuffer(b"".join(v[: 2 * _SYMBOLS] for v in side), "<u2").reshape(-1, _SYMBOLS) for side in (x, y))
+            total = batch["n1"].to_numpy() + batch["n2"].to_numpy()
+            most = total - 2 * -(-percent * total // (100 + percent))
+            keep = np.not_equal(*signs).sum(axis=1) <= distance
+            for i in np.flatnonzero(keep):
+                keep[i] = differences(x[i][2 * _SYMBOLS :], y[i][2 * _SYMBOLS :]) <= most[i]
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep)), batch["b"].filter(pa.array(keep))], ["a", "b"])
 
     return run
 
 
 def chunk_keys(sign: str) -> list:
-    """A key for each chunk and each symbol left out of it; the chunk's number is in its last four bits."""
+    """A key for each chunk and each symbol left out of it."""
     keys = []
     for c in range(CHUNKS):
         for d in range(WIDTH):
             start = 2 * WIDTH * c + 1
             rest = F.concat(F.substring(sign, start, 2 * d), F.substring(sign, start + 2 * d + 2, 2 * (WIDTH - 1 - d)))
-            keys.append(F.xxhash64(F.lit(WIDTH * c + d), rest).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(c)))
+            keys.append(F.xxhash64(F.lit(WIDTH * c + d), rest))
     return keys
 
 
-def refine(posts: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Postings (key, g, ..) with the crowded keys replaced by pairs of crowded keys of different chunks; others stay."""
-    busy = posts.groupBy("key").agg(F.count("*").alias("posts")).where(F.col("posts") > crowd).select("key")
-    crowded = posts.join(busy, "key", "left_semi")
-    first = crowded.withColumnRenamed("key", "k1")
-    second = crowded.select(F.col("key").alias("k2"), "g")
-    chunk = lambda c: F.col(c).bitwiseAND(F.lit(15))
-    both = first.join(second, "g").where(chunk("k1") < chunk("k2"))
-    both = both.select(F.xxhash64("k1", "k2").alias("key"), *(c for c in posts.columns if c != "key"))
-    again = both.groupBy("key").agg(F.count("*").alias("posts"), F.min("lo").alias("k_lo"), F.max("hi").alias("k_hi")).where("posts > 1 and k_lo <> k_hi").select("key")
-    return posts.join(busy, "key", "left_anti").select(posts.columns).unionByName(both.join(again, "key", "left_semi"))
-
-
-def minhash_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, distance: int = DISTANCE) -> DataFrame:
+def minhash_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept, n_copies.
 
-    Documents whose signatures are at most `distance` (21 at most) apart link if 100 * common >= percent * union for their sets of k-word
+    Documents whose signatures are at most `distance` (19 at most) apart link if 100 * common >= percent * union for their sets of k-word
     shingles.  `docs` has doc_id and text; other columns are ignored.  A text of fewer than k words has its
     whole sequence as its one shingle; a null, empty or blank text has none and is linked with nothing.  kept tells whether the
     document is its component's smallest.  Repeated rows are returned as often as they occur; a row with a null doc_id links
     nothing, has a null component and is kept.
     """
-    if not 0 <= distance <= 2 * (CHUNKS - 1) - 1:
-        raise ValueError(f"chunks of {WIDTH} symbols find signatures up to {2 * (CHUNKS - 1) - 1} apart")
+    if not 0 <= distance <= 2 * CHUNKS - 1:
+        raise ValueError(f"{CHUNKS} chunks with an error each find signatures up to {2 * CHUNKS - 1} apart")
     narrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = table(docs.mapInArrow(kernel.tidy(_scan(k)), "doc_id long, n long, c long, sign binary"))
     rows = scanned.select("doc_id", "n", "c")
     classes = table(scanned.where("n > 0 and doc_id is not null").groupBy("n", "c").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.min("sign").alias("sign")))
     posted = classes.select(F.explode(F.array(*chunk_keys("sign"))).alias("key"), F.col("id").alias("g"), F.col("n").cast("int").alias("n"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("posts")).where("posts > 1").select("key")
-    multi = table(posted.join(shared, "key", "left_semi").select("key", "g", "n", F.lit(0).alias("pos")))
-    members = table(classes.join(multi.select("g").distinct(), F.col("id") == F.col("g"), "left_semi").select(F.col("id").alias("g"), "n", "c", "id", F.col("sign").alias("parity")))
-    linked = link(docs, rows, classes.drop("sign"), multi, members, k, percent, near=_within(distance, percent), refine=refine)
+    posts = posted.groupBy("key").agg(F.count("*").alias("posts")).where("posts > 1")
+    shared = table(posted.join(posts, "key").select("key", "g", "n", (F.col("posts") > crowd).alias("crowded")))
+    multi = shared.where("not crowded").select("key", "g", "n", F.lit(0).alias("pos"))
+    busy = table(shared.where("crowded").select(F.col("g").alias("id")).distinct())
+    members = classes.join(multi.select(F.col("g").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("g"), "n", "c", "id", F.col("sign").alias("parity"))
+    if not busy.isEmpty():
+        some = docs.join(busy.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        counted = table(some.mapInArrow(kernel.tidy(scan(k, COUNTER_BITS)), "doc_id long, n long, c long, parity binary, block int, counts binary"))
+        rare, crowds = prefix_postings(some, counted, classes.withColumnRenamed("sign", "parity"), k, percent, COUNTER_BITS)
+        multi, members = multi.unionByName(rare), members.unionByName(crowds)
+    linked = link(docs, rows, classes.drop("sign"), multi, table(members), k, percent, near=_within(distance, percent))
     return linked.withColumn("kept", F.expr("doc_id is null or doc_id = component_id"))

@@ -132,7 +132,7 @@ def test_parities_never_reject_too_much():
     for n in (1, 5, 63, 64, 65, 500):
         a = rnd.integers(0, 2**63, n).astype(np.uint64)
         b = np.concatenate([a[: n // 2], rnd.integers(0, 2**63, n).astype(np.uint64)])
-        assert jaccard_join._differences(jaccard_join._parity(a), jaccard_join._parity(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
+        assert jaccard_join.differences(jaccard_join.parity_bits(a), jaccard_join.parity_bits(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
 # 1: pseudonyms
