@@ -31,3 +31,17 @@ def components(edges: DataFrame) -> DataFrame:
         if sums == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = sums
+
+
+def labels(edges: DataFrame, hops: int = 4) -> DataFrame:
+    """(a, b) edges -> (node, component), the component being the smallest node at most `hops` edges away: one shuffle for each hop.
+
+    Nodes with the same component are connected, but connected ones may differ; where that is enough, it is much cheaper.
+    """
+    e = edges.where("a is not null and b is not null and a <> b")
+    both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().repartition("b")
+    found = both.groupBy(F.col("b").alias("node")).agg(F.least(F.min("a"), F.first("b")).alias("component"))
+    for _ in range(hops - 1):
+        step = both.join(found.withColumnRenamed("node", "b"), "b")
+        found = step.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"))
+    return found

@@ -30,13 +30,23 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The session's key; where it has none, on one machine (as in tests) a known one, and on a cluster an error, since anyone could
+    undo pseudonyms made with a key that is public."""
+    if key := spark.conf.get(PII_KEY, None):
+        return key
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{PII_KEY} must hold the key of the pseudonyms")
+    return "a key for tests alone"
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with pseudonyms for the personal data in its text; the key is the session's, where it has one."""
-    return pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(PII_KEY, "a key for tests alone"))
+    """Every document with pseudonyms for the personal data in its text; the key is the session's."""
+    return pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ def differences(x: bytes, y: bytes) -> int:
     return int((np.bitwise_xor.reduce(a.reshape(-1, m)) ^ np.bitwise_xor.reduce(b.reshape(-1, m))).sum())
 
 
-def near_enough(percent: int):
+def _near_enough(percent: int):
     """Keeps pairs (a, b, n1, n2, x, y) whose parities allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def _post(k: int, percent: int, bits: int, ranks):
     return run
 
 
-def _sets(k: int):
+def shingle_pairs(k: int):
     """(doc_id, c, a, b, side, text) -> (a, b, x, y): the sorted shingle hashes as x (side 0) or y (side 1), if c is the text's class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def _sets(k: int):
     return run
 
 
-def _verify(percent: int):
+def verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -224,7 +224,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = COU
     classes = scanned.where("n > 0 and doc_id is not null").groupBy("n", "c").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.min("parity").alias("parity"))
 
     multi, members = prefix_postings(docs, scanned, classes, k, percent, bits)
-    return link(docs, rows, classes, multi, members, k, percent, near=near_enough(percent))
+    return _link(docs, rows, classes, multi, members, k, percent)
 
 
 def prefix_postings(docs, scanned, classes, k, percent, bits) -> tuple[DataFrame, DataFrame]:
@@ -250,11 +250,7 @@ def prefix_postings(docs, scanned, classes, k, percent, bits) -> tuple[DataFrame
     return multi, members
 
 
-def link(docs, rows, classes, multi, members, k, percent, near):
-    """Steps 4 and on for postings (key, g, n, pos) of groups and their members (g, n, c, id, parity).
-
-    `near` is a function of Arrow batches that keeps the pairs worth confirming by their parities.
-    """
+def _link(docs, rows, classes, multi, members, k, percent):
     far = 100 + percent
     known = members.select(F.col("id").alias("doc_id"), "c").distinct()
     signs = members.groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
@@ -264,14 +260,14 @@ def link(docs, rows, classes, multi, members, k, percent, near):
         """The pairs that link.  Sets are made of just the documents in pairs whose parities pass, and shuffled once, by pair."""
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs.join(signs.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("parity").alias("x")), "a").join(signs.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("parity").alias("y")), "b")
-        pairs = table(pairs.select("a", "b", "n1", "n2", "x", "y").mapInArrow(near, "a long, b long"))
+        pairs = table(pairs.select("a", "b", "n1", "n2", "x", "y").mapInArrow(_near_enough(percent), "a long, b long"))
         ends = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side")))).alias("e"))
         ends = table(ends.select("a", "b", "e.doc_id", "e.side").join(known, "doc_id"))
         if ends.count() <= BROADCAST_ENDS:
             ends = F.broadcast(ends)
-        sets = docs.join(ends, "doc_id").select("doc_id", "c", "a", "b", "side", "text").mapInArrow(kernel.tidy(_sets(k)), "a long, b long, x binary, y binary")
+        sets = docs.join(ends, "doc_id").select("doc_id", "c", "a", "b", "side", "text").mapInArrow(kernel.tidy(shingle_pairs(k)), "a long, b long, x binary, y binary")
         both = sets.groupBy("a", "b").agg(F.max("x").alias("x"), F.max("y").alias("y")).where("x is not null and y is not null")
-        return table(both.mapInArrow(_verify(percent), "a long, b long"))
+        return table(both.mapInArrow(verify(percent), "a long, b long"))
 
     def one_for_each(groups: str, others: str, pairs: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
         """For pairs of groups, one member of the first with every member of the other that lies in another component."""

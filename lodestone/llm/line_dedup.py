@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import broadcast_if_small, table
+from lodestone.llm.store import broadcast_if_small, columns, table
 
 _ID = ["h1", "h2", "n"]
 _POS = "struct(doc_id, th, line)"
@@ -144,7 +144,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 3, min_near_words: int = 8) ->
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     gone = gone_lines(docs.select(number.alias("doc_id"), "text"), min_words, min_near_words)
     gone = gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), number.alias("doc_id"), F.xxhash64("text").alias("th"))
+    keyed = docs.select(F.struct(*columns(docs)).alias("row"), number.alias("doc_id"), F.xxhash64("text").alias("th"))
     out = keyed.join(gone, ["doc_id", "th"], "left")
     # The lines between one that is gone and the next.
     lines = "split(row.text, '\\n', -1)"

@@ -6,8 +6,8 @@
 2. Signatures at most DISTANCE = 19 symbols apart are found without exception: of 10 chunks one at least has one error or none.  A
    chunk's allowed errors are enumerated by leaving each of its symbols out in turn, which gives one key for each
    chunk and symbol, 50 in all.
-3. Under each key, members first meet pivots; what is found connected isn't paired again, and all pairs across components are then
-   compared (see jaccard_join).  Pairs whose signatures are within the distance, and whose parity bitmaps allow the similarity,
+3. Under each key, all members first meet a pivot, or several in a crowd, round by round; what is found connected isn't paired again,
+   and all pairs across components are then compared.  Pairs whose signatures are within the distance, and whose parity bitmaps allow the similarity,
    are confirmed on their full sets.
 4. Documents that share a passage, or much of an original, crowd keys without being near.  Those that stand under a key with more
    than CROWD classes meet under the rarest shingles among them instead (the prefixes of the Jaccard join): two
@@ -27,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import kernel
-from lodestone.llm.jaccard_join import COUNTER_BITS, class_hash, differences, link, parity_bits, prefix_postings, scan
+from lodestone.llm.components import components, labels
+from lodestone.llm.jaccard_join import BROADCAST_ENDS, COUNTER_BITS, class_hash, differences, parity_bits, prefix_postings, scan, shingle_pairs, verify
 from lodestone.llm.store import narrow_batches, table
 
 CHUNKS, WIDTH, DISTANCE = 10, 5, 19
 #: Classes under one key, beyond which they meet under rare shingles.
 CROWD = 64
+#: Rounds of pivots end when at most PAIRS_LEFT pairs across components for each posting are left, or after ROUNDS of them.  A key with
+#: more than FEW members in several components has PIVOTS pivots from the second round on.  Between rounds, what lies within HOPS links counts as connected.
+ROUNDS, PAIRS_LEFT, FEW, PIVOTS, HOPS = 4, 16, 16, 4, 4
 _SYMBOLS = CHUNKS * WIDTH
 _XOR = kernel.mix(np.arange(1, _SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))[:, None]
 _TIMES = (kernel.mix(np.arange(501, _SYMBOLS + 501, dtype=np.uint64)) | np.uint64(1))[:, None]
@@ -64,7 +68,7 @@ def _scan(k: int):
 
 
 def _within(distance: int, percent: int):
-    """Keeps pairs (a, b, n1, n2, x, y) whose signatures are within the distance and whose parities allow the similarity."""
+    """(a, b, c1, c2) of the pairs (a, b, n1, n2, c1, c2, x, y) whose signatures are within the distance and whose parities allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +79,7 @@ def _within(distance: int, percent: int):
             keep = np.not_equal(*signs).sum(axis=1) <= distance
             for i in np.flatnonzero(keep):
                 keep[i] = differences(x[i][2 * _SYMBOLS :], y[i][2 * _SYMBOLS :]) <= most[i]
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep)), batch["b"].filter(pa.array(keep))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(keep)) for c in ("a", "b", "c1", "c2")], ["a", "b", "c1", "c2"])
 
     return run
 
@@ -91,6 +95,48 @@ def chunk_keys(sign: str) -> list:
     return keys
 
 
+def _links(docs: DataFrame, classes: DataFrame, postings: DataFrame, k: int, percent: int, distance: int) -> DataFrame:
+    """(a, b) links among the ids of classes (n, c, id, sign), for postings (key, id, n, pos): those that join all components."""
+    far = 100 + percent
+    passes = f"{far} * least(n - pos, {{0}}n - {{0}}pos) >= {percent} * (n + {{0}}n)"
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that link: by signature and parities first, and then by full sets, which are made of the documents in question alone."""
+        side = lambda end, n, c, x: classes.select(F.col("id").alias(end), F.col("n").alias(n), F.col("c").alias(c), F.col("sign").alias(x))
+        both = pairs.distinct().join(side("a", "n1", "c1", "x"), "a").join(side("b", "n2", "c2", "y"), "b")
+        near = table(both.select("a", "b", "n1", "n2", "c1", "c2", "x", "y").mapInArrow(_within(distance, percent), "a long, b long, c1 long, c2 long"))
+        ends = near.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("c1").alias("c"), F.lit(0).alias("side")), F.struct(F.col("b").alias("doc_id"), F.col("c2").alias("c"), F.lit(1).alias("side")))).alias("e")).select("a", "b", "e.*")
+        ends = F.broadcast(ends) if 2 * near.count() <= BROADCAST_ENDS else ends
+        sets = docs.join(ends, "doc_id").select("doc_id", "c", "a", "b", "side", "text").mapInArrow(kernel.tidy(shingle_pairs(k)), "a long, b long, x binary, y binary")
+        sets = sets.groupBy("a", "b").agg(F.max("x").alias("x"), F.max("y").alias("y")).where("x is not null and y is not null")
+        return table(sets.mapInArrow(verify(percent), "a long, b long"))
+
+    edges, m = None, postings.withColumn("component", F.col("id"))
+    for turn in range(ROUNDS + 1):
+        spread = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        m = table(m.join(spread, "key", "left_semi")) if turn else m
+        if turn == ROUNDS or turn and _pairs_left(m) <= PAIRS_LEFT:
+            break
+        member = F.struct("id", "n", "pos", "component")
+        pivots = m.groupBy("key").agg(F.count("*").alias("posts"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.array(*(F.min_by(member, F.xxhash64("id", F.lit(turn * PIVOTS + j))) for j in range(PIVOTS if turn else 1))).alias("ps"))
+        pivots = pivots.where("lo <> hi").select("key", F.expr(f"if(posts > {FEW}, array_distinct(ps), slice(ps, 1, 1))").alias("ps"))
+        met = m.join(pivots, "key").select("id", "n", "pos", "component", F.explode("ps").alias("p")).where("p.component <> component and p.id <> id").where(passes.format("p."))
+        found = verified(met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")))
+        edges = found if edges is None else edges.unionByName(found)
+        connected = labels(edges, HOPS).withColumnRenamed("node", "id")
+        m = table(postings.join(connected, "id", "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("component")))
+    other = m.select("key", *(F.col(c).alias(f"o_{c}") for c in ("id", "n", "pos", "component")))
+    rest = m.join(other, "key").where("id < o_id and component <> o_component").where(passes.format("o_"))
+    return edges.unionByName(verified(rest.select(F.col("id").alias("a"), F.col("o_id").alias("b"))))
+
+
+def _pairs_left(m: DataFrame) -> float:
+    """Pairs across components under the keys, for each posting."""
+    inside = m.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("posts"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    row = inside.agg((F.sum(F.col("posts") * F.col("posts") - F.col("same")) / 2).alias("pairs"), F.sum("posts").alias("posts")).first()
+    return row.pairs / row.posts if row.posts else 0.0
+
+
 def minhash_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept, n_copies.
 
@@ -110,13 +156,16 @@ def minhash_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, dist
     posted = classes.select(F.explode(F.array(*chunk_keys("sign"))).alias("key"), F.col("id").alias("g"), F.col("n").cast("int").alias("n"))
     posts = posted.groupBy("key").agg(F.count("*").alias("posts")).where("posts > 1")
     shared = table(posted.join(posts, "key").select("key", "g", "n", (F.col("posts") > crowd).alias("crowded")))
-    multi = shared.where("not crowded").select("key", "g", "n", F.lit(0).alias("pos"))
-    busy = table(shared.where("crowded").select(F.col("g").alias("id")).distinct())
-    members = classes.join(multi.select(F.col("g").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("g"), "n", "c", "id", F.col("sign").alias("parity"))
+    postings = shared.where("not crowded").select("key", F.col("g").alias("id"), "n", F.lit(0).alias("pos"))
+    busy = table(shared.where("crowded").select(F.col("g").alias("doc_id")).distinct())
     if not busy.isEmpty():
-        some = docs.join(busy.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        some = docs.join(busy, "doc_id", "left_semi")
         counted = table(some.mapInArrow(kernel.tidy(scan(k, COUNTER_BITS)), "doc_id long, n long, c long, parity binary, block int, counts binary"))
-        rare, crowds = prefix_postings(some, counted, classes.withColumnRenamed("sign", "parity"), k, percent, COUNTER_BITS)
-        multi, members = multi.unionByName(rare), members.unionByName(crowds)
-    linked = link(docs, rows, classes.drop("sign"), multi, table(members), k, percent, near=_within(distance, percent))
-    return linked.withColumn("kept", F.expr("doc_id is null or doc_id = component_id"))
+        rare, members = prefix_postings(some, counted, classes.withColumnRenamed("sign", "parity"), k, percent, COUNTER_BITS)
+        postings = postings.unionByName(rare.join(members.select("g", "id"), "g").select("key", "id", "n", "pos"))
+    links = _links(docs, classes, table(postings), k, percent, distance)
+    named = components(links).withColumnRenamed("node", "id")
+    named = classes.join(named, "id", "left").select("n", "c", "n_copies", F.coalesce("component", "id").alias("component"))
+    out = rows.join(named, ["n", "c"], "left")
+    component = F.expr("if(doc_id is null, null, coalesce(component, doc_id))")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.store import columns
+
 #: Possessive groups and single classes alone, which Java matches without recursion.  A label and its stop are taken if a label follows.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.(?=[A-Za-z]{2}|[A-Za-z0-9-]+\.[A-Za-z0-9]))++[A-Za-z]{2,}"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
@@ -142,7 +144,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     secret = docs.sparkSession.sql("SELECT * FROM VALUES (:key) AS t(secret)", args={"key": key})
     what = "case " + " ".join(f"when {test} then '{kind}'" for kind, test, _ in _kinds(KEY)) + " else '' end"
     new = "case " + " ".join(f"when k = '{kind}' and {test} then {value}" if kind == "date" else f"when k = '{kind}' then {value}" for kind, test, value in _kinds(KEY)) + " else m end"
-    some = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("whole")).crossJoin(F.broadcast(secret))
+    some = docs.select(F.struct(*columns(docs)).alias("row"), F.col("text").cast("string").alias("whole")).crossJoin(F.broadcast(secret))
     some = some.withColumn("found", F.when(F.col("whole").rlike(HINT) & F.col("whole").rlike(ANY), F.regexp_extract_all("whole", F.lit(ANY), F.lit(0))))
     some = some.withColumn("kinds", F.expr(f"transform(found, m -> {what})"))
     some = some.withColumn("put", F.expr(f"zip_with(found, kinds, (m, k) -> if(k = '', m, {new}))"))

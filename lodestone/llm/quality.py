@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import kernel
 from lodestone.llm.store import narrow_batches
@@ -173,6 +174,11 @@ def reference_sample(docs: DataFrame, labels: DataFrame | None, rows: int) -> Da
     return docs.select("doc_id", lang.alias("lang"), "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
 
 
+_TYPES = {"long": T.LongType(), "boolean": T.BooleanType(), "double": T.DoubleType()}
+#: What the rules add to a document's columns.
+RULE = T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double".split(", "))])
+
+
 def quality_rules(
     docs: DataFrame,
     labels: DataFrame | None = None,
@@ -198,7 +204,5 @@ def quality_rules(
     sample = reference_sample(docs, labels, sample_rows)
     refs = fit_references(sample, top_words) if sample is not None else {}
     limits = {"min_base_words": min_base_words, "max_repeat_percent": max_repeat_percent, "min_words": min_words, "max_char_distance": max_char_distance, "joint_char_distance": joint_char_distance, "joint_word_distance": joint_word_distance}
-    rule = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
-    docs = docs.drop(*(c.split()[0] for c in rule.split(", ")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(kernel.tidy(_rules(refs, limits)), f"{schema}, {rule}")
+    docs = docs.drop(*RULE.names)
+    return docs.mapInArrow(kernel.tidy(_rules(refs, limits)), T.StructType([*docs.schema.fields, *RULE.fields]))

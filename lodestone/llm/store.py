@@ -8,7 +8,7 @@ import itertools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _serial = itertools.count()
@@ -45,6 +45,16 @@ def narrow_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def named(name: str) -> Column:
+    """The column of exactly that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of `df`, by exact name."""
+    return [named(c) for c in df.columns]
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows (of a few numbers each), else as it is."""
     return F.broadcast(df) if df.count() <= rows else df

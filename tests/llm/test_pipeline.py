@@ -1,6 +1,10 @@
 """The pipeline's stages, each on its own input."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from lodestone.llm import entry, pii
 from lodestone.llm.store import table
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +31,30 @@ def test_near_duplicates_keep_the_smallest(spark):
     rows = [(5, text), (3, text + " end"), (3, text + " end"), (9, "other words entirely here now"), (7, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == [3, 7, 9]
+
+
+def test_stages_take_columns_of_any_name(spark):
+    """Dots, quotes, spaces and the stages' own names; structs with odd fields; each is there afterwards as it was."""
+    names = ["a.b", "with `quote`", "a space", "kept", "n_words", "n_lines", "n_removed", "gone", "__mine", "held", "c", "key", "th", "row", "rows", "component_id"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").repartition(2)
+    odd = F.struct(F.lit(1).alias("x y"), F.lit("z").alias("p.q"))
+    docs = table(docs.select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names), odd.alias("of all")))
+    first = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = table(stage(spark, docs, SF))
+        assert docs.columns == first, name
+    for r in docs.collect():
+        assert all(r[n] == f"{n}{r.doc_id}" for n in names) and r["of all"]["x y"] == 1 and r["of all"]["p.q"] == "z"
+    assert docs.count() > 20 and corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+    out = pii.pseudonymise(docs, "k")
+    assert out.columns[: len(first)] == first and out.where("`a.b` is null").count() == 0
+
+
+def test_the_key_of_pseudonyms_is_the_sessions(spark):
+    class Away:
+        conf = spark.conf
+        sparkContext = type("", (), {"master": "yarn"})
+
+    assert entry.pii_key(spark)
+    with pytest.raises(ValueError):
+        entry.pii_key(Away)
