@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import fusion, ivf, postings, vector
-from lodestone.queries import ORACLES, query
-from lodestone.session import kept_folder
+from lodestone import queries
+from lodestone.functions import table_functions
+from lodestone.operators import chunk, fusion, graph, ingest, ivf, postings, vector
+from lodestone.operators.graph_store import GraphStore
+from lodestone.plans import adaptive
+from lodestone.queries import ORACLES, QUERIES, query
+from lodestone.session import kept_folder, load, shared_folder
+from lodestone.sources.tables import Table
+from lodestone.streaming import both_indexes, progress, runs
 
 
 def _folder(table: DataFrame, kind: str, build) -> str:
@@ -25,6 +31,18 @@ def text_index(t) -> postings.Postings:
     return postings.open_postings(d.sparkSession, _folder(d, "postings", lambda path: postings.build(d, path)))
 
 
+def graph_store(t) -> GraphStore:
+    """The graph of the documents, which come in three batches."""
+    d = t("documents")
+
+    def build(path: str) -> None:
+        store = GraphStore.create(d.sparkSession, path)
+        for batch in range(3):
+            store.insert(d.where(F.pmod("doc_id", F.lit(3)) == batch), batch)
+
+    return GraphStore(d.sparkSession, _folder(d, "graph", build))
+
+
 @query()
 def q_vector_ivf(t):
     """The 10 nearest vectors of every twentieth one, by the kept index."""
@@ -51,3 +69,279 @@ def q_postings_index(t):
 def q_hybrid_index(t):
     """Hashed vectors, and BM25 by the kept index, fused."""
     return fusion.fuse([vector.hash_search(t("documents"), t("benchmark"), 10), text_index(t).search(t("benchmark"), 10)], 4)
+
+
+# Tables that are written, and read back
+
+
+def written(name: str):
+    """Register a function of tables that writes and reads back, in place of a SELECT with the same rows and SQL."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(lambda table: load(spark, sf_dir, table))
+        return f
+
+    return add
+
+
+def stored(rows: DataFrame, *key: str) -> Table:
+    return Table.create(rows, shared_folder(rows.sparkSession, "table"), list(key))
+
+
+@written("q_partial_update")
+def q_partial_update(t):
+    """Only the fields that a request has are set."""
+    table = stored(t("customer").select("c_custkey", "c_name", "c_acctbal"), "c_custkey")
+    asked = t("customer").where("c_custkey % 3 = 0 or c_custkey % 5 = 0").select("c_custkey", F.expr("case when c_custkey % 3 = 0 then concat(c_name, '-new') end as c_name"), F.expr("case when c_custkey % 5 = 0 then c_acctbal + 1 end as c_acctbal"))
+    table.merge(asked, {c: f"coalesce(s.{c}, t.{c})" for c in ("c_name", "c_acctbal")}, insert=False)
+    return table.read()
+
+
+@written("q_soft_delete")
+def q_soft_delete(t):
+    table = stored(t("customer").select("c_custkey", "c_name", "c_acctbal", F.lit(True).alias("is_active")), "c_custkey")
+    table.update("c_acctbal < 0", {"is_active": "false"})
+    return table.read().drop("c_acctbal")
+
+
+@written("q_library_update")
+def q_library_update(t):
+    """A new title, unless another library of the same owner has it."""
+    c = t("customer")
+    table = stored(c.select("c_custkey", F.col("c_name").alias("title"), "c_nationkey"), "c_custkey")
+    new = "Customer#000000009"
+    taken = table.read().where(F.col("title") == new).select(F.col("c_custkey").alias("other"), "c_nationkey")
+    free = table.read().where("c_custkey % 3 = 0").alias("a").join(taken.alias("b"), F.expr("a.c_nationkey = b.c_nationkey and a.c_custkey <> b.other"), "left_anti")
+    table.merge(free.select("c_custkey", F.lit(new).alias("title")), insert=False)
+    return table.read().select("c_custkey", "title")
+
+
+@written("q_insert_if_absent")
+def q_insert_if_absent(t):
+    """Libraries that their owners don't have yet; every second one is there before."""
+    c = t("customer").select("c_custkey", F.col("c_name").alias("title"), F.col("c_nationkey").alias("owner"))
+    table = stored(c.where("c_custkey % 2 = 0"), "title", "owner")
+    before = table.manifest()["version"]
+    table.merge(c.dropDuplicates(["title", "owner"]), {})
+    return table.read().join(table.read(before), ["title", "owner"], "left_anti").select("c_custkey", "title", "owner")
+
+
+@written("q_document_upsert")
+def q_document_upsert(t):
+    table = stored(t("documents").select("doc_id", "source", F.length("text").alias("size"), F.lit("kept").alias("state")), "doc_id")
+    pages = t("pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("source"), F.length("html").alias("size"), F.lit("added").alias("state"))
+    table.merge(pages, {"source": "s.source", "size": "s.size", "state": "'updated'"})
+    return table.read()
+
+
+@written("q_save_message")
+def q_save_message(t):
+    """A message at the end of every conversation; saved again under its number, it stays one."""
+    c = t("conversations").select("conv_id", "turn", "role", "text")
+    table = stored(c, "conv_id")
+    new = c.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn"), F.lit("user").alias("role"), F.lit("a new message").alias("text"))
+    for _ in range(2):
+        table.append(new, "chat", 1)
+    return table.read()
+
+
+@written("q_conversation_touch")
+def q_conversation_touch(t):
+    table = stored(t("conversations").select("conv_id", "turn", F.lit(0).alias("is_latest")), "conv_id", "turn")
+    table.merge(t("conversations").groupBy("conv_id").agg(F.max("turn").alias("turn")), {"is_latest": "1"}, insert=False)
+    return table.read()
+
+
+@written("q_cascade_delete")
+def q_cascade_delete(t):
+    """A conversation's messages go with it."""
+    table = stored(t("conversations").select("conv_id", "turn", "role"), "conv_id")
+    table.merge(t("conversations").where("conv_id % 5 = 0").select("conv_id").distinct(), {}, insert=False, delete="true")
+    return table.read()
+
+
+@written("q_user_conversations_delete")
+def q_user_conversations_delete(t):
+    table = stored(t("events").select("event_id", "user_id"), "user_id")
+    table.merge(t("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id")), {}, insert=False, delete="true")
+    return table.read()
+
+
+@query(
+    "SELECT 0 AS version, count(*) AS documents, sum(length(text))::BIGINT AS chars FROM documents WHERE source <> 'src1' UNION ALL SELECT 1, count(*), sum(length(text))::BIGINT FROM documents "
+    "UNION ALL SELECT 2, count(*), sum(length(text))::BIGINT FROM documents WHERE lang <> 'de' UNION ALL SELECT 3, count(*), 0 FROM documents WHERE lang <> 'de'"
+)
+def q_table_versions(t):
+    """What each of four versions holds: without a source, with it, without a language, with texts blanked."""
+    d = t("documents").select("doc_id", "text", "lang", "source")
+    table = stored(d.where("source <> 'src1'"), "doc_id")
+    table.append(d.where("source = 'src1'"), "load", 1)
+    table.append(d.where("source = 'src1'"), "load", 1)
+    table.delete("lang = 'de'")
+    table.update("true", {"text": "''"})
+    out = None
+    for v in table.versions():
+        one = table.read(v).agg(F.lit(v).alias("version"), F.count("*").alias("documents"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# Streams into stores
+
+
+def st_ingest_both(spark, sf_dir: str) -> DataFrame:
+    """Pages by the stream into the chunk table and the graph; the chunks of each page."""
+    table, store = both_indexes.create(spark, shared_folder(spark, "both"))
+    both_indexes.run(progress.read_pages(spark, f"{sf_dir}/pages.parquet"), table, store)
+    return both_indexes.read_chunks(table, store).groupBy("page_id").agg(F.count("chunk_id").alias("chunks"), F.sum("text_chars").alias("chars"))
+
+
+QUERIES["st_ingest_both"] = st_ingest_both
+ORACLES["st_ingest_both"] = ORACLES["q_ingest_pipeline"]
+
+
+def st_run_states(spark, sf_dir: str) -> DataFrame:
+    """Conversations as updates of run state: the last text of each role, and the last ten turns with those they followed."""
+    path = f"{sf_dir}/conversations.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    table = runs.create_states(spark, shared_folder(spark, "states"))
+    runs.keep_states(stream.select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("seq"), F.col("role").alias("field"), F.col("text").alias("value")), table)
+    state = F.expr("array_join(transform(state, s -> concat(s.field, '=', md5(s.value))), ',')")
+    history = F.expr("array_join(transform(history, h -> concat(h.seq, '<', coalesce(cast(h.parent as string), '-'), ':', h.field)), ',')")
+    return table.read().select(F.col("thread_id").alias("conv_id"), F.col("last_seq").alias("last_turn"), state.alias("state"), history.alias("history"))
+
+
+QUERIES["st_run_states"] = st_run_states
+ORACLES["st_run_states"] = (
+    "WITH l AS (SELECT conv_id, role, arg_max(text, turn) AS v FROM conversations GROUP BY ALL), s AS (SELECT conv_id, string_agg(role||'='||md5(v), ',' ORDER BY role) AS state FROM l GROUP BY conv_id), "
+    "h AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations), "
+    "k AS (SELECT conv_id, max(turn) AS last_turn, string_agg(turn||'<'||coalesce(parent::VARCHAR, '-')||':'||role, ',' ORDER BY turn) AS history FROM h WHERE n <= 10 GROUP BY conv_id) "
+    "SELECT conv_id, last_turn, state, history FROM s JOIN k USING (conv_id)"
+)
+
+#: The protocol's kinds among those of the events table, and its bounds.
+KINDS = {"signup": "start", "view": "node_update", "click": "token", "purchase": "complete", "error": "error"}
+DELAY_MS, TIMEOUT_MS = 3_600_000, 172_800_000
+
+
+def st_protocol(spark, sf_dir: str) -> DataFrame:
+    """Runs of each user's events that have ended, and events that break the protocol."""
+    events = progress.read_events(spark, f"{sf_dir}/events.parquet", 1000)
+    kind = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[F.col("event_type")]
+    table = runs.create_runs(spark, shared_folder(spark, "runs"))
+    runs.keep_runs(events.select(F.col("user_id").alias("session_id"), "ts", "event_id", kind.alias("kind")), table, f"{DELAY_MS} milliseconds", TIMEOUT_MS)
+    return table.read()
+
+
+QUERIES["st_protocol"] = st_protocol
+ORACLES["st_protocol"] = (
+    f"WITH e AS (SELECT user_id AS s, epoch_ms(ts) AS a, event_id AS id, CASE event_type {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in KINDS.items())} END AS kind FROM events), w AS (SELECT max(a) - {DELAY_MS} AS w FROM e), "
+    "d AS (SELECT s, a, id, kind, w, lag(kind) OVER o AS pk, lag(a) OVER o AS pa, lead(a) OVER o AS na, row_number() OVER o AS rn FROM e, w WHERE a < w WINDOW o AS (PARTITION BY s ORDER BY a, id)), "
+    f"g AS (SELECT *, sum(CASE WHEN pa IS NULL OR a - pa > {TIMEOUT_MS} OR pk IN ('complete', 'error') THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY rn ROWS UNBOUNDED PRECEDING) AS seg FROM d), "
+    "f AS (SELECT *, min(rn) FILTER (WHERE kind = 'start') OVER (PARTITION BY s, seg) AS f, max(rn) OVER (PARTITION BY s, seg) AS l FROM g), "
+    "bad AS (SELECT *, f IS NULL OR rn < f OR kind = 'start' AND rn > f AS bad FROM f), "
+    "r AS (SELECT s, seg, min(a) FILTER (WHERE rn = f) AS start, count(*) FILTER (WHERE NOT bad) AS n FROM bad WHERE f IS NOT NULL GROUP BY s, seg) "
+    "SELECT s AS session_id, 'violation' AS what, NULL::BIGINT AS start_ms, a AS at_ms, id AS event_id, NULL::BIGINT AS events FROM bad WHERE bad UNION ALL "
+    "SELECT s, CASE WHEN kind IN ('complete', 'error') THEN kind ELSE 'timeout' END, start, a, CASE WHEN kind IN ('complete', 'error') THEN id END, n FROM r JOIN bad USING (s, seg) "
+    f"WHERE rn = l AND (kind IN ('complete', 'error') OR na IS NOT NULL OR w - a > {TIMEOUT_MS})"
+)
+
+
+# Crawls
+
+_LINKS = (
+    "l AS (SELECT url AS src, regexp_extract(url, '^([a-z]+://[^/]+)', 1) AS host, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages), "
+    "s AS (SELECT arg_min(url, page_id) AS u FROM pages), "
+    "i AS (SELECT DISTINCT src, CASE WHEN starts_with(href, '/') THEN host||href ELSE href END AS dst FROM l, s WHERE starts_with(CASE WHEN starts_with(href, '/') THEN host||href ELSE href END, regexp_extract(u, '^([a-z]+://[^/]+)', 1))) "
+)
+ORACLES["q_crawl_frontier"] = f"WITH RECURSIVE {_LINKS}, w AS (SELECT u AS url, 0 AS depth FROM s UNION SELECT dst, depth + 1 FROM w JOIN i ON src = url WHERE depth < 4) SELECT url, min(depth)::INT AS depth FROM w GROUP BY url ORDER BY depth, url LIMIT 200"
+
+
+@query()
+def q_crawl_depth_first(t):
+    """As q_crawl_frontier, a branch at a time."""
+    pages = t("pages")
+    first = pages.agg(F.min(F.struct("page_id", "url"))["url"].alias("u")).first()
+    return ingest.crawl_depth_first(ingest.links(pages), first["u"] if first and first["u"] else "http://none")
+
+
+# SQL of the recursive and long splits
+
+
+def _by_separators(size: int, separators: tuple[str, ...]) -> str:
+    """p0, p1, ..: pieces (doc_id, path, t), of which those that are too long and hold the next separator are cut before it."""
+    levels = [f"p0 AS (SELECT doc_id, [1] AS path, text AS t FROM documents WHERE regexp_matches(text, '\\S'))"]
+    for k, sep in enumerate(x for x in separators if x):
+        of = "||".join("chr(10)" if c == "\n" else f"'{c}'" for c in sep)
+        levels.append(
+            f"p{k + 1} AS (SELECT doc_id, path, t FROM p{k} WHERE length(t) <= {size} OR NOT contains(t, {of}) UNION ALL SELECT doc_id, list_append(path, i), CASE WHEN i > 1 THEN {of}||x ELSE x END FROM "
+            f"(SELECT doc_id, path, unnest(string_split(t, {of})) AS x, generate_subscripts(string_split(t, {of}), 1) AS i FROM p{k} WHERE length(t) > {size} AND contains(t, {of})) WHERE i > 1 OR x <> '')"
+        )
+    last = len(levels) - 1
+    return ", ".join(levels) + f", cut AS (SELECT doc_id, path, j, substr(t, j, {size}) AS t FROM (SELECT doc_id, path, t, unnest(range(1, length(t) + 1, {size})) AS j FROM p{last}))"
+
+
+ORACLES["q_chunk_recursive"] = (
+    f"WITH RECURSIVE {_by_separators(1000, chunk.SEPARATORS)}, u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path, j) AS i, t FROM cut), "
+    "l AS (SELECT doc_id, list(t ORDER BY i) AS t, list(c ORDER BY i) AS c FROM (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS c FROM u) GROUP BY doc_id), "
+    # After i pieces, those from s on are held; c has the running lengths.
+    "h AS (SELECT doc_id, 1::BIGINT AS i, 1::BIGINT AS s, 0::BIGINT AS until, 0::BIGINT AS since FROM l UNION ALL "
+    "SELECT doc_id, i + 1, CASE WHEN full_ THEN s + len(list_filter(range(s, i + 1), lambda k: c[i] - coalesce(c[k-1], 0) > 200 OR c[i+1] - coalesce(c[k-1], 0) > 1000)) ELSE s END, CASE WHEN full_ THEN i ELSE 0 END, s "
+    "FROM (SELECT h.*, c, c[i+1] - coalesce(c[s-1], 0) > 1000 AS full_ FROM h JOIN l USING (doc_id) WHERE i < len(c))), "
+    "o AS (SELECT doc_id, until, since FROM h WHERE until > 0 UNION ALL SELECT doc_id, i, s FROM h JOIN l USING (doc_id) WHERE i = len(c)) "
+    "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY until) - 1)::INT AS chunk_index, array_to_string(t[since:until], '') AS chunk FROM o JOIN l USING (doc_id)"
+)
+ORACLES["q_split_long"] = (
+    "WITH RECURSIVE d AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '\\S') AND length(text) > 6000), "
+    "p AS (SELECT doc_id, generate_subscripts(x, 1) AS a, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)||chr(10)) AS x FROM d)), "
+    "s AS (SELECT doc_id, a, generate_subscripts(x, 1) AS b, unnest(x) AS t FROM (SELECT doc_id, a, CASE WHEN length(t) <= 6000 THEN [t] ELSE string_split(regexp_replace(t, '(。|\\. )', '\\1'||chr(1), 'g'), chr(1)) END AS x FROM p)), "
+    "v AS (SELECT doc_id, a, b, j, substr(t, j, 6000) AS t FROM (SELECT *, unnest(range(1, length(t) + 1, 6000)) AS j FROM s)), "
+    "u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, b, j) AS i, t, CASE WHEN row_number() OVER (PARTITION BY doc_id, a ORDER BY b, j) = 1 THEN chr(10)||chr(10) ELSE '' END AS glue FROM v), "
+    "f AS (SELECT doc_id, i, 0 AS k, 6000 - length(t) AS room, t AS piece FROM u WHERE i = 1 UNION ALL "
+    "SELECT u.doc_id, u.i, CASE WHEN length(glue||t) <= room THEN k ELSE k + 1 END, CASE WHEN length(glue||t) <= room THEN room - length(glue||t) ELSE 6000 - length(t) END, CASE WHEN length(glue||t) <= room THEN glue||t ELSE t END FROM f JOIN u ON u.doc_id = f.doc_id AND u.i = f.i + 1), "
+    "c AS (SELECT doc_id, k, string_agg(piece, '' ORDER BY i) AS chunk FROM f GROUP BY doc_id, k) "
+    "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS chunk_index, chunk FROM c WHERE regexp_matches(chunk, '\\S') UNION ALL "
+    "SELECT doc_id, 0, text FROM documents WHERE regexp_matches(text, '\\S') AND length(text) <= 6000"
+)
+
+
+def _in_sql(t, call: str) -> DataFrame:
+    docs = t("documents").select("doc_id", "text")
+    table_functions.register(docs.sparkSession)
+    return docs.sparkSession.sql(f"SELECT doc_id, chunk_index, chunk FROM {call}", documents=docs)
+
+
+@query(ORACLES["q_chunk_recursive"])
+def q_udtf_recursive(t):
+    return _in_sql(t, "split_recursive(TABLE({documents}), 1000, 200)")
+
+
+@query(ORACLES["q_split_long"])
+def q_udtf_long(t):
+    return _in_sql(t, "split_long(TABLE({documents}), 6000)")
+
+
+def _literal(text: str) -> str:
+    return "||chr(10)||".join("'" + line.replace("'", "''") + "'" for line in text.split("\n"))
+
+
+@query(" UNION ALL ".join(f"SELECT item_id, '{kind}' AS kind, replace({_literal(text)}, '{{question}}', trim(text)) AS prompt FROM benchmark" for kind, text in adaptive.DECISIONS.items()))
+def q_decision_prompts(t):
+    return adaptive.decision_prompts(t("benchmark"))
+
+
+@query(
+    f"WITH {queries._Q0}, {queries._ASKED}, {queries._hashed('question', 'item_id')}, "
+    f"sb AS (SELECT doc_id, pos, {queries._BUCKET.format('t')} AS bucket, count(*) AS c FROM (SELECT doc_id, pos, unnest({queries._TOK.format('s')}) AS t FROM ss) GROUP BY ALL), "
+    "pr AS (SELECT a.doc_id, a.pos, a.term AS src, b.term AS dst FROM se a JOIN se b ON a.doc_id = b.doc_id AND a.pos = b.pos AND a.term < b.term SEMI JOIN ed ON ed.src = a.term AND ed.dst = b.term), "
+    "pc AS (SELECT src, dst, bucket, sum(c)::DOUBLE AS c FROM pr JOIN sb USING (doc_id, pos) GROUP BY ALL), pw AS (SELECT src, dst, bucket, round(c / sqrt(sum(c*c) OVER (PARTITION BY src, dst)), 9) AS w FROM pc), "
+    "rs AS (SELECT item_id, src, dst, round(sum(pw.w * q.w), 6) AS score FROM pw JOIN e_question q USING (bucket) GROUP BY ALL HAVING round(sum(pw.w * q.w), 6) > 0), "
+    "be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, src, dst) AS r FROM rs) WHERE r <= 20), "
+    "et AS (SELECT item_id, term, sum(score) AS w FROM (SELECT item_id, src AS term, score FROM be UNION ALL SELECT item_id, dst, score FROM be) GROUP BY ALL), "
+    f"sc2 AS (SELECT item_id, doc_id, round(sum(w), 6)::DOUBLE AS score FROM et JOIN tf USING (term) GROUP BY ALL) SELECT item_id, doc_id, score, rank FROM (SELECT *, {queries._RANK.format('item_id', 'doc_id')} FROM sc2) WHERE rank <= 5"
+)
+def q_graph_relations(t):
+    """Documents by the profiles of relations, for the graph's question."""
+    d, store = t("documents"), graph_store(t)
+    profiles = d.sparkSession.read.parquet(_folder(d, "relations", lambda path: graph.relation_profiles(d, store.edges()).write.parquet(path)))
+    return graph.relation_chunks(d, profiles, queries._question(t), 5)

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import bucket, sentences
@@ -19,6 +19,8 @@ from lodestone.functions.text import bucket, sentences
 STRATEGIES = ("character", "semantic", "recursive", "markdown")
 SEPARATORS = ("\n\n", "。", "，", " ", "")
 LONG = 6000
+#: Buckets of the hashed word counts by which sentences are compared.
+BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -139,32 +141,65 @@ def markdown(docs: DataFrame) -> DataFrame:
     return parts.select("doc_id", index, "chunk")
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, sentences, distances): 1 - cosine of each sentence's hashed word counts and the next one's, null after the last.
+
+    All of a document stays in its row, so nothing is shuffled; a word costs a look at each of the buckets.
+    """
+    counts = lambda bs: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter(bs, lambda x: x == b)).cast("double"))
+    product = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
+    s = docs.select("doc_id", sentences("text").alias("sentences")).where("sentences is not null")
+    s = s.withColumn("buckets", F.transform("sentences", lambda x: F.transform(F.split(x, " "), lambda w: bucket(w, BUCKETS))))
+    s = s.withColumn("vectors", F.transform("buckets", counts))
+    s = s.withColumn("vectors", F.transform("vectors", lambda v: F.struct(v.alias("v"), F.sqrt(product(v, v)).alias("norm"))))
+    after = F.expr("slice(vectors, 2, size(vectors))")
+    distance = lambda x, y: F.when(y.isNotNull(), F.round(1 - product(x["v"], y["v"]) / (x["norm"] * y["norm"]), 9))
+    return s.select("doc_id", "sentences", F.zip_with("vectors", after, distance).alias("distances"))
+
+
 def sentence_distances(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, sentence, distance): 1 - cosine of a sentence's hashed word counts and the next one's."""
-    s = docs.select("doc_id", F.posexplode(sentences("text")).alias("pos", "sentence"))
-    words = s.select("doc_id", "pos", F.explode(F.split("sentence", " ")).alias("w"))
-    v = words.groupBy("doc_id", "pos", bucket("w").alias("b")).agg(F.count("*").cast("double").alias("c"))
-    norm = v.groupBy("doc_id", "pos").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    after = v.select("doc_id", (F.col("pos") - 1).alias("pos"), "b", F.col("c").alias("c2"))
-    dots = v.join(after, ["doc_id", "pos", "b"]).groupBy("doc_id", "pos").agg(F.sum(F.col("c") * F.col("c2")).alias("dot"))
-    n2 = norm.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("norm").alias("norm2"))
-    d = s.join(norm, ["doc_id", "pos"], "left").join(n2, ["doc_id", "pos"], "left").join(dots, ["doc_id", "pos"], "left")
-    return d.select("doc_id", "pos", "sentence", F.when(F.col("norm2").isNotNull(), F.round(1 - F.coalesce("dot", F.lit(0.0)) / (F.col("norm") * F.col("norm2")), 9)).alias("distance"))
+    """(doc_id, pos, sentence, distance) of each sentence and the next one."""
+    rows = _measured(docs).select("doc_id", F.posexplode(F.arrays_zip(F.col("sentences").alias("sentence"), F.col("distances").alias("distance"))).alias("pos", "s"))
+    return rows.select("doc_id", "pos", "s.sentence", "s.distance")
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often and however deep it occurs there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _percentile(xs: str, share: float) -> Column:
+    """The percentile of an array's values between its neighbours, nulls left out; null for an empty array."""
+
+    def of(held: Column) -> Column:
+        place = (F.size(held) - 1) * share
+        low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
+        between = (high - place) * F.get(held, low) + (place - low) * F.get(held, high)
+        return F.when(F.get(held, low) == F.get(held, high), F.get(held, low)).otherwise(between)
+
+    return _with(F.array_sort(F.filter(xs, lambda x: x.isNotNull())), of)
+
+
+def _joined(items: str, last: Column) -> Column:
+    """Runs of an array's strings, joined by spaces; `last` has the places at which runs end (the array's end is one)."""
+    bounds = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(last, lambda i: i + 1), F.array(F.size(items))))
+    runs = lambda b: F.zip_with(F.slice(b, F.lit(1), F.size(b) - 1), F.slice(b, F.lit(2), F.size(b)), lambda x, y: F.array_join(F.slice(F.col(items), x + 1, y - x), " "))
+    return F.when(F.size(items) > 0, _with(bounds, runs)).otherwise(F.array().cast("array<string>"))
+
+
+def _places(xs: str, test: Callable[[Column], Column]) -> Column:
+    """The places of an array's elements that pass a test."""
+    marked = F.transform(xs, lambda x, i: F.when(test(x), i))
+    return F.filter(marked, lambda i: i.isNotNull())
 
 
 def semantic(docs: DataFrame, percentile: float = 0.95, min_chunk_size: int = 0) -> DataFrame:
     """(doc_id, chunk_index, chunk): a break follows each sentence farther from the next than the document's percentile."""
-    d = sentence_distances(docs)
-    limit = d.groupBy("doc_id").agg(F.percentile("distance", F.lit(percentile)).alias("limit"))
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    cut = d.join(limit, "doc_id").withColumn("cut", F.coalesce((F.col("distance") > F.col("limit")).cast("int"), F.lit(0)))
-    cut = cut.withColumn("section", F.coalesce(F.sum("cut").over(before), F.lit(0)))
-    parts = cut.groupBy("doc_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("chunk"))
+    cuts = _with(_percentile("distances", percentile), lambda limit: _places("distances", lambda x: x > limit))
+    d = _measured(docs).select("doc_id", _joined("sentences", cuts).alias("chunks"))
     if min_chunk_size:  # a section that is too short goes with those after it
-        sizes = Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
-        parts = parts.withColumn("long", (F.length("chunk") >= min_chunk_size).cast("int")).withColumn("section2", F.coalesce(F.sum("long").over(sizes), F.lit(0)))
-        parts = parts.groupBy("doc_id", F.col("section2").alias("section")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "chunk"))), lambda x: x["chunk"]), " ").alias("chunk"))
-    return parts.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("section")) - 1).alias("chunk_index"), "chunk")
+        d = d.select("doc_id", _joined("chunks", _places("chunks", lambda c: F.length(c) >= min_chunk_size)).alias("chunks"))
+    return d.select("doc_id", F.posexplode("chunks").alias("chunk_index", "chunk"))
 
 
 def chunk(docs: DataFrame, config: ChunkConfig) -> DataFrame:

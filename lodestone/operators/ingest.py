@@ -20,8 +20,10 @@ def links(pages: DataFrame) -> DataFrame:
 def crawl_frontier(edges: DataFrame, start: str, prefix: str | None = None, depth: int = 4, cap: int = 200, depth_first: bool = False) -> DataFrame:
     """(url, depth): pages reached from `start` on its own host, within `depth` and the prefix, at most `cap`.
 
-    Order is by depth and url (breadth first), or by url path (depth first).  A null prefix filters nothing.
+    Order is by depth and url (breadth first); depth_first takes a branch at a time, see crawl_depth_first().  A null prefix filters nothing.
     """
+    if depth_first:
+        return crawl_depth_first(edges, start, prefix, depth, cap).select("url", "depth")
     host = F.regexp_extract(F.lit(start), r"^([a-z]+://[^/]+)", 1)
     inside = edges.where(F.startswith("dst_url", host)).where(F.startswith("dst_url", F.lit(prefix)) if prefix else F.lit(True))
     found = edges.sparkSession.createDataFrame([(start, 0)], "url string, depth int")
@@ -29,7 +31,32 @@ def crawl_frontier(edges: DataFrame, start: str, prefix: str | None = None, dept
         frontier = found.where(F.col("depth") == d - 1).select(F.col("url").alias("src_url"))
         step = inside.join(frontier, "src_url", "left_semi").select(F.col("dst_url").alias("url")).distinct()
         found = found.unionByName(materialise(step.join(found.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)), "level"))
-    return (found.orderBy("url") if depth_first else found.orderBy("depth", "url")).limit(cap)
+    return found.orderBy("depth", "url").limit(cap)
+
+
+def crawl_depth_first(edges: DataFrame, start: str, prefix: str | None = None, depth: int = 4, cap: int = 200) -> DataFrame:
+    """(url, depth, place) of the first `cap` pages that a depth-first crawl visits, links in the order of their urls.
+
+    A page's label is the path of urls by which it is first visited; labels in order are the order of visits, and a page's label is the
+    least extension, by its own url, of the label of a page that links to it and isn't at the last depth.  Each step makes all labels
+    anew from those of the step before, until none changes: a page that turns out to be first visited at the last
+    depth then no longer passes anything on, as in a crawl that never visits a page again.
+    """
+    host = F.regexp_extract(F.lit(start), r"^([a-z]+://[^/]+)", 1)
+    inside = edges.where(F.startswith("dst_url", host) & (F.startswith("dst_url", F.lit(prefix)) if prefix else F.lit(True)))
+    inside = materialise(inside.where(F.col("dst_url") != start).select("src_url", "dst_url").distinct(), "links")
+    root = edges.sparkSession.range(1).select(F.lit(start).alias("url"), F.array(F.lit(start)).alias("label"))
+    labels, before = root, None
+    while True:
+        open_ = labels.where(F.size("label") <= depth).withColumnRenamed("url", "src_url")
+        step = inside.join(open_, "src_url").groupBy(F.col("dst_url").alias("url")).agg(F.min(F.concat("label", F.array("dst_url"))).alias("label"))
+        labels = materialise(step.unionByName(root), "labels")
+        sums = labels.agg(F.count("*"), F.sum(F.xxhash64("url", "label").cast("decimal(38,0)"))).first()
+        if sums == before:
+            break
+        before = sums
+    first = labels.orderBy("label").limit(cap)
+    return first.select("url", (F.size("label") - 1).alias("depth"), F.row_number().over(Window.orderBy("label")).alias("place"))
 
 
 def blocks(pages: DataFrame) -> DataFrame:

@@ -152,6 +152,20 @@ def direct_prompt(questions: DataFrame) -> DataFrame:
     return questions.withColumn("prompt", F.concat(F.lit("Answer from general knowledge.\nQuestion: "), "text"))
 
 
+#: What a model is asked before anything is retrieved; {question} is the user's.  Each answer is JSON of the fields that structured() reads.
+DECISIONS = {
+    "need": 'Does answering need the documents? Small talk, arithmetic and general knowledge do not.\nReply as JSON: {"need_retrieval": true or false, "extracted_question": the question without the rest, "reasoning": why}.\nQuestion: {question}',
+    "type": 'Which search fits? graph_only for relations between things, vector_only for facts about one.\nReply as JSON: {"retrieval_type": "vector_only" or "graph_only", "reasoning": why}.\nQuestion: {question}',
+    "expansion": 'Split the question into parts that can be searched one by one; one that is simple stays whole.\nReply as JSON: {"subquestions": a list}.\nQuestion: {question}',
+}
+
+
+def decision_prompts(questions: DataFrame) -> DataFrame:
+    """(item_id, kind, prompt) for each decision about each question; a null question counts as empty."""
+    prompts = F.array(*(F.struct(F.lit(kind).alias("kind"), F.replace(F.lit(text), F.lit("{question}"), F.trim(F.coalesce("text", F.lit("")))).alias("prompt")) for kind, text in DECISIONS.items()))
+    return questions.select("item_id", F.explode(prompts).alias("p")).select("item_id", "p.kind", "p.prompt")
+
+
 def run(questions: DataFrame, vector: Callable[[DataFrame], DataFrame], graph: Callable[[DataFrame], DataFrame], docs: DataFrame, mode: str = "auto") -> DataFrame:
     """All questions through the plan: (item_id, prompt), each by its own branch; the branches are filters."""
     decided = classify(need(questions, mode), mode)

@@ -282,8 +282,10 @@ _EDGE = f"{_ENT}, {_SENT}, ed AS (SELECT a.term AS src, b.term AS dst, count(*)
 
 
 def _edges(t):
-    ents = graph.entities(t("documents"))
-    return ents, graph.cooccurrence_edges(t("documents"), ents)
+    """Entities and edges of the kept graph, which the documents' tables share between queries."""
+    store = kept_queries.graph_store(t)
+    ents = store.entities()
+    return ents, store.edges(ents=ents)
 
 
 @query(f"WITH {_EDGE} SELECT src, dst, weight FROM ed")

@@ -96,10 +96,13 @@ def start(df: DataFrame, name: str, mode: str = "update", checkpoint: str | None
     return (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
 
 
-def drain(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "update") -> None:
-    """Run a stream over all input there is into a foreachBatch sink, with its checkpoint in the shared folder."""
-    w = df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", shared_folder(df.sparkSession, "checkpoint"))
-    w.trigger(availableNow=True).start().awaitTermination()
+def drain(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "update", checkpoint: str | None = None, once: bool = False) -> None:
+    """Run a stream over all input there is into a foreachBatch sink, with its checkpoint in the shared folder (or one of its own).
+
+    once: in one batch; state that expires with the clock would else ask for further batches for ever.
+    """
+    w = df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint or shared_folder(df.sparkSession, "checkpoint"))
+    (w.trigger(once=True) if once else w.trigger(availableNow=True)).start().awaitTermination()
 
 
 def upsert_status(spark: SparkSession, table_path: str, updates: DataFrame, epoch: int) -> None:

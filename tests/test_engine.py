@@ -5,6 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import table_functions
 from lodestone.operators import chunk, fusion, graph, ingest, vector
 from lodestone.plans import adaptive
 from lodestone.queries import QUERIES
@@ -230,3 +231,86 @@ def test_embeddings_structures_and_caches(spark):
     got, more = adaptive.cached_ask(p, cache, lambda: lambda prompts: [x.upper() for x in prompts])
     assert {r.item_id: r.answer for r in got.collect()} == {0: "kept", 1: "NEW"} and more.count() == 1
     assert adaptive.with_fallback(lambda: 1 / 0, lambda: p) is p
+
+
+def test_depth_first_crawl_is_the_recursive_one(spark):
+    import random
+
+    def plain(links, start, prefix, depth, cap):
+        seen, out = set(), []
+
+        def visit(u, d):
+            if len(out) == cap or u in seen:
+                return
+            seen.add(u)
+            out.append((u, d))
+            for v in sorted(links.get(u, ())) if d < depth else ():
+                if v.startswith("http://h") and v.startswith(prefix or ""):
+                    visit(v, d + 1)
+
+        visit(start, 0)
+        return out
+
+    rng = random.Random(4)
+    for n, degree, cap, prefix in ((6, 2, 200, None), (12, 2, 7, None), (25, 3, 200, None), (40, 2, 11, "http://h/1"), (9, 4, 3, None)):
+        url = lambda i: f"http://h/{i}"
+        pairs = [(url(rng.randrange(n)), url(rng.randrange(n))) for _ in range(n * degree)] * 2 + [(url(0), "http://other/1"), (url(0), url(0)), (url(1), None)]
+        links = {}
+        for a, b in pairs:
+            if b:
+                links.setdefault(a, set()).add(b)
+        got = ingest.crawl_depth_first(spark.createDataFrame(pairs, "src_url string, dst_url string"), url(0), prefix, 4, cap).orderBy("place").collect()
+        assert [(r.url, r.depth) for r in got] == plain(links, url(0), prefix, 4, cap)
+
+
+def test_chunkers_in_sql_carry_the_other_columns(spark):
+    table_functions.register(spark)
+    rows = [(1, "a b c " * 60, "x", [1, 2]), (2, None, None, None), (3, "  ", "y", []), (4, "short", None, None)]
+    spark.createDataFrame(rows, "doc_id int, text string, `of.what` string, n array<int>").createOrReplaceTempView("some_docs")
+    got = spark.sql("SELECT * FROM split_recursive(TABLE(some_docs), 100, 10)")
+    assert got.columns == ["doc_id", "of.what", "n", "chunk_index", "chunk"] and dict(got.dtypes)["n"] == "array<int>"
+    want = [(d, w, n, i, c) for d, t, w, n in rows if t and t.strip() for i, c in enumerate(chunk.split_recursive(t, 100, 10))]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert [tuple(r) for r in spark.sql("SELECT doc_id, chunk FROM split_long(TABLE(some_docs), 200) WHERE doc_id = 1 ORDER BY chunk_index").collect()] == [(1, c) for c in chunk.split_long(rows[0][1], 200)]
+    for bad in ("split_recursive(TABLE(some_docs), 0, 1)", "split_long(TABLE(some_docs))", "split_long(TABLE(SELECT 1 AS a), 5)", "split_long(TABLE(SELECT 'x' AS text, 1 AS chunk), 5)"):
+        with pytest.raises(Exception):
+            spark.sql(f"SELECT * FROM {bad}").collect()
+
+
+def test_semantic_breaks_are_those_of_a_plain_loop(spark):
+    import hashlib
+    import math
+    import random
+
+    import numpy as np
+
+    def plain(text, least):
+        s = [x.strip(" ") for x in __import__("re").split(r"[。！？.\n]", text)]
+        s = [x for x in s if x]
+        v = []
+        for x in s:
+            c = [0] * 64
+            for w in x.split(" "):
+                c[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
+            v.append(c)
+        norm = [math.sqrt(sum(a * a for a in c)) for c in v]
+        d = [round(1 - sum(a * b for a, b in zip(v[i], v[i + 1])) / (norm[i] * norm[i + 1]), 9) for i in range(len(s) - 1)]
+        limit = np.percentile(d, 95) if d else 0
+        parts = [[]]
+        for i, x in enumerate(s):
+            parts[-1].append(x)
+            if i < len(d) and d[i] > limit:
+                parts.append([])
+        parts = [" ".join(p) for p in parts if p]
+        out, held = [], []
+        for p in parts:
+            held.append(p)
+            if len(p) >= least:
+                out.append(" ".join(held))
+                held = []
+        return out + [" ".join(held)] if held else out
+
+    rng = random.Random(12)
+    texts = [". ".join(" ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))) for _ in range(n)) for n in (1, 2, 3, 20, 41, 200)] + ["...", "one  two. three"]
+    for least in (0, 12):
+        assert chunks(chunk.semantic(docs(spark, *texts), min_chunk_size=least)) == [(i, c) for i, t in enumerate(texts) for c in plain(t, least)]
