@@ -169,9 +169,10 @@ def test_protocol_on_legal_broken_unfinished_and_reordered_sequences(spark, tmp_
     silent = [(5, 0, "start"), (5, 50, "token"), (5, 900, "token"), (6, 0, "start"), (7, 9990, "start"), (7, 9995, "token")]
     rng = random.Random(3)
     noise = [(10 + rng.randrange(6), rng.randrange(9000), rng.choice(["start", "node_update", "token", "complete", "error"])) for _ in range(300)]
-    events = [(s, at, i, kind) for i, (s, at, kind) in enumerate(legal + broken + silent + noise + [(9, 10_000, "start")])]
-    first = [e for e in events if e[1] < 5000]
-    rest = [e for e in events if e[1] >= 5000]
+    base = 1_000_000  # a stream's watermark begins at 0, and what isn't after it is late
+    events = [(s, base + at, i, kind) for i, (s, at, kind) in enumerate(legal + broken + silent + noise + [(9, 10_000, "start")])]
+    first = [e for e in events if e[1] < base + 5000]
+    rest = [e for e in events if e[1] >= base + 5000]
     rng.shuffle(first)
     path, table = str(tmp_path / "events"), runs.create_runs(spark, str(tmp_path / "runs"))
     schema = "session_id long, ms long, event_id long, kind string"
@@ -183,10 +184,10 @@ def test_protocol_on_legal_broken_unfinished_and_reordered_sequences(spark, tmp_
         done = first if part is first else events
         now = max(e[1] for e in done) - 100
         assert rows(table.read()) == plain_protocol(done, 200, now)
-    late = spark.createDataFrame([(20, 50, 9000, "start"), (20, 60, 9001, "complete")], schema)
+    late = spark.createDataFrame([(20, base + 50, 9000, "start"), (20, base + 60, 9001, "complete")], schema)
     late.coalesce(1).write.mode("append").parquet(path)
     runs.keep_runs(spark.readStream.schema(schema).parquet(path).withColumn("ts", F.timestamp_millis("ms")), table, "100 milliseconds", 200, str(tmp_path / "c"))
-    assert rows(table.read()) == plain_protocol(events, 200, 9900)  # dropped
+    assert rows(table.read()) == plain_protocol(events, 200, base + 9900)  # dropped
 
 
 def test_a_relation_is_reached_by_words_of_its_sentences(spark):
