@@ -151,5 +151,5 @@ def dedup_lines(docs: DataFrame, min_words: int = 3, min_near_words: int = 8) ->
     runs = f"transform(array({lines}), x -> flatten(transform(sequence(0, size(gone)), k -> slice(x, if(k = 0, 0, gone[k - 1] + 1) + 1, if(k = size(gone), size(x), gone[k]) - if(k = 0, 0, gone[k - 1] + 1)))))[0]"
     text = F.expr(f"if(gone is null, row.text, array_join({runs}, '\\n'))")
     n_lines = F.expr(f"if(row.text is null, 0, size({lines}))")
-    columns = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
-    return out.select(*columns, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    own = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    return out.select(*own, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -150,5 +150,5 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     some = some.withColumn("put", F.expr(f"zip_with(found, kinds, (m, k) -> if(k = '', m, {new}))"))
     joined = F.expr(f"if(found is null, whole, array_join(zip_with(split(whole, {_sql(ANY)}, -1), put, (g, v) -> concat(g, coalesce(v, ''))), ''))")
     counts = [F.expr(f"greatest(cast(coalesce(size(filter(kinds, k -> k = '{k}')), 0) as bigint), 0L)").alias(f"n_{k}") for k in NAMES]
-    columns = [joined.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
-    return some.select(*columns, *counts)
+    own = [joined.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    return some.select(*own, *counts)

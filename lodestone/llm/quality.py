@@ -205,4 +205,7 @@ def quality_rules(
     refs = fit_references(sample, top_words) if sample is not None else {}
     limits = {"min_base_words": min_base_words, "max_repeat_percent": max_repeat_percent, "min_words": min_words, "max_char_distance": max_char_distance, "joint_char_distance": joint_char_distance, "joint_word_distance": joint_word_distance}
     docs = docs.drop(*RULE.names)
-    return docs.mapInArrow(kernel.tidy(_rules(refs, limits)), T.StructType([*docs.schema.fields, *RULE.fields]))
+    # Python takes columns by names without dots and quotes; they get their own back afterwards.
+    plain = docs.toDF(*(c if c in ("text", "lang") else f"c{i}" for i, c in enumerate(docs.columns)))
+    judged = plain.mapInArrow(kernel.tidy(_rules(refs, limits)), T.StructType([*plain.schema.fields, *RULE.fields]))
+    return judged.toDF(*docs.columns, *RULE.names)
