@@ -235,7 +235,7 @@ def st_protocol(spark, sf_dir: str) -> DataFrame:
 
 QUERIES["st_protocol"] = st_protocol
 ORACLES["st_protocol"] = (
-    f"WITH e AS (SELECT user_id AS s, epoch_ms(ts) AS a, event_id AS id, CASE event_type {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in KINDS.items())} END AS kind FROM events), w AS (SELECT max(a) - {DELAY_MS} AS w FROM e), "
+    f"WITH e AS (SELECT user_id AS s, epoch_us(ts) // 1000 AS a, event_id AS id, CASE event_type {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in KINDS.items())} END AS kind FROM events), w AS (SELECT max(a) - {DELAY_MS} AS w FROM e), "
     "d AS (SELECT s, a, id, kind, w, lag(kind) OVER o AS pk, lag(a) OVER o AS pa, lead(a) OVER o AS na, row_number() OVER o AS rn FROM e, w WHERE a < w WINDOW o AS (PARTITION BY s ORDER BY a, id)), "
     f"g AS (SELECT *, sum(CASE WHEN pa IS NULL OR a - pa > {TIMEOUT_MS} OR pk IN ('complete', 'error') THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY rn ROWS UNBOUNDED PRECEDING) AS seg FROM d), "
     "f AS (SELECT *, min(rn) FILTER (WHERE kind = 'start') OVER (PARTITION BY s, seg) AS f, max(rn) OVER (PARTITION BY s, seg) AS l FROM g), "
