@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.operators import chunk, fusion, graph, ingest, lexical, vector
 from lodestone.plans import adaptive
-from lodestone.session import load, shared_folder
+from lodestone.session import load, materialise, shared_folder
 from lodestone.streaming import progress
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -281,23 +281,23 @@ _SENT = f"ss AS (SELECT doc_id, generate_subscripts(p, 1) AS pos, unnest(p) AS s
 _EDGE = f"{_ENT}, {_SENT}, ed AS (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM se a JOIN se b ON a.doc_id = b.doc_id AND a.pos = b.pos AND a.term < b.term GROUP BY ALL HAVING count(*) >= 2)"
 
 
-def _edges(t):
-    """Entities and edges of the kept graph, which the documents' tables share between queries."""
+def _edges(t, question):
+    """Entities of the kept graph, which the documents' tables share between queries, and the edges that a question touches."""
     store = kept_queries.graph_store(t)
-    ents = store.entities()
-    return ents, store.edges(ents=ents)
+    ents = materialise(store.entities(), "entities")
+    return ents, materialise(store.edges_of(lexical.question_terms(question), ents=ents), "edges")
 
 
 @query(f"WITH {_EDGE} SELECT src, dst, weight FROM ed")
 def q_cooccurrence_edges(t):
-    return _edges(t)[1]
+    return kept_queries.graph_store(t).edges()
 
 
 @query(f"WITH {_EDGE}, nd AS (SELECT src AS n FROM ed UNION SELECT dst FROM ed) SELECT (SELECT count(*) FROM nd) AS nodes, (SELECT count(*) FROM ed) AS edges, (SELECT count(DISTINCT substr(n,1,1)) FROM nd) AS labels")
 def q_graph_stats(t):
-    e = _edges(t)[1]
-    nodes = e.select(F.explode(F.array("src", "dst")).alias("n")).agg(F.countDistinct("n").alias("nodes"), F.countDistinct(F.substring("n", 1, 1)).alias("labels"))
-    return nodes.join(F.broadcast(e.agg(F.count("*").alias("edges")))).select("nodes", "edges", "labels")
+    terms, pairs = kept_queries.graph_store(t).numbered_edges()
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("ends")).join(terms, "id")
+    return ends.agg(F.count("*").alias("nodes"), F.coalesce(F.expr("sum(ends) div 2"), F.lit(0)).alias("edges"), F.countDistinct(F.substring("term", 1, 1)).alias("labels"))
 
 
 _LOCAL = f"lo AS (SELECT item_id, doc_id, score, {_RANK.format('item_id', 'doc_id')} FROM (SELECT item_id, doc_id, round(sum(w),6)::DOUBLE AS score FROM (SELECT item_id, term, sum(weight) AS w FROM (SELECT item_id, dst AS term, weight FROM ed JOIN q ON src = q.term UNION ALL SELECT item_id, src, weight FROM ed JOIN q ON dst = q.term) GROUP BY ALL) JOIN tf USING (term) GROUP BY ALL))"
@@ -320,20 +320,20 @@ _Q0 = _EDGE.replace("FROM benchmark", "FROM (SELECT 0::BIGINT AS item_id, text F
 
 @query(f"WITH {_Q0}, {_LOCAL} SELECT item_id, doc_id, score, rank FROM lo WHERE rank <= 5")
 def q_graph_local(t):
-    ents, edges = _edges(t)
+    ents, edges = _edges(t, _question(t))
     return graph.local_chunks(t("documents"), edges, ents, _question(t), 5)
 
 
 @query(f"WITH {_Q0}, {_GLOBAL} SELECT item_id, doc_id, score, rank FROM gl WHERE rank <= 5")
 def q_graph_global(t):
-    ents, edges = _edges(t)
+    ents, edges = _edges(t, _question(t))
     return graph.global_chunks(t("documents"), edges, ents, _question(t), 5)
 
 
 @query(f"WITH {_Q0}, {_LOCAL}, {_GLOBAL}, il AS (SELECT item_id, doc_id, min(place) AS place FROM (SELECT item_id, doc_id, rank*2-1 AS place FROM lo WHERE rank <= 5 UNION ALL SELECT item_id, doc_id, rank*2 FROM gl WHERE rank <= 5) GROUP BY ALL) SELECT item_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY place) AS rank FROM il) WHERE rank <= 5")
 def q_graph_hybrid(t):
-    ents, edges = _edges(t)
     q = _question(t)
+    ents, edges = _edges(t, q)
     return graph.interleave(graph.local_chunks(t("documents"), edges, ents, q, 5), graph.global_chunks(t("documents"), edges, ents, q, 5), 5)
 
 
@@ -348,8 +348,8 @@ def q_graph_naive(t):
 
 @query(f"WITH {_Q0}, {_ASKED}, {_NAIVE}, {_LOCAL}, {_GLOBAL}, il AS (SELECT item_id, doc_id, min(place) AS place FROM (SELECT item_id, doc_id, rank*2-1 AS place FROM lo WHERE rank <= 5 UNION ALL SELECT item_id, doc_id, rank*2 FROM gl WHERE rank <= 5) GROUP BY ALL), hy AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY place) AS rank FROM il) WHERE rank <= 5), mx AS (SELECT item_id, doc_id, min(place) AS place FROM (SELECT item_id, doc_id, rank*2-1 AS place FROM hy UNION ALL SELECT item_id, doc_id, rank*2 FROM nv WHERE rank <= 5) GROUP BY ALL) SELECT item_id, doc_id, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY place) AS rank FROM mx) WHERE rank <= 5")
 def q_graph_mix(t):
-    ents, edges = _edges(t)
     q = _question(t)
+    ents, edges = _edges(t, q)
     of_graph = graph.interleave(graph.local_chunks(t("documents"), edges, ents, q, 5), graph.global_chunks(t("documents"), edges, ents, q, 5), 5)
     return graph.interleave(of_graph, vector.hash_search(t("documents"), q, 5), 5)
 

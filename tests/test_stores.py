@@ -200,3 +200,13 @@ def test_a_relation_is_reached_by_words_of_its_sentences(spark):
     got = graph.relation_chunks(docs, profiles, asked, 2, top_edges=1).orderBy("item_id", "rank").collect()
     assert [(r.item_id, r.doc_id) for r in got] == [(1, 0), (1, 1), (2, 2), (2, 3)]
     assert graph.relation_chunks(docs, profiles.limit(0), asked, 2).count() == 0
+
+
+def test_the_graph_keeps_sentences_and_makes_only_the_pairs_asked_for(spark, docs, tmp_path):
+    store = GraphStore.create(spark, str(tmp_path / "g"), buckets=2)
+    store.insert(docs, 0)
+    kept = store._table("edges").read()
+    assert kept.where("size(terms) = 300 and n = 1").count() == 1  # one row, not 44,850 pairs
+    asked = spark.createDataFrame([("wordy1",), ("wordy2",), ("nowhere",), *[(r.src,) for r in store.edges().limit(3).collect()]], "term string")
+    want = sorted(tuple(r) for r in store.edges().collect() if {r.src, r.dst} & {a.term for a in asked.collect()})
+    assert want and sorted(map(tuple, store.edges_of(asked).collect())) == want
