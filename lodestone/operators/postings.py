@@ -10,8 +10,12 @@ Texts are read when the index is built, never in a search.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +23,6 @@ from lodestone.functions.text import tokens
 from lodestone.operators.lexical import K1, B, question_terms, top_k
 from lodestone.session import materialise, small
 
-#: Stands for the document itself among its terms; no token is empty.
-_WHOLE = ""
 _BLOCKS = "term string, range long, peak double, docs array<struct<doc_id:long,tf:long,dl:int>>, bucket int"
 
 
@@ -40,14 +42,11 @@ def build(docs: DataFrame, path: str, buckets: int = 32, range_docs: int = 16) -
     if 1 << step != range_docs:
         raise ValueError("range_docs must be a power of two")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("ts"))
-    # Documents of about the same length are neighbours, and near copies among them: their peaks are close to their own parts.
-    sized = sized.withColumn("dl", F.size("ts")).sortWithinPartitions("dl", "doc_id").withColumn("row", F.monotonically_increasing_id())
-    every = sized.select("doc_id", "row", "dl", F.explode(F.array_append("ts", _WHOLE)).alias("term"))
-    counted = materialise(every.groupBy("term", "row", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
-    total = counted.where(F.col("term") == _WHOLE).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(total["avgdl"] or 1))))
-    held = counted.where(F.col("term") != _WHOLE).withColumn("range", F.shiftright("row", step))
-    blocks = held.groupBy("term", "range").agg(F.max(part).alias("peak"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("docs"))
+    # A range lies in one task, so its blocks are made there.  Documents of about the same length are neighbours, and near copies among them: their peaks are close to their own parts.
+    sized = sized.withColumn("dl", F.size("ts"))
+    total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    sized = sized.sortWithinPartitions("dl", "doc_id").withColumn("row", F.monotonically_increasing_id())
+    blocks = sized.select("doc_id", "row", "dl", "ts").mapInArrow(_blocks(step, float(total["avgdl"] or 1)), "term string, range long, peak double, docs array<struct<doc_id:long,tf:long,dl:int>>")
     blocks = blocks.select("term", "range", "peak", "docs", _bucket(buckets))
     blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
     stored = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
@@ -58,6 +57,46 @@ def build(docs: DataFrame, path: str, buckets: int = 32, range_docs: int = 16) -
     return open_postings(spark, path)
 
 
+def _blocks(step: int, avgdl: float, rows: int = 1024):
+    """Batches of (doc_id, row, dl, ts) by row -> the blocks of their ranges; a range that a batch breaks off waits for the next."""
+    fields = [pa.field("doc_id", pa.int64()), pa.field("tf", pa.int64()), pa.field("dl", pa.int32())]
+
+    def made(t: pa.Table) -> pa.RecordBatch:
+        ts = t["ts"].combine_chunks()
+        sizes = pc.list_value_length(ts).to_numpy()
+        words = ts.flatten().dictionary_encode()
+        wide = max(len(words.dictionary), 1)
+        key, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * wide + words.indices.to_numpy(), return_counts=True)
+        row, code = key // wide, key % wide
+        ids = t["doc_id"].combine_chunks()
+        place = np.argsort(pc.array_sort_indices(ids, null_placement="at_start").to_numpy(), kind="stable")
+        of, dl = t["row"].to_numpy() >> step, t["dl"].to_numpy()
+        order = np.lexsort((place[row], code, of[row]))
+        row, code, tf = row[order], code[order], tf[order]
+        first = np.flatnonzero(np.r_[True, (np.diff(code) != 0) | (np.diff(of[row]) != 0)][: len(row)])
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl))
+        held = pa.StructArray.from_arrays([ids.take(pa.array(row)), pa.array(tf, pa.int64()), pa.array(dl[row], pa.int32())], fields=fields)
+        docs = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), held)
+        peak = np.maximum.reduceat(part, first) if len(first) else part
+        return pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[first])), pa.array(of[row[first]], pa.int64()), pa.array(peak, pa.float64()), docs], ["term", "range", "peak", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                t = pa.Table.from_batches([batch.slice(at, rows)])
+                waiting = t if waiting is None else pa.concat_tables([waiting, t])
+                of = waiting["row"].to_numpy() >> step
+                whole = int(np.searchsorted(of, of[-1]))
+                if whole:
+                    yield made(waiting.slice(0, whole))
+                    waiting = waiting.slice(whole)
+        if waiting is not None:
+            yield made(waiting)
+
+    return run
+
+
 def open_postings(spark: SparkSession, path: str) -> Postings:
     """An index that build() has written."""
     return Postings(spark, path, **json.loads(spark.read.parquet(f"{path}/corpus").first()["text"]))
