@@ -208,5 +208,6 @@ def test_the_graph_keeps_sentences_and_makes_only_the_pairs_asked_for(spark, doc
     kept = store._table("edges").read()
     assert kept.where("size(terms) = 300 and n = 1").count() == 1  # one row, not 44,850 pairs
     asked = spark.createDataFrame([("wordy1",), ("wordy2",), ("nowhere",), *[(r.src,) for r in store.edges().limit(3).collect()]], "term string")
-    want = sorted(tuple(r) for r in store.edges().collect() if {r.src, r.dst} & {a.term for a in asked.collect()})
+    terms = {r.term for r in asked.collect()}
+    want = sorted(tuple(r) for r in store.edges().collect() if {r.src, r.dst} & terms)
     assert want and sorted(map(tuple, store.edges_of(asked).collect())) == want
