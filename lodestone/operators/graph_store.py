@@ -37,7 +37,7 @@ def sentence_counts(docs: DataFrame, min_length: int) -> DataFrame:
     return sentence.select(terms.alias("terms")).where(F.size("terms") > 1).groupBy("terms").agg(F.count("*").alias("n"))
 
 
-def _numbered(terms: DataFrame) -> DataFrame:
+def numbered(terms: DataFrame) -> DataFrame:
     """(term, id): the terms, stored, with numbers from 0 on; the driver sees how many each partition has."""
     keyed = materialise(terms.select("term", F.monotonically_increasing_id().alias("id")), "nodes")
     part, row = F.shiftrightunsigned("id", 33).cast("int"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
@@ -105,7 +105,7 @@ class GraphStore:
         A sentence goes to each of its entities with the ids of those behind it, and pairs are made and counted there, in as many
         partitions as keep the counts of one in memory.
         """
-        nodes = _numbered((self.entities() if ents is None else ents).select("term"))
+        nodes = numbered((self.entities() if ents is None else ents).select("term"))
         rows = self._rows("edges")
         most = rows.agg(F.sum(F.expr("size(terms) * (size(terms) - 1) div 2"))).first()[0] or 0
         placed = rows.withColumn("place", F.monotonically_increasing_id()).select("place", "n", F.posexplode("terms").alias("i", "term"))

@@ -1,7 +1,9 @@
 """The kept graph, streams into two stores, run state and the run protocol."""
 
 import collections
+import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,3 +213,17 @@ def test_the_graph_keeps_sentences_and_makes_only_the_pairs_asked_for(spark, doc
     terms = {r.term for r in asked.collect()}
     want = sorted(tuple(r) for r in store.edges().collect() if {r.src, r.dst} & terms)
     assert want and sorted(map(tuple, store.edges_of(asked).collect())) == want
+
+
+def test_relation_sums_are_made_where_the_pairs_are(spark):
+    texts = ["alpha knows bravo and bravo. delta met alpha", "alpha knows bravo and bravo. alpha gamma", "gamma saw alpha with bravo", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    edges = spark.createDataFrame([("alpha", "bravo", 3), ("alpha", "never", 2)], "src string, dst string, weight long")
+    plan = graph.relation_profiles(docs, edges)._jdf.queryExecution().toString()
+    assert not re.search(r"hashpartitioning\(src#\d+, dst#\d+", plan)  # pairs aren't shuffled
+    (row,) = graph.relation_counts(docs, edges).collect()
+    words = "alpha knows bravo and bravo alpha knows bravo and bravo gamma saw alpha with bravo".split()
+    want = [0] * 64
+    for w in words:
+        want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
+    assert (row.src, row.dst, row.counts) == ("alpha", "bravo", want) and row.norm == sum(x * x for x in want) ** 0.5
