@@ -8,7 +8,7 @@
    chunk and symbol, 50 in all.
 3. Under each key, all members first meet a pivot, or several in a crowd, round by round; what is found connected isn't paired again,
    and all pairs across components are then compared.  Pairs whose signatures are within the distance, and whose parity bitmaps allow the similarity,
-   are confirmed on their full sets.
+   are confirmed on their full sets.  Postings carry 256 of these parities, so that most pairs which can't link aren't made at all.
 4. Documents that share a passage, or much of an original, crowd keys without being near.  Those that stand under a key with more
    than CROWD classes meet under the rarest shingles among them instead (the prefixes of the Jaccard join): two
    documents that link share such a shingle too, and a pair with any key that isn't crowded is found under that one.
@@ -41,6 +41,8 @@ _SYMBOLS = CHUNKS * WIDTH
 _XOR = kernel.mix(np.arange(1, _SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))[:, None]
 _TIMES = (kernel.mix(np.arange(501, _SYMBOLS + 501, dtype=np.uint64)) | np.uint64(1))[:, None]
 _BLOCK = 8192
+#: Words of parities that postings carry, so that pairs which can't link are left out where they meet.
+FOLD = ("f0", "f1", "f2", "f3")
 
 
 def signature(x: np.ndarray) -> bytes:
@@ -52,17 +54,25 @@ def signature(x: np.ndarray) -> bytes:
     return (kernel.mix(least) >> np.uint64(48)).astype("<u2").tobytes()
 
 
+def folded(x: np.ndarray) -> list[int]:
+    """The parities of a set's hashes by 256 residues, as signed 64-bit words."""
+    bits = np.packbits(np.bincount((x & np.uint64(64 * len(FOLD) - 1)).astype(np.int64), minlength=64 * len(FOLD)) & 1)
+    return bits.view(np.int64).tolist()
+
+
 def _scan(k: int):
-    """documents -> (doc_id, n, c, sign): the size and fingerprint of the shingle set, and its signature followed by its parities."""
+    """documents -> (doc_id, n, c, sign, *FOLD): the size and fingerprint of the shingle set, its signature followed by its parities, and these folded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, c, sign = [], [], []
+            n, c, sign, fold = [], [], [], [[] for _ in FOLD]
             for _, x, _ in kernel.shingle_sets(batch["text"], k):
                 n.append(len(x))
                 c.append(class_hash(x) if len(x) else 0)
                 sign.append(signature(x) + parity_bits(x) if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sign, pa.binary())], ["doc_id", "n", "c", "sign"])
+                for column, word in zip(fold, folded(x)):
+                    column.append(word)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sign, pa.binary()), *(pa.array(f, pa.int64()) for f in fold)], ["doc_id", "n", "c", "sign", *FOLD])
 
     return run
 
@@ -96,9 +106,10 @@ def chunk_keys(sign: str) -> list:
 
 
 def _links(docs: DataFrame, classes: DataFrame, postings: DataFrame, k: int, percent: int, distance: int) -> DataFrame:
-    """(a, b) links among the ids of classes (n, c, id, sign), for postings (key, id, n, pos): those that join all components."""
+    """(a, b) links among the ids of classes (n, c, id, sign), for postings (key, id, n, pos, *FOLD): those that join all components."""
     far = 100 + percent
-    passes = f"{far} * least(n - pos, {{0}}n - {{0}}pos) >= {percent} * (n + {{0}}n)"
+    unshared = " + ".join(f"bit_count({f} ^ {{0}}{f})" for f in FOLD)  # at most the shingles that two sets don't share
+    passes = f"{far} * least(n - pos, {{0}}n - {{0}}pos) >= {percent} * (n + {{0}}n) and {unshared} <= n + {{0}}n - 2 * (({percent} * (n + {{0}}n) + {far - 1}) div {far})"
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link: by signature and parities first, and then by full sets, which are made of the documents in question alone."""
@@ -117,15 +128,15 @@ def _links(docs: DataFrame, classes: DataFrame, postings: DataFrame, k: int, per
         m = table(m.join(spread, "key", "left_semi")) if turn else m
         if turn == ROUNDS or turn and _pairs_left(m) <= PAIRS_LEFT:
             break
-        member = F.struct("id", "n", "pos", "component")
+        member = F.struct("id", "n", "pos", "component", *FOLD)
         pivots = m.groupBy("key").agg(F.count("*").alias("posts"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.array(*(F.min_by(member, F.xxhash64("id", F.lit(turn * PIVOTS + j))) for j in range(PIVOTS if turn else 1))).alias("ps"))
         pivots = pivots.where("lo <> hi").select("key", F.expr(f"if(posts > {FEW}, array_distinct(ps), slice(ps, 1, 1))").alias("ps"))
-        met = m.join(pivots, "key").select("id", "n", "pos", "component", F.explode("ps").alias("p")).where("p.component <> component and p.id <> id").where(passes.format("p."))
+        met = m.join(pivots, "key").select("id", "n", "pos", "component", *FOLD, F.explode("ps").alias("p")).where("p.component <> component and p.id <> id").where(passes.format("p."))
         found = verified(met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")))
         edges = found if edges is None else edges.unionByName(found)
         connected = labels(edges, HOPS).withColumnRenamed("node", "id")
-        m = table(postings.join(connected, "id", "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("component")))
-    other = m.select("key", *(F.col(c).alias(f"o_{c}") for c in ("id", "n", "pos", "component")))
+        m = table(postings.join(connected, "id", "left").select("key", "id", "n", "pos", *FOLD, F.coalesce("component", "id").alias("component")))
+    other = m.select("key", *(F.col(c).alias(f"o_{c}") for c in ("id", "n", "pos", "component", *FOLD)))
     rest = m.join(other, "key").where("id < o_id and component <> o_component").where(passes.format("o_"))
     return edges.unionByName(verified(rest.select(F.col("id").alias("a"), F.col("o_id").alias("b"))))
 
@@ -150,19 +161,20 @@ def minhash_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, dist
         raise ValueError(f"{CHUNKS} chunks with an error each find signatures up to {2 * CHUNKS - 1} apart")
     narrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = table(docs.mapInArrow(kernel.tidy(_scan(k)), "doc_id long, n long, c long, sign binary"))
+    scanned = table(docs.mapInArrow(kernel.tidy(_scan(k)), "doc_id long, n long, c long, sign binary, " + ", ".join(f"{f} long" for f in FOLD)))
     rows = scanned.select("doc_id", "n", "c")
-    classes = table(scanned.where("n > 0 and doc_id is not null").groupBy("n", "c").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.min("sign").alias("sign")))
-    posted = classes.select(F.explode(F.array(*chunk_keys("sign"))).alias("key"), F.col("id").alias("g"), F.col("n").cast("int").alias("n"))
+    classes = table(scanned.where("n > 0 and doc_id is not null").groupBy("n", "c").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.min(F.struct("sign", *FOLD)).alias("s")).select("n", "c", "id", "n_copies", "s.*"))
+    posted = classes.select(F.explode(F.array(*chunk_keys("sign"))).alias("key"), F.col("id").alias("g"), F.col("n").cast("int").alias("n"), *FOLD)
     posts = posted.groupBy("key").agg(F.count("*").alias("posts")).where("posts > 1")
-    shared = table(posted.join(posts, "key").select("key", "g", "n", (F.col("posts") > crowd).alias("crowded")))
-    postings = shared.where("not crowded").select("key", F.col("g").alias("id"), "n", F.lit(0).alias("pos"))
+    shared = table(posted.join(posts, "key").select("key", "g", "n", *FOLD, (F.col("posts") > crowd).alias("crowded")))
+    postings = shared.where("not crowded").select("key", F.col("g").alias("id"), "n", F.lit(0).alias("pos"), *FOLD)
     busy = table(shared.where("crowded").select(F.col("g").alias("doc_id")).distinct())
     if not busy.isEmpty():
         some = docs.join(busy, "doc_id", "left_semi")
         counted = table(some.mapInArrow(kernel.tidy(scan(k, COUNTER_BITS)), "doc_id long, n long, c long, parity binary, block int, counts binary"))
         rare, members = prefix_postings(some, counted, classes.withColumnRenamed("sign", "parity"), k, percent, COUNTER_BITS)
-        postings = postings.unionByName(rare.join(members.select("g", "id"), "g").select("key", "id", "n", "pos"))
+        folds = classes.select("id", F.col("n").cast("int").alias("n"), *FOLD)
+        postings = postings.unionByName(rare.join(members.select("g", "id"), "g").join(folds, ["id", "n"]).select("key", "id", "n", "pos", *FOLD))
     links = _links(docs, classes, table(postings), k, percent, distance)
     named = components(links).withColumnRenamed("node", "id")
     named = classes.join(named, "id", "left").select("n", "c", "n_copies", F.coalesce("component", "id").alias("component"))

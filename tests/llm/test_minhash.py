@@ -118,3 +118,32 @@ def test_empty_tables_short_texts_and_repeats(spark):
     assert sorted((tuple(r) for r in got), key=str) == plain(some)
     with pytest.raises(ValueError):
         minhash.minhash_near_duplicates(table(spark, some), distance=20)
+
+
+def test_folded_parities_bound_what_two_sets_do_not_share():
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 300, 3000):
+        x = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for more in (0, 1, 5, 40):
+            y = np.concatenate([x[more // 2 :], rng.integers(0, 2**64, more, dtype=np.uint64)])
+            apart = sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(minhash.folded(x), minhash.folded(y)))
+            assert apart <= len(np.setxor1d(x, y))
+
+
+def test_pairs_that_cannot_link_are_not_made(spark, monkeypatch):
+    texts = [" ".join(f"x{i}y{at}" if at in (50, 54, 59) else f"w{at}" for at in range(60)) for i in range(40)]  # 70 % alike, all under common keys
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, keep = [], minhash.table
+
+    def every(*_):
+        return lambda batches: (b.select(["a", "b", "c1", "c2"]) for b in batches)
+
+    def noted(df):
+        out = keep(df)
+        made.append(out) if out.columns == ["a", "b", "c1", "c2"] else None
+        return out
+
+    monkeypatch.setattr(minhash, "_within", every)
+    monkeypatch.setattr(minhash, "table", noted)
+    assert minhash.minhash_near_duplicates(docs).where("not kept").count() == 0
+    assert made and sum(df.count() for df in made) < 20  # of 780
