@@ -19,6 +19,8 @@ from lodestone.functions.text import bucket, sentences
 STRATEGIES = ("character", "semantic", "recursive", "markdown")
 SEPARATORS = ("\n\n", "。", "，", " ", "")
 LONG = 6000
+#: Characters of chunks in a frame that goes back to Spark.
+FRAME = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -108,11 +110,24 @@ def split_long(text: str, limit: int = LONG) -> list[str]:
     return [c for c in fill(units, limit) if c.strip()]
 
 
+def _frames(batch: pd.DataFrame, split: Callable[[str], list[str]]) -> Iterator[pd.DataFrame]:
+    """The chunks of a batch of documents in frames of about FRAME characters, so that those of a whole batch are never held at once."""
+    rows, held = [], 0
+    for d, t in zip(batch["doc_id"], batch["text"]):
+        for i, c in enumerate(split(t)):
+            rows.append((d, i, c))
+            held += len(c)
+            if held >= FRAME:
+                yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk"])
+                rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk"])
+
+
 def _by_row(docs: DataFrame, split: Callable[[str], list[str]]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, i, c) for d, t in zip(batch["doc_id"], batch["text"]) for i, c in enumerate(split(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk"])
+            yield from _frames(batch, split)
 
     return not_blank(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, chunk_index int, chunk string")
 

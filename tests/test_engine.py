@@ -33,6 +33,15 @@ def test_character_chunks_cover_the_text(spark):
             assert all(len(c) <= 1000 for c in mine)
 
 
+def test_chunks_go_back_in_small_frames(monkeypatch):
+    monkeypatch.setattr(chunk, "FRAME", 1000)
+    batch = chunk.pd.DataFrame({"doc_id": range(50), "text": [f"{i} " * 200 for i in range(50)]})
+    split = lambda t: chunk.split_recursive(t, 100, 20)
+    frames = list(chunk._frames(batch, split))
+    assert len(frames) > 10 and all(f["chunk"].str.len().sum() < 1100 for f in frames)
+    assert [tuple(r) for f in frames for r in f.itertuples(index=False)] == [(d, i, c) for d, t in zip(batch["doc_id"], batch["text"]) for i, c in enumerate(split(t))]
+
+
 def test_recursive_split_keeps_everything_within_size():
     text = "para one. words here\n\npara two，more words。end " * 30 + "x" * 500
     for size, overlap in ((50, 0), (50, 20), (200, 50)):
