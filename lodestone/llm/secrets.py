@@ -6,14 +6,16 @@ characters are from uniform draws from that alphabet: chi-squared uniformity (Wi
 and below the alphabet's middle, and lag-1 serial correlation.  Fisher's method joins them into one statistic, which is
 small for random characters and grows with the length of a text.
 
-The null hypothesis is that a candidate is text.  Its distribution is that of dictionary-like runs: the words of a bounded
-sample of documents, written without spaces and cut to the length of each band.  A candidate's p-value is the share of
+The null hypothesis is that a candidate is text.  Its distribution is that of dictionary-like runs: the words of all
+documents, written without spaces and cut in turn to the length of each band.  A candidate's p-value is the share of
 those that look as random as it does, and Benjamini-Hochberg within each band of lengths decides which are secrets, so
 that the rate bounds the share of texts among what is called secret.  P-values are binned, so the control needs counts alone.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ ALPHABETS = {
 FIRST_BAND, LAST_BAND = 8, 14
 #: The statistic is binned by this many to one, up to a limit.
 FINE, LIMIT = 8, 100
-#: Texts in the sample behind the null distribution, and their greatest length.
-NULL_TEXTS, NULL_CHARS = 200, 20_000
+#: The least lengths of the bands, to which a text's letters are cut in turn.
+CUTS = tuple(max(20, math.ceil(2 ** (of / 2))) for of in range(FIRST_BAND, LAST_BAND + 1))
 
 
 def _phi(z: Column) -> Column:
@@ -65,39 +67,66 @@ def battery(tokens: DataFrame, forced: str | None = None) -> DataFrame:
     t = t.withColumn("alphabet", alphabet).withColumn("k", size.cast("double")).withColumn("n", F.length("bare").cast("double"))
     t = t.withColumn("x", F.expr("transform(split(bare, ''), c -> cast(instr(alphabet, c) - 1 as double))"))
     t = t.withColumn("squares", F.expr("aggregate(transform(array_distinct(x), v -> cast(size(filter(x, u -> u = v)) as double)), 0D, (s, c) -> s + c * c)"))
+    t = t.withColumn("high", F.expr("cast(size(filter(x, v -> v >= k / 2)) as double)"))
+    t = t.withColumn("runs", F.expr("1 + cast(size(filter(sequence(1, size(x) - 1), i -> (x[i] >= k / 2) <> (x[i - 1] >= k / 2))) as double)"))
+    t = t.withColumn("mu", F.expr("aggregate(x, 0D, (s, v) -> s + v) / n"))
+    t = t.withColumn("var", F.expr("aggregate(x, 0D, (s, v) -> s + (v - mu) * (v - mu))"))
+    t = t.withColumn("cov", F.expr("aggregate(sequence(1, size(x) - 1), 0D, (s, i) -> s + (x[i] - mu) * (x[i - 1] - mu))"))
+    return _joined(t).select(*tokens.columns, "encoding", "band", "f")
+
+
+def _joined(t: DataFrame) -> DataFrame:
+    """Adds band and f to rows of part, n, k, squares, high, runs, var and cov: three tests in one statistic."""
     chi, free = F.col("squares") * F.col("k") / F.col("n") - F.col("n"), F.col("k") - 1
     z = (F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
     t = t.withColumn("p1", 1 - _phi(z))
-    t = t.withColumn("high", F.expr("cast(size(filter(x, v -> v >= k / 2)) as double)"))
-    t = t.withColumn("runs", F.expr("1 + cast(size(filter(sequence(1, size(x) - 1), i -> (x[i] >= k / 2) <> (x[i - 1] >= k / 2))) as double)"))
     mean = 2 * F.col("high") * (F.col("n") - F.col("high")) / F.col("n") + 1
     spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (F.col("n") - 1), F.lit(1e-9)))
     t = t.withColumn("p2", 2 * (1 - _phi(F.least(F.abs(F.col("runs") - mean) / spread, F.lit(9.0)))))
-    t = t.withColumn("mu", F.expr("aggregate(x, 0D, (s, v) -> s + v) / n"))
-    t = t.withColumn("var", F.expr("aggregate(x, 0D, (s, v) -> s + (v - mu) * (v - mu))"))
-    t = t.withColumn("cov", F.expr("aggregate(sequence(1, size(x) - 1), 0D, (s, i) -> s + (x[i] - mu) * (x[i - 1] - mu))"))
     r = F.when(F.col("var") > 0, F.col("cov") / F.col("var")).otherwise(1.0)
     t = t.withColumn("p3", 2 * (1 - _phi(F.least(F.abs(r * F.sqrt("n") + 1 / F.sqrt("n")), F.lit(9.0)))))
     fisher = -2 * sum(F.log(F.greatest(F.col(p), F.lit(1e-12))) for p in ("p1", "p2", "p3"))
     band = F.least(F.greatest(F.floor(2 * F.log2(F.length("part"))), F.lit(FIRST_BAND)), F.lit(LAST_BAND)).cast("int")
-    return t.withColumn("f", fisher).withColumn("band", band).select(*tokens.columns, "encoding", "band", "f")
+    return t.withColumn("f", fisher).withColumn("band", band)
 
 
 def _bin() -> Column:
     return F.least(F.floor(F.col("f") * FINE), F.lit(LIMIT * FINE)).cast("int")
 
 
-def text_runs(texts: DataFrame, sample: int = NULL_TEXTS) -> DataFrame:
-    """(family, bin, n) by band: how many runs of plain letters have the statistic in each bin; family 0 against 26 letters, 1 against 62 characters."""
-    keyed = texts.where(F.length("text").between(1, NULL_CHARS)).select(F.xxhash64("text").alias("key"), "text")
-    chosen = keyed.select("key").distinct().orderBy("key").limit(sample)  # the numbers alone; then their texts
-    some = keyed.join(F.broadcast(chosen), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
-    letters = some.select(F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("s"))
-    size = F.greatest(F.ceil(F.pow(F.lit(2.0), F.col("of") / 2)), F.lit(20)).cast("int")
-    cut = letters.select("s", F.explode(F.sequence(F.lit(FIRST_BAND), F.lit(LAST_BAND))).alias("of")).withColumn("size", size).where(F.length("s") >= F.col("size"))
-    parts = table(cut.select(F.explode(F.expr("transform(sequence(0, length(s) div size - 1), i -> substr(s, cast(i * size + 1 as int), size))")).alias("part")))
-    both = battery(parts, "letters").withColumn("family", F.lit(0)).unionByName(battery(parts, "alnum").withColumn("family", F.lit(1)))
-    return both.groupBy("family", "band", _bin().alias("bin")).agg(F.count("*").alias("n"))
+def null_runs(texts: DataFrame) -> DataFrame:
+    """(part): the plain letters of each text, each in one run: of CUTS[0] letters, CUTS[1] and so on, and again from the first."""
+    letters = texts.select(F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("s"))
+    rounds = letters.select(F.explode(F.regexp_extract_all("s", F.lit(f".{{1,{sum(CUTS)}}}"), F.lit(0))).alias("s"))
+    parts = F.array(*(F.substring("s", sum(CUTS[:i]) + 1, size) for i, size in enumerate(CUTS)))
+    return rounds.select(F.posexplode(parts).alias("i", "part")).where(F.length("part") == F.array(*map(F.lit, CUTS))[F.col("i")]).select("part")
+
+
+def letter_battery(runs: DataFrame) -> DataFrame:
+    """(part, family, band, f) of runs (part) of a to z, in each family: as by battery(), but from counts of letters, since all texts go through."""
+    letters = ALPHABETS["letters"]
+    counts = F.array(*(F.length("part") - F.length(F.replace("part", F.lit(c), F.lit(""))) for c in letters))
+    t = runs.select("part", F.length("part").cast("double").alias("n"), counts.alias("c"), F.transform(F.split("part", ""), lambda c: F.ascii(c) - 97).alias("x"))
+    of = lambda weight: sum((F.col("c")[i] * weight(i) for i in range(26)), F.lit(0)).cast("double")
+    t = t.withColumns({"squares": sum((F.col("c")[i] * F.col("c")[i] for i in range(26)), F.lit(0)).cast("double"), "s1": of(lambda i: i), "s2": of(lambda i: i * i)})
+    t = t.withColumn("both", F.expr("cast(aggregate(sequence(1, size(x) - 1), 0, (s, i) -> s + x[i] * x[i - 1]) as double)")).withColumn("mu", F.col("s1") / F.col("n"))
+    ends = F.col("x")[0] + F.element_at("x", -1)
+    t = t.withColumns({"var": F.col("s2") - F.col("s1") * F.col("mu"), "cov": F.col("both") - F.col("mu") * (2 * F.col("s1") - ends) + (F.col("n") - 1) * F.col("mu") * F.col("mu")})
+    found = None
+    for family, name in enumerate(("letters", "alnum")):
+        k = len(ALPHABETS[name])
+        middle = math.ceil(k / 2) - ALPHABETS[name].index("a")
+        sides = F.translate("part", letters, "0" * middle + "1" * (26 - middle))
+        turns = sum((F.length("part") - F.length(F.replace(sides, F.lit(p), F.lit("")))) / 2 for p in ("01", "10"))
+        one = t.withColumns({"k": F.lit(float(k)), "high": of(lambda i, m=middle: int(i >= m)), "runs": 1 + turns})
+        one = _joined(one).select("part", F.lit(family).alias("family"), "band", "f")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def text_runs(texts: DataFrame) -> DataFrame:
+    """(family, bin, n) by band: how many runs of plain letters, of all texts, have the statistic in each bin; family 0 against 26 letters, 1 against 62 characters."""
+    return letter_battery(null_runs(texts)).groupBy("family", "band", _bin().alias("bin")).agg(F.count("*").alias("n"))
 
 
 def discoveries(tested: DataFrame, null: DataFrame, rate: float) -> DataFrame:

@@ -540,6 +540,26 @@ def test_battery_tells_keys_from_text(spark):
     assert sorted(r.part for r in got) == sorted(want)
 
 
+def test_all_letters_of_all_texts_are_in_the_null(spark):
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz  .É1") for _ in range(rnd.choice([10, 60, 900]))) for _ in range(300)] + ["Ab c" * 10_000, None, ""]
+    df = table(spark, list(enumerate(texts)))
+    want, cuts = 0, [20, 23, 32, 46, 64, 91, 128]
+    for t in texts:
+        left = len(re.sub("[^a-z]", "", (t or "").lower()))
+        for size in itertools.cycle(cuts):
+            if left < size:
+                break
+            want, left = want + 1, left - size
+    assert {r.family: r.n for r in secrets.text_runs(df).groupBy("family").agg(F.sum("n").alias("n")).collect()} == {0: want, 1: want}
+    runs = secrets.null_runs(df).distinct()
+    fast = {(r.part, r.family): (r.band, r.f) for r in secrets.letter_battery(runs).collect()}
+    for family, name in enumerate(("letters", "alnum")):
+        for r in secrets.battery(runs, name).collect():
+            band, f = fast[r.part, family]
+            assert band == r.band and abs(f - r.f) < 1e-6
+
+
 # 10: lines
 
 
