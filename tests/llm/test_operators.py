@@ -232,6 +232,24 @@ def test_url_rules_are_those_of_an_enumeration(spark):
     assert got == want | {(500, says[0]), (501, "allow"), (None, says[1])} and 0 < sum(v == "block" for _, v in want) < 400
 
 
+@pytest.mark.parametrize("max_items", [1, 3])
+def test_url_rules_are_whole_whatever_is_mined(spark, max_items):
+    rnd = random.Random(6)
+    urls = [f"http://{rnd.choice('abc')}.{rnd.choice(['com', 'xyz'])}/{rnd.choice('pqr')}/{rnd.choice('st')}?k{rnd.randint(0, 2)}=1&{rnd.choice('mn')}" for _ in range(500)]
+    bad = [("xyz/p" in u and "&m" in u or "//a" in u and "/s?" in u and "k1" in u) and rnd.random() < 0.97 for u in urls]
+    items = [{*(f"h:{x}" for x in u.split("/")[2].split(".")), *(f"p:{x}" for x in u.split("?")[0].split("/")[3:]), "q:" + u.split("?")[1][:2], "q:" + u[-1]} for u in urls]
+    rules = set()
+    for k in range(1, 7):
+        for c in {frozenset(x) for i in items for x in itertools.combinations(sorted(i), k)}:
+            n = [b for i, b in zip(items, bad) if c <= i]
+            if sum(n) >= 10 and sum(n) >= 0.9 * len(n):
+                rules.add(c)
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), labels, rules=(), max_items=max_items).collect()}
+    want = {i: "block" if any(c <= x for c in rules) else "allow" for i, x in enumerate(items)}
+    assert got == want and 0 < sum(v == "block" for v in want.values()) < 500
+
+
 def test_url_mining_of_long_paths_ends(spark):
     rnd = random.Random(1)
     same = "/".join(f"s{j}" for j in range(200))
