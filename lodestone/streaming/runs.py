@@ -20,6 +20,8 @@ from lodestone.streaming.progress import drain
 HISTORY = 10
 _PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 STATE = "thread_id long, last_seq long, state array<struct<field:string,value:string>>, history array<struct<seq:long,parent:long,field:string>>"
+#: Groups of sessions that the protocol's state is kept by.
+GROUPS = 1024
 RUN = "session_id long, what string, start_ms long, at_ms long, event_id long, events long"
 
 
@@ -98,56 +100,62 @@ def get_history(table: Table, thread_id: int) -> list[tuple]:
 
 
 class _Protocol(StatefulProcessor):
-    """Events wait until the watermark has passed them, and are then taken in order of time and id."""
+    """Events wait until the watermark has passed them, and are then taken in order of time and id.
+
+    A key is a group of sessions, so that reading and writing state, and timers, cost a call for each group and not for each event or
+    session.  A timer stands at the first event that waits, and one at the first timeout of an open run; either takes all that is due.
+    """
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, id long, kind string")
-        self.run = handle.getValueState("run", "start long, last long, events long, open boolean")
+        self.waiting = handle.getListState("waiting", "session long, at long, id long, kind string")
+        self.open = handle.getListState("open", "session long, start long, last long, events long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            new = list(zip(batch["at_ms"].tolist(), batch["event_id"].tolist(), batch["kind"].tolist()))
+        new = [event for batch in rows for event in zip(*(batch[c].tolist() for c in ("session_id", "at_ms", "event_id", "kind")))]
+        if new:
             self.waiting.appendList(new)
-            for at in {at for at, _, _ in new}:
-                self.handle.registerTimer(at)
+            self.handle.registerTimer(min(event[1] for event in new))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
-        due, later = [e for e in waiting if e[0] < now], [e for e in waiting if e[0] >= now]
-        start, last, events, is_open = self.run.get() if self.run.exists() else (0, 0, 0, False)
-        out = []
-        for at, event_id, kind in due:
-            if is_open and at - last > self.timeout_ms:
-                out.append(("timeout", start, last, None, events))
-                is_open = False
-            if kind == "start" and not is_open:
-                start, events, is_open = at, 1, True
-            elif kind == "start" or not is_open:
-                out.append(("violation", None, at, event_id, None))
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        before = {session: tuple(run) for session, *run in self.open.get()} if self.open.exists() else {}
+        later, due = [e for e in waiting if e[1] >= now], sorted(e for e in waiting if e[1] < now)
+        runs, out = dict(before), []
+        for session, at, event_id, kind in due:
+            start, last, events = runs.pop(session, (None, None, None))
+            if start is not None and at - last > self.timeout_ms:
+                out.append((session, "timeout", start, last, None, events))
+                start = None
+            if kind == "start" and start is None:
+                runs[session] = at, at, 1
+            elif kind == "start" or start is None:
+                out.append((session, "violation", None, at, event_id, None))
+                if start is not None:
+                    runs[session] = start, at, events
+            elif kind in ("complete", "error"):
+                out.append((session, kind, start, at, event_id, events + 1))
             else:
-                events += 1
-                if kind in ("complete", "error"):
-                    out.append((kind, start, at, event_id, events))
-                    is_open = False
-            last = at
-        if is_open and now - last > self.timeout_ms:
-            out.append(("timeout", start, last, None, events))
-            is_open = False
+                runs[session] = start, at, events + 1
+        for session, (start, last, events) in list(runs.items()):
+            if now - last > self.timeout_ms:
+                out.append((session, "timeout", start, last, None, events))
+                del runs[session]
         if due:
             self.waiting.put(later) if later else self.waiting.clear()
-        if is_open and due:
-            self.handle.registerTimer(last + self.timeout_ms)
-        self.run.update((start, last, events, is_open))
+            if later:
+                self.handle.registerTimer(min(event[1] for event in later))
+        if runs != before:
+            self.open.put([(session, *run) for session, run in runs.items()]) if runs else self.open.clear()
+        if runs:
+            self.handle.registerTimer(min(last for _, last, _ in runs.values()) + self.timeout_ms)
         if out:
-            frame = pd.DataFrame(out, columns=["what", "start_ms", "at_ms", "event_id", "events"]).astype({c: "Int64" for c in ("start_ms", "at_ms", "event_id", "events")})
-            frame.insert(0, "session_id", key[0])
-            yield frame
+            yield pd.DataFrame(out, columns=["session_id", "what", "start_ms", "at_ms", "event_id", "events"]).astype({c: "Int64" for c in ("start_ms", "at_ms", "event_id", "events")})
 
     def close(self) -> None:
         pass
@@ -163,7 +171,7 @@ def protocol(events: DataFrame, delay: str, timeout_ms: int) -> DataFrame:
     """
     known = events.where(F.col("kind").isin("start", "node_update", "token", "complete", "error") & F.col("session_id").isNotNull() & F.col("ts").isNotNull() & F.col("event_id").isNotNull())
     rows = known.withWatermark("ts", delay).select(F.col("session_id").cast("long").alias("session_id"), "ts", F.col("event_id").cast("long").alias("event_id"), "kind", F.unix_millis("ts").alias("at_ms"))
-    return rows.groupBy("session_id").transformWithStateInPandas(_Protocol(timeout_ms), RUN, "Append", "EventTime")
+    return rows.withColumn("sessions", F.pmod(F.xxhash64("session_id"), F.lit(GROUPS))).groupBy("sessions").transformWithStateInPandas(_Protocol(timeout_ms), RUN, "Append", "EventTime")
 
 
 def create_runs(spark: SparkSession, path: str) -> Table:

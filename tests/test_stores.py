@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +193,54 @@ def test_protocol_on_legal_broken_unfinished_and_reordered_sequences(spark, tmp_
     assert rows(table.read()) == plain_protocol(events, 200, base + 9900)  # dropped
 
 
+class _Held:
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows, self.calls = list(rows), self.calls + 1
+
+    def appendList(self, rows):
+        self.put(self.rows + rows)
+
+    def clear(self):
+        self.put([])
+
+
+class _Handle:
+    def __init__(self):
+        self.lists, self.timers = {}, []
+
+    def getListState(self, name, schema):
+        return self.lists.setdefault(name, _Held())
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_protocol_calls_its_state_by_group_not_by_event(spark):
+    rng = random.Random(4)
+    events = [(rng.randrange(50), rng.randrange(1, 10_000), i, rng.choice(["start", "node_update", "token", "complete", "error"])) for i in range(2000)]
+    handle, one = _Handle(), runs._Protocol(200)
+    one.init(handle)
+    for part in (events[:1000], events[1000:]):
+        list(one.handleInputRows((0,), iter([pd.DataFrame(part, columns=["session_id", "at_ms", "event_id", "kind"])]), None))
+    got = []
+    for now in (5000, 9000):
+        assert min(handle.timers) < now
+        times = type("Times", (), {"getCurrentWatermarkInMs": lambda self, now=now: now})()
+        for frame in one.handleExpiredTimer((0,), times, None):
+            got += [tuple(None if pd.isna(v) else v for v in r) for r in frame.itertuples(index=False)]
+    assert sorted(got, key=str) == plain_protocol(events, 200, 9000)
+    assert len(handle.timers) <= 6 and sum(x.calls for x in handle.lists.values()) <= 6
+
+
 def test_a_relation_is_reached_by_words_of_its_sentences(spark):
     texts = ["alpha knows bravo from the harbour concert", "alpha met bravo at the harbour concert", "delta paid gamma for old bricks", "delta owes gamma for old bricks", "nothing else here"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
