@@ -1,26 +1,32 @@
 """Chunking strategies: character windows, recursive separators, markdown sections, semantic breaks and long splits.
 
-Character, markdown and semantic chunks are DataFrame plans.  Recursive and long splits are folds over pieces, which
-run as Arrow-batched Python over rows; both keep every chunk within its size.
+Character and markdown chunks are DataFrame plans.  Recursive and long splits are folds over pieces, which run as
+Arrow-batched Python over rows, as semantic breaks do, which look at one document alone; both keep every chunk within its size.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import bucket, sentences
+from lodestone.functions.text import SENTENCE_END
 
 STRATEGIES = ("character", "semantic", "recursive", "markdown")
 SEPARATORS = ("\n\n", "。", "，", " ", "")
 LONG = 6000
 #: Characters of chunks in a frame that goes back to Spark.
 FRAME = 1 << 20
+_SENTENCE, _NINE = re.compile(SENTENCE_END), Decimal("1e-9")
 
 
 @dataclass(frozen=True)
@@ -154,32 +160,58 @@ def markdown(docs: DataFrame) -> DataFrame:
     return parts.select("doc_id", index, "chunk")
 
 
-def sentence_distances(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, sentence, distance): 1 - cosine of a sentence's hashed word counts and the next one's."""
-    s = docs.select("doc_id", F.posexplode(sentences("text")).alias("pos", "sentence"))
-    words = s.select("doc_id", "pos", F.explode(F.split("sentence", " ")).alias("w"))
-    v = words.groupBy("doc_id", "pos", bucket("w").alias("b")).agg(F.count("*").cast("double").alias("c"))
-    norm = v.groupBy("doc_id", "pos").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    after = v.select("doc_id", (F.col("pos") - 1).alias("pos"), "b", F.col("c").alias("c2"))
-    dots = v.join(after, ["doc_id", "pos", "b"]).groupBy("doc_id", "pos").agg(F.sum(F.col("c") * F.col("c2")).alias("dot"))
-    n2 = norm.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("norm").alias("norm2"))
-    d = s.join(norm, ["doc_id", "pos"], "left").join(n2, ["doc_id", "pos"], "left").join(dots, ["doc_id", "pos"], "left")
-    return d.select("doc_id", "pos", "sentence", F.when(F.col("norm2").isNotNull(), F.round(1 - F.coalesce("dot", F.lit(0.0)) / (F.col("norm") * F.col("norm2")), 9)).alias("distance"))
+@functools.lru_cache(1 << 16)
+def _bucket(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 64
+
+
+def sentence_distances(sentences: list[str]) -> list[float]:
+    """1 - cosine of each sentence's hashed word counts and the next one's, rounded half up to 9 places."""
+    counts = [Counter(map(_bucket, s.split(" "))) for s in sentences]
+    norms = [math.sqrt(sum(c * c for c in v.values())) for v in counts]
+    out = []
+    for v, w, n, m in zip(counts, counts[1:], norms, norms[1:]):
+        x = 1 - sum(c * w[b] for b, c in v.items() if b in w) / (n * m)
+        out.append(float(Decimal(repr(x)).quantize(_NINE, ROUND_HALF_UP)))
+    return out
+
+
+def _percentile(values: list[float], part: float) -> float:
+    """As Spark's percentile: between the two nearest values."""
+    ordered, at = sorted(values), (len(values) - 1) * part
+    low, high = math.floor(at), math.ceil(at)
+    a, b = ordered[low], ordered[high]
+    return a if a == b else (high - at) * a + (at - low) * b
+
+
+def split_semantic(text: str, percentile: float = 0.95, min_chunk_size: int = 0) -> list[str]:
+    """Sentences, joined; a break follows each that is farther from the next than the text's percentile of distances."""
+    sentences = [s for s in (x.strip(" ") for x in _SENTENCE.split(text)) if s]
+    far = sentence_distances(sentences)
+    limit = _percentile(far, percentile) if far else 0.0
+    chunks, held = [], []
+    for i, s in enumerate(sentences):
+        held.append(s)
+        if i < len(far) and far[i] > limit:
+            chunks.append(" ".join(held))
+            held = []
+    if held:
+        chunks.append(" ".join(held))
+    if min_chunk_size:  # a chunk that is too short goes with those after it
+        parts, chunks, held = chunks, [], []
+        for p in parts:
+            held.append(p)
+            if len(p) >= min_chunk_size:
+                chunks.append(" ".join(held))
+                held = []
+        if held:
+            chunks.append(" ".join(held))
+    return chunks
 
 
 def semantic(docs: DataFrame, percentile: float = 0.95, min_chunk_size: int = 0) -> DataFrame:
-    """(doc_id, chunk_index, chunk): a break follows each sentence farther from the next than the document's percentile."""
-    d = sentence_distances(docs)
-    limit = d.groupBy("doc_id").agg(F.percentile("distance", F.lit(percentile)).alias("limit"))
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    cut = d.join(limit, "doc_id").withColumn("cut", F.coalesce((F.col("distance") > F.col("limit")).cast("int"), F.lit(0)))
-    cut = cut.withColumn("section", F.coalesce(F.sum("cut").over(before), F.lit(0)))
-    parts = cut.groupBy("doc_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("chunk"))
-    if min_chunk_size:  # a section that is too short goes with those after it
-        sizes = Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
-        parts = parts.withColumn("long", (F.length("chunk") >= min_chunk_size).cast("int")).withColumn("section2", F.coalesce(F.sum("long").over(sizes), F.lit(0)))
-        parts = parts.groupBy("doc_id", F.col("section2").alias("section")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "chunk"))), lambda x: x["chunk"]), " ").alias("chunk"))
-    return parts.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("section")) - 1).alias("chunk_index"), "chunk")
+    """(doc_id, chunk_index, chunk) by split_semantic()."""
+    return _by_row(docs.where("doc_id is not null"), lambda t: split_semantic(t, percentile, min_chunk_size))
 
 
 def chunk(docs: DataFrame, config: ChunkConfig) -> DataFrame:

@@ -339,6 +339,19 @@ def test_semantic_breaks_are_those_of_a_plain_loop(spark):
         assert chunks(chunk.semantic(docs(spark, *texts), min_chunk_size=least)) == [(i, c) for i, t in enumerate(texts) for c in plain(t, least)]
 
 
+def test_semantic_chunks_shuffle_nothing_and_round_as_spark_does(spark):
+    assert "Exchange" not in chunk.semantic(docs(spark, "a b. c d"))._jdf.queryExecution().executedPlan().toString()
+    rng = __import__("random").Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 70))) + "." + " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 70))) for _ in range(300)]
+    texts += [" ".join(["a"] * 31 + ["b"]) + "." + " ".join(["a"])]
+    raw = [(float(x),) for k in range(1, 1025, 2) for x in (k / 1024, 1 - k / 1024)]
+    got = [r[0] for r in spark.createDataFrame(raw, "x double").select(F.round("x", 9)).collect()]
+    assert got == [float(chunk.Decimal(repr(x)).quantize(chunk._NINE, chunk.ROUND_HALF_UP)) for x, in raw]
+    far = [chunk.sentence_distances(t.split(".")) for t in texts]
+    p = [r[0] for r in spark.createDataFrame([(i, x) for i, f in enumerate([far[:30], far[30:]]) for v in f for x in v], "i int, x double").groupBy("i").agg(F.percentile("x", F.lit(0.95)).alias("p")).orderBy("i").select("p").collect()]
+    assert p == [chunk._percentile([x for v in f for x in v], 0.95) for f in (far[:30], far[30:])]
+
+
 def test_hybrid_search_shuffles_no_rows_of_pairs(spark):
     d, b = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "benchmark"))
     for search in (lexical.bm25, vector.hash_search):
