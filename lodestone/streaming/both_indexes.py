@@ -32,7 +32,9 @@ def commit(pages: DataFrame, epoch: int, table: Table, store: GraphStore) -> Non
     Either write may be the last before a crash: Spark gives the epoch again on restart, and a store that has it already adds nothing.
     """
     table.append(chunks(pages), WRITER, epoch)
-    store.insert(pages.select(F.col("page_id").alias("doc_id"), html_text("html").alias("text")), epoch)
+    docs = pages.select(F.col("page_id").alias("doc_id"), html_text("html").alias("text")).persist()
+    store.insert(docs, epoch)
+    docs.unpersist()
 
 
 def committed(table: Table, store: GraphStore) -> int:
@@ -47,4 +49,4 @@ def read_chunks(table: Table, store: GraphStore) -> DataFrame:
 
 def run(stream: DataFrame, table: Table, store: GraphStore, checkpoint: str | None = None, commit=commit) -> None:
     """Take all pages that there are; after a failure, call it again with the same checkpoint."""
-    drain(stream, lambda df, epoch: commit(df.persist(), epoch, table, store), "append", checkpoint)
+    drain(stream, lambda df, epoch: commit(df, epoch, table, store), "append", checkpoint)

@@ -58,9 +58,11 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def read_pages(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A stream of crawled pages, a file at a time; pages without text are skipped."""
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
+def read_pages(spark: SparkSession, path: str, files_per_trigger: int | None = 1, bytes_per_trigger: int = 1 << 30) -> DataFrame:
+    """A stream of crawled pages, some files at a time, or where these are None as many as hold so many bytes; pages without text are skipped."""
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    stream = stream.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else stream.option("maxBytesPerTrigger", bytes_per_trigger)
+    stream = stream.parquet(f"{path}*")
     return stream.where("html is not null and trim(html) <> ''")
 
 

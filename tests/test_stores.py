@@ -241,6 +241,18 @@ def test_protocol_calls_its_state_by_group_not_by_event(spark):
     assert len(handle.timers) <= 6 and sum(x.calls for x in handle.lists.values()) <= 6
 
 
+def test_pages_in_many_files_are_few_batches(spark, tmp_path):
+    from lodestone import kept_queries
+    from lodestone.streaming import progress
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    pages.repartition(5).write.parquet(f"{tmp_path}/pages.parquet")
+    table, store = both_indexes.create(spark, f"{tmp_path}/both")
+    both_indexes.run(progress.read_pages(spark, f"{tmp_path}/pages.parquet", None), table, store)
+    assert both_indexes.committed(table, store) == 0
+    assert rows(kept_queries.st_ingest_both(spark, str(tmp_path))) == rows(kept_queries.st_ingest_both(spark, SF))
+
+
 def test_a_relation_is_reached_by_words_of_its_sentences(spark):
     texts = ["alpha knows bravo from the harbour concert", "alpha met bravo at the harbour concert", "delta paid gamma for old bricks", "delta owes gamma for old bricks", "nothing else here"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
