@@ -154,24 +154,23 @@ class Index:
         """(query_id, vec_id, score, rank) of about the k most similar vectors of each query (vec_id, embedding), ties by vec_id.
 
         Scores are exact; what may be missed are vectors in cells that aren't probed, or that codes rank behind the shortlist.
-        Queries come to the driver in blocks of `block` vectors.
+        Queries come to the driver in blocks of `block` vectors.  What their codes leave is ranked and scored for all blocks together, so that
+        a task's memory doesn't grow with their number.
         """
         shortlist = max(k, shortlist or self.shortlist)
         q = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("q")).where(F.size("q") == self.size)
-        blocks, found = -(-q.count() // block) or 1, None
+        blocks, rough, all_cells = -(-q.count() // block) or 1, None, set()
         for b in range(blocks):
-            some = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
-            rows = some.collect()
+            rows = (q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q).collect()
             x = np.array([r.q for r in rows], np.float32).reshape(-1, self.size)
             marks = self.probed(x, probes)
             shared = self.spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), _unit(x), marks, self.quantisers))
             cells = np.flatnonzero(marks.any(axis=0)).tolist()
-            rough = self.table(cells).select("vec_id", "code", "cell").mapInArrow(_rough(shared, shortlist), "query_id long, vec_id long, cell int, score float")
-            near = top_k(rough, "query_id", shortlist, "vec_id").select("query_id", "vec_id", "cell")
-            exact = self.table(cells).select("vec_id", "cell", "embedding").join(near, ["cell", "vec_id"]).join(small(some), "query_id")
-            one = exact.select("query_id", "vec_id", cosine("embedding", "q").alias("score")).where("score is not null")
-            found = one if found is None else found.unionByName(one)
-        return top_k(found, "query_id", k, "vec_id")
+            one = self.table(cells).select("vec_id", "code", "cell").mapInArrow(_rough(shared, shortlist), "query_id long, vec_id long, cell int, score float")
+            rough, all_cells = one if rough is None else rough.unionByName(one), all_cells | set(cells)
+        near = top_k(rough, "query_id", shortlist, "vec_id").select("query_id", "vec_id", "cell")
+        exact = self.table(sorted(all_cells)).select("vec_id", "cell", "embedding").join(near, ["cell", "vec_id"]).join(small(q), "query_id")
+        return top_k(exact.select("query_id", "vec_id", cosine("embedding", "q").alias("score")).where("score is not null"), "query_id", k, "vec_id")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:

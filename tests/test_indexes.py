@@ -134,3 +134,13 @@ def test_postings_of_the_index_and_empty_tables(spark, docs, text_index, questio
     empty = postings.build(docs.where("doc_id > 1000000"), str(tmp_path / "p"))
     assert empty.n == 0 and empty.search(questions, 3).count() == 0
     assert text_index.search(questions.where("item_id < 0"), 3).count() == 0
+
+
+def test_blocks_of_queries_are_ranked_together(spark, tmp_path):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    index = ivf.build(v, str(tmp_path / "v"))
+    asked = v.where("vec_id % 3 = 0")
+    one, many = index.search(asked, 5), index.search(asked, 5, block=4)
+    assert sorted(many.collect()) == sorted(one.collect())
+    ranks = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("row_number()")
+    assert ranks(many) == ranks(one)
