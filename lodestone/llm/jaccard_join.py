@@ -269,11 +269,12 @@ def _link(docs, rows, classes, multi, members, k, percent):
         both = sets.groupBy("a", "b").agg(F.max("x").alias("x"), F.max("y").alias("y")).where("x is not null and y is not null")
         return table(both.mapInArrow(verify(percent), "a long, b long"))
 
-    def one_for_each(groups: str, others: str, pairs: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
-        """For pairs of groups, one member of the first with every member of the other that lies in another component."""
-        one = placed.groupBy(F.col("g").alias(groups)).agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("p"))
-        every = placed.select(F.col("g").alias(others), F.col("id").alias("b"), F.col("component").alias("cb"))
-        return pairs.join(one, groups).join(every, others).where("p.component <> cb").select(F.col("p.id").alias("a"), "b")
+    def one_for_each(pairs: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
+        """For pairs of groups, one member of either with every member of the other that lies in another component."""
+        one = placed.groupBy(F.col("g").alias("g1")).agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("p"))
+        every = placed.select(F.col("g").alias("g2"), F.col("id").alias("b"), F.col("component").alias("cb"))
+        either = pairs.unionByName(pairs.select(F.col("g2").alias("g1"), F.col("g1").alias("g2")))
+        return either.join(one, "g1").join(every, "g2").where("p.component <> cb").select(F.col("p.id").alias("a"), "b")
 
     def apart(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The groups whose members lie in several components, and the postings of keys under which groups of several do."""
@@ -306,8 +307,8 @@ def _link(docs, rows, classes, multi, members, k, percent):
         wide, m = apart(placed)
         if turn == STAR_ROUNDS or turn and crowds(m, PAIRS_LEFT).isEmpty():
             break
-        star = stars(m, turn).unionByName(wide)
-        found = verified(one_for_each("g1", "g2", star, placed, turn).unionByName(one_for_each("g2", "g1", star, placed, turn)))
+        star = table(stars(m, turn).unionByName(wide))  # else the driver plans the whole round as one query, anew after each of its stages
+        found = verified(one_for_each(star, placed, turn))
         edges = found if edges is None else edges.unionByName(found)
         so_far = components(edges)
         placed = table(members.join(so_far.withColumnRenamed("node", "id"), "id", "left").select("g", "n", "id", F.coalesce("component", "id").alias("component")))

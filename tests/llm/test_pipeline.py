@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import entry, pii
+from lodestone.llm.components import components
 from lodestone.llm.store import table
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +59,29 @@ def test_the_key_of_pseudonyms_is_the_sessions(spark):
     assert entry.pii_key(spark)
     with pytest.raises(ValueError):
         entry.pii_key(Away)
+
+
+def _runs(spark) -> dict[int, int]:
+    """The nodes of each query that the driver has run, by number."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = store.executionsList()
+    return {(i := seen.apply(k).executionId()): store.planGraph(i).allNodes().size() for k in range(seen.size())}
+
+
+def test_the_driver_plans_near_duplicates_in_small_queries(spark):
+    """The driver holds every plan, and tells it to listeners anew after each of its stages; one of a whole round had 158 nodes here."""
+    before = _runs(spark)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i:]])) for i in range(40)] + [(100 + i, f"unlike {i} and {i} or {i} but {i}") for i in range(40)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert {r.doc_id for r in kept.collect()} == {0, *range(100, 140)}
+    sizes = [n for i, n in _runs(spark).items() if i not in before]
+    assert len(sizes) > 10 and max(sizes) < 120, sizes
+
+
+def test_components_end_with_the_step_that_makes_stars(spark):
+    edges = table(spark.createDataFrame([(1, 2), (1, 3), (9, 1), (20, 30)], "a long, b long"))
+    before = _runs(spark)
+    found = components(edges)
+    assert len(_runs(spark).keys() - before.keys()) <= 3  # the edges, one step, and whether they are stars; with a step that changes nothing, 5
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (9, 1), (20, 20), (30, 20)]
